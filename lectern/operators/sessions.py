@@ -142,3 +142,9 @@ def log_rows(pairs: DataFrame) -> dict[str, DataFrame]:
         ),
         "chat_sessions": pairs.groupBy("session_id").agg(F.max("timestamp").alias("updated_at")),
     }
+
+
+def of_session(rows: DataFrame, session_id: str, time: str, newest_first: bool) -> DataFrame:
+    """One session's log or quiz rows in time order; the filter reaches the scan."""
+    order = F.col(time).desc() if newest_first else F.col(time).asc()
+    return rows.where(F.col("session_id") == session_id).orderBy(order)
