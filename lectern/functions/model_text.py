@@ -24,8 +24,8 @@ def reply_message(envelope: Column) -> Column:
     return F.get(F.from_json(envelope, schemas.COMPLETION)["choices"], 0)["message"]
 
 
-def completion_text(envelope: Column, fallback: str) -> Column:
-    message = reply_message(envelope)
+def completion_text(message: Column, fallback: str) -> Column:
+    """Text of a parsed reply: content, else reasoning, else the fallback."""
     reasoning = F.nullif(message["reasoning_content"], F.lit(""))
     return strip(or_if_empty(message["content"], reasoning, fallback))
 
@@ -34,20 +34,29 @@ def without_fences(text: Column) -> Column:
     return strip(F.regexp_replace(text, V.CODE_FENCE, ""))
 
 
-def analysis_text(envelope: Column) -> Column:
-    """Evaluation paragraph: cleaned reply, or the default when it is missing or a stub."""
-    message = reply_message(envelope)
-    reply = without_fences(
+def reply_body(message: Column) -> Column:
+    """Content without fences, or reasoning where the content is blank."""
+    return without_fences(
         or_if_empty(strip(message["content"]), strip(message["reasoning_content"]))
     )
+
+
+def analysis_text(reply: Column) -> Column:
+    """Evaluation paragraph: the reply body, or the default when it is missing or a stub."""
     usable = F.length(reply) > V.MIN_ANALYSIS_CHARS
     return F.when(usable, reply).otherwise(F.lit(V.DEFAULT_ANALYSIS))
 
 
-def quiz_records(reply: Column) -> Column:
-    """Question records in a reply; an empty array if any part of it cannot be read."""
-    text = F.regexp_extract(reply, V.JSON_ARRAY, 0)
-    records = F.from_json(text, schemas.QUIZ)
-    readable = F.try_parse_json(text).isNotNull() & ~F.exists(records, lambda q: q.isNull())
-    nothing = F.array().cast(schemas.QUIZ)
-    return F.coalesce(F.when(readable, records), nothing)
+def quiz_json(reply: Column) -> Column:
+    """The JSON array inside a reply, from its first ``[`` to its last ``]``."""
+    return F.regexp_extract(reply, V.JSON_ARRAY, 0)
+
+
+def quiz_records(text: Column) -> Column:
+    """Question records of a JSON text; null when it cannot be read."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schemas.QUIZ))
+
+
+def whole_quiz(records: Column) -> Column:
+    """The records, or no question at all when one of them could not be read."""
+    return F.when(~F.exists(records, lambda q: q.isNull()), records)

@@ -4,11 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
-from lectern.functions.text import fill, strip
+from lectern.functions.text import fill, strip, strip_short
 
 
 def as_answer(value: Column) -> Column:
-    return strip(F.coalesce(value.cast("string"), F.lit(V.UNANSWERED)))
+    return strip_short(F.coalesce(value.cast("string"), F.lit(V.UNANSWERED)))
 
 
 def is_correct(choice: Column, key: Column) -> Column:
@@ -26,8 +26,8 @@ def score_label(score: Column, total: Column) -> Column:
     return F.concat_ws("/", score.cast("string"), total.cast("string"))
 
 
-def breakdown_line(question_no, question, choice, key) -> Column:
-    tag = F.when(is_correct(choice, key), V.CORRECT_TAG).otherwise(V.WRONG_TAG)
+def breakdown_line(question_no, right, question, choice, key) -> Column:
+    tag = F.when(right, V.CORRECT_TAG).otherwise(V.WRONG_TAG)
     return fill(
         V.BREAKDOWN_LINE, question_no=question_no, tag=tag,
         question=F.coalesce(question, F.lit(V.UNANSWERED)), choice=as_answer(choice),
@@ -39,38 +39,34 @@ def without_prefix(option: Column) -> Column:
     return F.regexp_replace(option, V.OPTION_PREFIX, "")
 
 
-def relabel(question: Column) -> Column:
-    """Put the options of ``struct<question, options, answer>`` in a fixed mixed order.
-
-    The order is that of ``md5(question || option)``, so every run gives the same quiz. The
-    options get new letters and the key follows its option text. A question with fewer than
-    two options, without an answer or without an option starting with it stays as it is.
-    """
-    answer = strip(F.coalesce(question["answer"], F.lit("")))
-    options = question["options"]
-    correct = F.get(F.filter(options, lambda o: F.startswith(o, answer)), 0)
-    fits = (F.size(options) >= 2) & (answer != "") & correct.isNotNull()
+def mixed_options(question: Column) -> Column:
+    """Option texts without letters, in the order of ``md5(question || option)``."""
 
     def entry(option):
         raw = without_prefix(option)
         return F.struct(F.md5(F.concat(question["question"], raw)).alias("h"), raw.alias("raw"))
 
-    mixed = F.transform(F.array_sort(F.transform(options, entry)), lambda e: e["raw"])
+    entries = F.array_sort(F.transform(question["options"], entry))
+    return F.transform(entries, lambda e: e["raw"])
+
+
+def correct_option(question: Column) -> Column:
+    """First option starting with the answer; null unless the question can be re-lettered."""
+    answer = strip(question["answer"])
+    first = F.get(F.filter(question["options"], lambda o: F.startswith(o, answer)), 0)
+    return F.when((F.size(question["options"]) >= 2) & (answer != ""), first)
+
+
+def _letter(position: Column) -> Column:
     letters = F.array(*[F.lit(x) for x in V.LETTERS])
+    return F.get(letters, (position % len(V.LETTERS)).cast("int"))
 
-    def letter(position):
-        return F.get(letters, (position % len(V.LETTERS)).cast("int"))
 
-    lettered = F.transform(mixed, lambda raw, i: F.concat(letter(i), F.lit(". "), raw))
-    matching = F.filter(
-        F.transform(mixed, lambda raw, i: F.when(raw == without_prefix(correct), letter(i))),
-        lambda x: x.isNotNull(),
-    )
-    return F.when(
-        fits,
-        F.struct(
-            question["question"].alias("question"),
-            lettered.alias("options"),
-            F.element_at(matching, -1).alias("answer"),
-        ),
-    ).otherwise(question)
+def lettered(texts: Column) -> Column:
+    return F.transform(texts, lambda text, i: F.concat(_letter(i), F.lit(". "), text))
+
+
+def letter_of(texts: Column, text: Column) -> Column:
+    """Letter of the last option equal to ``text``."""
+    hits = F.transform(texts, lambda option, i: F.when(option == text, _letter(i)))
+    return F.element_at(F.array_compact(hits), -1)

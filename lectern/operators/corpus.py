@@ -17,7 +17,7 @@ def chunk_id(document_key: Column, page_number: Column, chunk_no: Column) -> Col
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Single-line trimmed ``text``; pages without any are dropped."""
-    return pages.withColumn("text", X.page_text("text")).where(F.length("text") > 0)
+    return pages.withColumn("text", X.page_text(F.col("text"))).where(F.length("text") > 0)
 
 
 def chunk_pages(
@@ -30,9 +30,12 @@ def chunk_pages(
     """
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
     last = F.ceil(F.length("text") / STEP) - 1
+    starts = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
     rows = (
-        clean_pages(pages)
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        pages.withColumn("text", X.page_text(F.col("text")))
+        # explode_outer: the inferred filter of a plain explode would clean the text again.
+        .withColumn("chunk_no", F.explode_outer(starts))
+        .where(F.col("chunk_no").isNotNull())
         .select(
             chunk_id(F.col("document_key"), F.col("page_number"), F.col("chunk_no"))
             .alias("chunk_id"),
@@ -50,9 +53,13 @@ def chunk_pages(
 def chunk_counts(pages: DataFrame) -> DataFrame:
     """Pages and chunks per chapter, from the text lengths; no chunk is cut for it."""
     return (
-        clean_pages(pages)
-        .groupBy(X.chapter_name(F.col("file_name")).alias("chapter"))
-        .agg(F.count("*").alias("pages"), F.sum(F.ceil(F.length("text") / STEP)).alias("chunks"))
+        pages.select(
+            X.chapter_name(F.col("file_name")).alias("chapter"),
+            F.ceil(F.length(X.page_text(F.col("text"))) / STEP).alias("n"),
+        )
+        .groupBy("chapter")
+        .agg(F.count_if(F.col("n") > 0).alias("pages"), F.sum("n").alias("chunks"))
+        .where(F.col("pages") > 0)
     )
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.functions import quizzes as Q
-from lectern.functions.model_text import quiz_records, request_payload
+from lectern.functions import model_text as M
+from lectern.functions.model_text import request_payload
 from lectern.functions.text import fill
 from lectern.operators.ordering import HOT_GROUP_ROWS, ordered_concat
 
@@ -20,13 +21,36 @@ def quiz_prompts(topics: DataFrame, model: str) -> DataFrame:
 
 def quiz_questions(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame:
     """One row per question of each raw reply: ``(key, question_no, quiz)``."""
-    return replies.select(key, F.posexplode(quiz_records(F.col(reply))).alias("p", "quiz")).select(
-        key, (F.col("p") + 1).alias("question_no"), "quiz"
+    return (
+        replies.select(key, M.quiz_json(F.col(reply)).alias("_json"))
+        .withColumn("_records", M.quiz_records(F.col("_json")))
+        .withColumn("_records", M.whole_quiz(F.col("_records")))
+        # posexplode_outer: the inferred filter of a plain one would parse the reply again.
+        .select(key, F.posexplode_outer("_records").alias("p", "quiz"))
+        .where(F.col("p").isNotNull())
+        .select(key, (F.col("p") + 1).alias("question_no"), "quiz")
     )
 
 
 def relabelled(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("quiz", Q.relabel(F.col("quiz")))
+    """Put the options of each ``quiz`` record in a fixed mixed order with new letters.
+
+    The order depends on question and option text only, so every run gives the same quiz, and
+    the key follows its option. A record with fewer than two options, without an answer or
+    without an option starting with it stays as it is.
+    """
+    quiz = F.col("quiz")
+    relabelled_quiz = F.struct(
+        quiz["question"].alias("question"), Q.lettered(F.col("_mixed")).alias("options"),
+        Q.letter_of(F.col("_mixed"), F.col("_raw")).alias("answer"),
+    )
+    return (
+        questions.withColumn("_correct", Q.correct_option(quiz))
+        .withColumn("_raw", Q.without_prefix(F.col("_correct")))
+        .withColumn("_mixed", F.when(F.col("_correct").isNotNull(), Q.mixed_options(quiz)))
+        .withColumn("quiz", F.when(F.col("_correct").isNotNull(), relabelled_quiz).otherwise(quiz))
+        .drop("_correct", "_raw", "_mixed")
+    )
 
 
 def align_answers(attempts: DataFrame) -> DataFrame:
@@ -68,13 +92,13 @@ def breakdowns(
 
     Question numbers follow ``order``. Score and text come from one pass over the answers.
     """
-    right = Q.is_correct(F.col("choice"), F.col("answer_key"))
     line = Q.breakdown_line(
-        F.col("_n"), F.col("question"), F.col("choice"), F.col("answer_key")
+        F.col("_n"), F.col("_right"), F.col("question"), F.col("choice"), F.col("answer_key")
     )
+    marked = answers.withColumn("_right", Q.is_correct(F.col("choice"), F.col("answer_key")))
     return ordered_concat(
-        answers, [attempt], order, V.BLOCK_SEPARATOR,
-        {"breakdown": line}, {"score": right.cast("int")}, hot_rows=hot_rows,
+        marked, [attempt], order, V.BLOCK_SEPARATOR,
+        {"breakdown": line}, {"score": F.col("_right").cast("int")}, hot_rows=hot_rows,
     ).select(
         attempt, "breakdown", F.col("score").cast("int").alias("score"),
         F.col("rows").cast("int").alias("total"),

@@ -113,11 +113,6 @@ def first_rows(
     return _number_plain(df, keys, order, out).where(F.col(out) <= n)
 
 
-def _joined(position: str, text: str, separator: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(text).alias("_t"))))
-    return F.array_join(F.transform(rows, lambda r: r["_t"]), separator)
-
-
 def ordered_concat(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], separator: str,
     texts: dict[str, Column], totals: dict[str, Column] | None = None,
@@ -132,25 +127,30 @@ def ordered_concat(
     totals = totals or {}
     ordinary, hot = split_hot(df, keys, hot_rows)
 
-    def joined(numbered, by):
-        lines = numbered.select(
-            *by, number, *[e.alias(name) for name, e in {**texts, **totals}.items()]
+    def lines(numbered, *more):
+        values = [e.alias(name) for name, e in {**texts, **totals}.items()]
+        return numbered.select(*keys, *more, F.col(number).alias("_at"), *values)
+
+    def joined(rows, by, count):
+        listed = rows.groupBy(*by).agg(
+            count.alias("rows"), *[F.sum(name).alias(name) for name in totals],
+            F.sort_array(F.collect_list(F.struct("_at", *texts))).alias("_list"),
         )
-        return lines.groupBy(*by).agg(
-            F.count("*").alias("rows"),
-            *[_joined(number, name, separator).alias(name) for name in texts],
-            *[F.sum(name).alias(name) for name in totals],
+        return listed.select(
+            *by, "rows", *totals,
+            *[
+                F.array_join(F.transform("_list", lambda r, n=name: r[n]), separator).alias(name)
+                for name in texts
+            ],
         )
 
-    result = joined(_number_plain(ordinary, keys, order, number), keys)
+    whole = joined(lines(_number_plain(ordinary, keys, order, number)), keys, F.count("*"))
     if hot is None:
-        return result
-    numbered = _number_hot(hot, keys, order, number).withColumn(
-        "_block", F.floor((F.col(number) - 1) / block_rows)
+        return whole
+    block = F.floor((F.col(number) - 1) / block_rows).alias("_block")
+    blocks = joined(
+        lines(_number_hot(hot, keys, order, number), block), [*keys, "_block"], F.count("*")
     )
-    whole = joined(numbered, [*keys, "_block"]).groupBy(*keys).agg(
-        F.sum("rows").alias("rows"),
-        *[_joined("_block", name, separator).alias(name) for name in texts],
-        *[F.sum(name).alias(name) for name in totals],
+    return whole.unionByName(
+        joined(blocks.withColumnRenamed("_block", "_at"), keys, F.sum("rows"))
     )
-    return result.unionByName(whole)

@@ -29,7 +29,7 @@ def contexts(found: DataFrame) -> DataFrame:
         F.col("class_level"), X.chapter_number(F.col("chapter")), F.col("page_number"),
         F.col("text_content"),
     )
-    blocks = F.array_sort(F.collect_list(F.struct(F.col("rank"), block.alias("block"))))
+    blocks = F.sort_array(F.collect_list(F.struct(F.col("rank"), block.alias("block"))))
     return found.groupBy("question_id").agg(
         F.array_join(F.transform(blocks, lambda b: b["block"]), V.BLOCK_SEPARATOR)
         .alias("context"),
@@ -69,7 +69,7 @@ def source_lists(source_rows: DataFrame) -> DataFrame:
     )
     return source_rows.groupBy("question_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(record)), lambda s: s.dropFields("source_no")
+            F.sort_array(F.collect_list(record)), lambda s: s.dropFields("source_no")
         ).alias("sources")
     )
 

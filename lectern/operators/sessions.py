@@ -109,7 +109,7 @@ def recent_topics(messages: DataFrame) -> DataFrame:
         messages.where(F.col("role") == "user").select("session_id", "turn", "content"),
         ["session_id"], [F.col("turn").desc()], V.TOPIC_MESSAGES, "_n",
     )
-    rows = F.array_sort(F.collect_list(F.struct("turn", "content")))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "content")))
     return last.groupBy("session_id").agg(
         F.array_join(F.transform(rows, lambda r: r["content"]), V.TOPIC_SEPARATOR).alias("topics"),
         F.count("*").cast("int").alias("n_messages"),

@@ -317,12 +317,17 @@ def session_report_input(spark, sf):
 
 @query
 def clean_completions(spark, sf):
-    envelope = F.col("envelope")
-    answer = M.completion_text(envelope, V.EMPTY_RESPONSE)
-    return I.completions(spark, sf).select(
-        "doc_id", answer.alias("answer"),
-        M.without_fences(M.completion_text(envelope, "")).alias("report"),
-        M.analysis_text(envelope).alias("analysis"),
+    message = F.col("message")
+    return (
+        I.completions(spark, sf)
+        .select("doc_id", M.reply_message(F.col("envelope")).alias("message"))
+        .select(
+            "doc_id",
+            M.completion_text(message, V.EMPTY_RESPONSE).alias("answer"),
+            M.without_fences(M.completion_text(message, "")).alias("report"),
+            M.reply_body(message).alias("body"),
+        )
+        .select("doc_id", "answer", "report", M.analysis_text(F.col("body")).alias("analysis"))
     )
 
 

@@ -65,8 +65,8 @@ def answer_questions(
     done = cut_lineage(
         hooks.complete_prompts(requests, "question_id", "payload", client_factory)
     )
-    text = M.completion_text(F.col("response"), V.EMPTY_RESPONSE)
-    answered = done.select(
+    text = M.completion_text(F.col("message"), V.EMPTY_RESPONSE)
+    answered = done.withColumn("message", M.reply_message(F.col("response"))).select(
         "question_id", "error", F.when(F.col("error").isNull(), text).alias("answer")
     )
     cited = retrieval.source_lists(retrieval.sources(found, prefix, base_dir))
@@ -89,7 +89,9 @@ def generate_quizzes(messages: DataFrame, client_factory: Callable, model: str)
     done = cut_lineage(
         hooks.complete_prompts(requests, "session_id", "payload", client_factory)
     )
-    replies = done.withColumn("reply", M.completion_text(F.col("response"), V.EMPTY_QUIZ))
+    replies = done.withColumn("message", M.reply_message(F.col("response"))).withColumn(
+        "reply", M.completion_text(F.col("message"), V.EMPTY_QUIZ)
+    )
     return grading.relabelled(grading.quiz_questions(replies, "session_id"))
 
 
@@ -102,7 +104,11 @@ def evaluate_attempts(
     done = cut_lineage(
         hooks.complete_prompts(requests, "attempt_id", "payload", client_factory)
     )
-    analysis = done.select("attempt_id", M.analysis_text(F.col("response")).alias("analysis"))
+    analysis = (
+        done.withColumn("message", M.reply_message(F.col("response")))
+        .withColumn("body", M.reply_body(F.col("message")))
+        .select("attempt_id", M.analysis_text(F.col("body")).alias("analysis"))
+    )
     return attempts.join(grading.grade(answers), "attempt_id").join(analysis, "attempt_id")
 
 
@@ -134,10 +140,13 @@ def report_sessions(
     done = cut_lineage(
         hooks.complete_prompts(requests, "session_id", "payload", client_factory)
     )
-    text = M.without_fences(M.completion_text(F.col("response"), ""))
-    report = F.when(M.reply_message(F.col("response")).isNotNull(), text).otherwise(
-        F.lit(V.REPORT_FAILED)
+    message = F.col("message")
+    report = F.when(
+        message.isNotNull(), M.without_fences(M.completion_text(message, ""))
+    ).otherwise(F.lit(V.REPORT_FAILED))
+    reported = done.withColumn("message", M.reply_message(F.col("response"))).select(
+        "session_id", report.alias("report")
     )
     return requests.select("session_id", "n_quizzes", "reply").join(
-        done.select("session_id", report.alias("report")), "session_id", "left"
+        reported, "session_id", "left"
     ).select("session_id", "n_quizzes", F.coalesce("report", "reply").alias("report"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.fixed_values import DOCUMENT_SUFFIX
 
+BATCH_PAGES = 5000
 PAGES = "file_name string, page_number int, text string"
 
 
@@ -42,16 +43,16 @@ def extract_pages(
     """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extractor = extractor_factory()
+        extractor, columns = extractor_factory(), ["file_name", "page_number", "text"]
         for batch in batches:
+            rows = []
             for name, content in zip(batch["file_name"], batch["content"]):
-                rows = []
                 for page_number, text in enumerate(extractor(bytes(content)), start=1):
                     rows.append((name, page_number, text))
-                    if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=["file_name", "page_number", "text"])
+                    if len(rows) == BATCH_PAGES:
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file_name", "page_number", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return documents.select("file_name", "content").mapInPandas(extract, PAGES)
