@@ -139,7 +139,7 @@ def ordered_concat(
         return listed.select(
             *by, "rows", *totals,
             *[
-                F.array_join(F.transform("_list", lambda r, n=name: r[n]), separator).alias(name)
+                F.array_join(F.col("_list").getField(name), separator).alias(name)
                 for name in texts
             ],
         )

@@ -31,7 +31,7 @@ def contexts(found: DataFrame) -> DataFrame:
     )
     blocks = F.sort_array(F.collect_list(F.struct(F.col("rank"), block.alias("block"))))
     return found.groupBy("question_id").agg(
-        F.array_join(F.transform(blocks, lambda b: b["block"]), V.BLOCK_SEPARATOR)
+        F.array_join(blocks.getField("block"), V.BLOCK_SEPARATOR)
         .alias("context"),
         F.count("*").alias("n_chunks"),
     )

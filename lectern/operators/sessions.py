@@ -111,7 +111,7 @@ def recent_topics(messages: DataFrame) -> DataFrame:
     )
     rows = F.sort_array(F.collect_list(F.struct("turn", "content")))
     return last.groupBy("session_id").agg(
-        F.array_join(F.transform(rows, lambda r: r["content"]), V.TOPIC_SEPARATOR).alias("topics"),
+        F.array_join(rows.getField("content"), V.TOPIC_SEPARATOR).alias("topics"),
         F.count("*").cast("int").alias("n_messages"),
     )
 
