@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +37,11 @@ def _matrix(column) -> np.ndarray:
     """Arrow list column to an (n, d) float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.to_pylist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n and len(flat) % n:
-        raise ValueError("vectors of different lengths")
-    return flat.reshape(n, -1)
+    return flat.reshape(len(column), lengths[0].as_py() if len(lengths) else 0)
 
 
 def _block_pairs(q, q_norm, o, o_norm, k, bound):
