@@ -52,9 +52,20 @@ def quiz_json(reply: Column) -> Column:
     return F.regexp_extract(reply, V.JSON_ARRAY, 0)
 
 
+def is_one_json_value(text: Column) -> Column:
+    """Whether the text is strict JSON with nothing after its first value.
+
+    Spark's parsers stop after one value. Text that still ends early inside ``{"v": …}`` has to
+    close a brace there, which makes ``[…]`` around it unreadable.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    return in_object.isNotNull() & F.coalesce(in_array == 1, F.lit(False))
+
+
 def quiz_records(text: Column) -> Column:
     """Question records of a JSON text; null when it cannot be read."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schemas.QUIZ))
+    return F.when(is_one_json_value(text), F.from_json(text, schemas.QUIZ))
 
 
 def whole_quiz(records: Column) -> Column:

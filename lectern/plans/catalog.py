@@ -1,5 +1,6 @@
 """The registered queries: every operator over the whole test tables."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from lectern.operators import retrieval as A
 from lectern.operators import sessions as S
 from lectern.operators.neighbours import nearest
 from lectern.plans import inputs as I
+from lectern.plans import tutoring
 from lectern.sources import files
 from lectern.sources.tables import read
 from lectern.streaming import chat_log as stream_log
@@ -241,10 +243,10 @@ def quiz_relabel(spark, sf):
     return _flat(G.relabelled(G.quiz_questions(I.quiz_replies(spark, sf), "part_id")))
 
 
-def _flat(questions):
+def _flat(questions, key="part_id"):
     quiz = F.col("quiz")
     return questions.select(
-        "part_id", "question_no", quiz["question"].alias("question"),
+        key, "question_no", quiz["question"].alias("question"),
         F.array_join(quiz["options"], " | ").alias("options"), quiz["answer"].alias("answer"),
     )
 
@@ -350,6 +352,62 @@ def complete_prompts(spark, sf):
     )
 
 
+# --- whole jobs, with stand-ins for the models ---------------------------------------------
+
+
+def _stub_client():
+    """Replies with a text that holds a small quiz; every fifth request length fails."""
+
+    def call(request):
+        n = len(request)
+        if n % 5 == 0:
+            raise ValueError("no answer")
+        quiz = f'[{{"question": "Length?", "options": ["A. {n}", "B) {n + 1}", "C. 0"], "answer": "A"}}]'
+        message = {"content": f"The request has {n} characters: {quiz}"}
+        return json.dumps({"choices": [{"message": message}]})
+
+    return call
+
+
+@query
+def answer_questions(spark, sf):
+    """Benchmark texts as questions against the letter counts of all chunks."""
+    chunks = I.chunks(spark, sf)
+    vectors = H.embed_texts(chunks, "chunk_id", "text_content", _letter_counts)
+    questions = read(spark, sf, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question")
+    )
+    found = tutoring.find_chunks(questions, vectors, chunks, _letter_counts, V.ANSWER_TOP_K)
+    answered = tutoring.answer_questions(
+        questions, found, _stub_client, I.MODEL, I.SYLLABUS, I.FILE_PREFIX, I.BASE_DIR
+    )
+    return answered.select(
+        "question_id", "answer", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"),
+        F.col("sources")[0]["label"].alias("first_source"), "error",
+    )
+
+
+@query
+def generate_quizzes(spark, sf):
+    quizzes = tutoring.generate_quizzes(I.messages(spark, sf), _stub_client, I.MODEL)
+    return _flat(quizzes, "session_id")
+
+
+@query
+def evaluate_attempts(spark, sf):
+    evaluated = tutoring.evaluate_attempts(
+        I.attempt_heads(spark, sf), I.answers(spark, sf), I.answer_order(), _stub_client, I.MODEL
+    )
+    return evaluated.select("attempt_id", "user_id", "score", "total", "proficiency", "analysis")
+
+
+@query
+def report_sessions(spark, sf):
+    graded = I.graded(spark, sf).withColumn("quiz_id", F.col("attempt_id").cast("string"))
+    everyone = I.attempt_heads(spark, sf).select("session_id").distinct()
+    return tutoring.report_sessions(everyone, graded, _stub_client, I.MODEL)
+
+
 # --- streams ------------------------------------------------------------------------------
 
 

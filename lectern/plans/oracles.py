@@ -175,6 +175,25 @@ PARTS = {
               FROM graded GROUP BY user_id, session_id, class_level)
         QUALIFY row_number() OVER (PARTITION BY user_id
                     ORDER BY changed_at DESC, change_rank DESC, change_id DESC) = 1"""),
+    "evaluation": (["breakdown"], f"""SELECT attempt_id, prompt, {payload("prompt", V.EVALUATION_TEMPERATURE)} AS payload
+        FROM (SELECT attempt_id, CASE WHEN wrong = 0
+                  THEN {filled(V.PERFECT_SCORE_PROMPT, score="score", total="total",
+                               breakdown="breakdown")}
+                  ELSE {filled(V.EVALUATION_PROMPT, score="score", total="total",
+                               breakdown="breakdown")} END AS prompt
+              FROM breakdown)"""),
+    "report": (["graded"], f"""SELECT session_id, n_quizzes, prompt,
+               CASE WHEN n_quizzes = 0 THEN {quoted(V.NO_QUIZZES)} END AS reply,
+               {payload("prompt", V.REPORT_TEMPERATURE)} AS payload
+        FROM (SELECT session_id, coalesce(n, 0) AS n_quizzes,
+                     {filled(V.REPORT_PROMPT, evaluations="evaluations")} AS prompt
+              FROM (SELECT DISTINCT session_id FROM head) LEFT JOIN (
+                  SELECT session_id, count(*) AS n, string_agg({filled(
+                      V.QUIZ_OUTPUT, quiz_no="i", analysis="analysis",
+                  )}, {quoted(V.BLOCK_SEPARATOR)} ORDER BY i) AS evaluations
+                  FROM (SELECT *, row_number() OVER (PARTITION BY session_id
+                            ORDER BY created_at, attempt_id::VARCHAR) AS i FROM graded)
+                  GROUP BY session_id) USING (session_id))"""),
     "reply": ([], f"""
         SELECT p_partkey AS part_id,
                CASE WHEN p_partkey % 11 = 0 THEN 'No quiz today.'
@@ -226,7 +245,37 @@ def with_parts(select: str, *names: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + select
 
 
-RAW_CORRECT = r"regexp_replace(correct, '^[A-Z][.)]\s*', '')"
+STRIP_PREFIX = r"'^[A-Z][.)]\s*', ''"
+
+
+def relabelled(source: str, key: str) -> str:
+    """Re-lettered quiz rows of ``source (key, question_no, question, options[], answer)``."""
+    raw = f"regexp_replace(o, {STRIP_PREFIX})"
+    return f"""SELECT {key}, question_no, question,
+               array_to_string(CASE WHEN fits THEN list_transform(mixed, lambda x, i:
+                   {LETTERS}[(i - 1) % 6 + 1] || '. ' || x) ELSE options END, ' | ') AS options,
+               CASE WHEN fits THEN list_filter(list_transform(mixed, lambda x, i:
+                   CASE WHEN x = regexp_replace(correct, {STRIP_PREFIX})
+                        THEN {LETTERS}[(i - 1) % 6 + 1] END),
+                   lambda x: x IS NOT NULL)[-1] ELSE answer END AS answer
+        FROM (SELECT *, len(options) >= 2 AND key <> '' AND correct IS NOT NULL AS fits
+              FROM (SELECT *, list_filter(options, lambda o: starts_with(o, key))[1] AS correct,
+                           list_transform(list_sort(list_transform(options, lambda o:
+                               md5(question || {raw}) || {raw})),
+                               lambda x: substr(x, 33)) AS mixed
+                    FROM (SELECT *, {stripped("answer")} AS key FROM {source})))"""
+
+
+def letter_counts(text: str) -> str:
+    return f"""list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','),
+        lambda x: length({text}) - length(replace({text}, x, '')))"""
+
+
+# The stand-in model of the whole jobs: its reply text by request length ``n``; it fails when
+# the length is a multiple of five.
+STUB_REPLY = """('The request has ' || n || ' characters: [{"question": "Length?", "options": ["A. '
+    || n || '", "B) ' || (n + 1) || '", "C. 0"], "answer": "A"}]')"""
+
 
 ORACLES = {
     "chunk_documents": with_parts("SELECT * EXCLUDE (doc_id) FROM chunk", "chunk"),
@@ -253,10 +302,7 @@ ORACLES = {
         FROM (SELECT doc_id, pages, unnest(range(0, len(pages))) AS i
               FROM (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents))""",
     "embed_texts": with_parts(
-        """SELECT chunk_id, array_to_string(list_transform(
-               string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','),
-               lambda x: length(text_content) - length(replace(text_content, x, ''))), ',')
-               AS embedding
+        f"""SELECT chunk_id, array_to_string({letter_counts("text_content")}, ',') AS embedding
         FROM chunk""", "chunk",
     ),
     "knn_topk": with_parts("SELECT * REPLACE (round(distance, 6) AS distance) FROM hit", "hit"),
@@ -335,32 +381,10 @@ ORACLES = {
     "quiz_extract": with_parts(
         "SELECT * REPLACE (array_to_string(options, ' | ') AS options) FROM quiz", "quiz"
     ),
-    "quiz_relabel": with_parts(
-        rf"""SELECT part_id, question_no, question,
-               array_to_string(CASE WHEN fits THEN list_transform(mixed, lambda x, i:
-                   {LETTERS}[(i - 1) % 6 + 1] || '. ' || x) ELSE options END, ' | ') AS options,
-               CASE WHEN fits THEN list_filter(list_transform(mixed, lambda x, i:
-                   CASE WHEN x = {RAW_CORRECT} THEN {LETTERS}[(i - 1) % 6 + 1] END),
-                   lambda x: x IS NOT NULL)[-1] ELSE answer END AS answer
-        FROM (SELECT *, len(options) >= 2 AND key <> '' AND correct IS NOT NULL AS fits
-              FROM (SELECT *, list_filter(options, lambda o: starts_with(o, key))[1] AS correct,
-                           list_transform(list_sort(list_transform(options, lambda o:
-                               md5(question || regexp_replace(o, '^[A-Z][.)]\s*', ''))
-                               || regexp_replace(o, '^[A-Z][.)]\s*', ''))),
-                               lambda x: substr(x, 33)) AS mixed
-                    FROM (SELECT *, {stripped("answer")} AS key FROM quiz)))""", "quiz",
-    ),
+    "quiz_relabel": with_parts(relabelled("quiz", "part_id"), "quiz"),
     "grade_quiz": with_parts("SELECT * FROM grade", "grade"),
     "quiz_breakdown": with_parts("SELECT * FROM breakdown", "breakdown"),
-    "evaluation_prompts": with_parts(
-        f"""SELECT attempt_id, prompt, {payload("prompt", V.EVALUATION_TEMPERATURE)} AS payload
-        FROM (SELECT attempt_id, CASE WHEN wrong = 0
-                  THEN {filled(V.PERFECT_SCORE_PROMPT, score="score", total="total",
-                               breakdown="breakdown")}
-                  ELSE {filled(V.EVALUATION_PROMPT, score="score", total="total",
-                               breakdown="breakdown")} END AS prompt
-              FROM breakdown)""", "breakdown",
-    ),
+    "evaluation_prompts": with_parts("SELECT * FROM evaluation", "evaluation"),
     "quiz_history_rows": with_parts(
         """SELECT sha256(attempt_id::VARCHAR) AS quiz_id, session_id, user_id, questions,
                user_answers, correct_answers, score, total, analysis AS strong_point,
@@ -384,20 +408,7 @@ ORACLES = {
         FROM graded""", "graded",
     ),
     "user_memory_current": with_parts("SELECT * FROM memory", "memory"),
-    "session_report_input": with_parts(
-        f"""SELECT session_id, n_quizzes, prompt,
-               CASE WHEN n_quizzes = 0 THEN {quoted(V.NO_QUIZZES)} END AS reply,
-               {payload("prompt", V.REPORT_TEMPERATURE)} AS payload
-        FROM (SELECT session_id, coalesce(n, 0) AS n_quizzes,
-                     {filled(V.REPORT_PROMPT, evaluations="evaluations")} AS prompt
-              FROM (SELECT DISTINCT session_id FROM head) LEFT JOIN (
-                  SELECT session_id, count(*) AS n, string_agg({filled(
-                      V.QUIZ_OUTPUT, quiz_no="i", analysis="analysis",
-                  )}, {quoted(V.BLOCK_SEPARATOR)} ORDER BY i) AS evaluations
-                  FROM (SELECT *, row_number() OVER (PARTITION BY session_id
-                            ORDER BY created_at, attempt_id::VARCHAR) AS i FROM graded)
-                  GROUP BY session_id) USING (session_id))""", "graded",
-    ),
+    "session_report_input": with_parts("SELECT * FROM report", "report"),
     "clean_completions": with_parts(
         f"""SELECT doc_id,
                {stripped(f"coalesce(nullif(c, ''), nullif(r, ''), {quoted(V.EMPTY_RESPONSE)})")}
@@ -417,6 +428,56 @@ ORACLES = {
                CASE WHEN length(payload) % 5 = 0 THEN 'ValueError: no answer' END AS error
         FROM topic_request""", "topic_request",
     ),
+    "answer_questions": with_parts(
+        f"""SELECT question_id, CASE WHEN n % 5 <> 0 THEN {STUB_REPLY} END AS answer,
+               CASE WHEN n % 5 <> 0 THEN n_sources ELSE 0 END::INT AS n_sources,
+               CASE WHEN n % 5 <> 0 THEN first_source END AS first_source,
+               CASE WHEN n % 5 = 0 THEN 'ValueError: no answer' END AS error
+        FROM (SELECT question_id, length({payload("prompt", V.ANSWER_TEMPERATURE)}) AS n,
+                     n_sources, first_source
+              FROM (SELECT question_id, count(DISTINCT (nn, page_number)) AS n_sources,
+                           arg_min(label, rank) AS first_source,
+                           {filled(V.ANSWER_PROMPT, question="any_value(question)", context=
+                                   f"string_agg(block, {quoted(V.BLOCK_SEPARATOR)} ORDER BY rank)")}
+                               AS prompt
+                    FROM (SELECT *, {filled(
+                              V.CONTEXT_BLOCK, class_level="class_level", chapter_no="nn",
+                              page_number="page_number", text_content="text_content")} AS block,
+                              {filled(V.SOURCE_LABEL, class_level="class_level",
+                                      chapter_no="nn", page_number="page_number")} AS label
+                          FROM (SELECT *, right(chapter, 2) AS nn,
+                                       row_number() OVER (PARTITION BY question_id
+                                           ORDER BY d, chunk_id) AS rank
+                                FROM (SELECT q.item_id AS question_id, q.text AS question, c.*,
+                                             list_distance(c.v, q.v) AS d
+                                      FROM (SELECT *, {letter_counts("text_content")}::DOUBLE[]
+                                                AS v FROM chunk) c
+                                      CROSS JOIN (SELECT *, {letter_counts("text")}::DOUBLE[]
+                                                AS v FROM benchmark) q))
+                          WHERE rank <= {V.ANSWER_TOP_K})
+                    GROUP BY question_id))""", "chunk",
+    ),
+    "generate_quizzes": with_parts(
+        relabelled(
+            """(SELECT session_id, 1::INT AS question_no, 'Length?' AS question,
+                       ['A. ' || n, 'B) ' || (n + 1), 'C. 0'] AS options, 'A' AS answer
+                FROM (SELECT session_id, length(payload) AS n FROM topic_request)
+                WHERE n % 5 <> 0)""", "session_id",
+        ), "topic_request",
+    ),
+    "evaluate_attempts": with_parts(
+        f"""SELECT attempt_id, user_id, score, total, proficiency,
+               CASE WHEN n % 5 = 0 THEN {quoted(V.DEFAULT_ANALYSIS)} ELSE {STUB_REPLY} END
+                   AS analysis
+        FROM graded JOIN (SELECT attempt_id, length(payload) AS n FROM evaluation)
+             USING (attempt_id)""", "graded", "evaluation",
+    ),
+    "report_sessions": with_parts(
+        f"""SELECT session_id, n_quizzes,
+               CASE WHEN n_quizzes = 0 THEN reply
+                    WHEN n % 5 = 0 THEN {quoted(V.REPORT_FAILED)} ELSE {STUB_REPLY} END AS report
+        FROM (SELECT *, length(payload) AS n FROM report)""", "report",
+    ),
     "stream_chat_log": with_parts(
         f"""SELECT log_id, {filled(V.METRIC_NAME, user_id="user_id")} AS metric_name,
                {quoted(V.METRIC_VALUE)} AS metric_value, timestamp FROM chat""", "chat",
