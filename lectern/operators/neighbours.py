@@ -30,7 +30,7 @@ from lectern.operators.ordering import first_rows
 BROADCAST_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
 PIVOTS = 1024
-TILE_ROWS = 200_000
+TILE_ROWS = 50_000
 
 
 def _matrix(column) -> np.ndarray:
@@ -52,10 +52,12 @@ def _block_pairs(q, q_norm, o, o_norm, k, bound):
     """
     coarse = q_norm[:, None] + o_norm[None, :] - 2.0 * (q @ o.T)
     slack = 1e-9 * (q_norm + (o_norm.max() if len(o_norm) else 0.0)) + 1e-30
-    limit = bound
-    if o.shape[0] > k:
-        limit = np.minimum(limit, np.partition(coarse, k - 1, axis=1)[:, k - 1])
-    qi, oi = np.nonzero(coarse <= (limit + 2.0 * slack)[:, None])
+    near = coarse <= (bound + 2.0 * slack)[:, None]
+    # Later blocks have few rows below the bound; only a crowded one needs its own k-th best.
+    if o.shape[0] > k and np.count_nonzero(near) > 2 * k * len(q):
+        kth = np.partition(coarse, k - 1, axis=1)[:, k - 1]
+        near = coarse <= (np.minimum(bound, kth) + 2.0 * slack)[:, None]
+    qi, oi = np.nonzero(near)
     step = max(1, BLOCK_CELLS // max(1, q.shape[1]))
     distance = np.empty(len(qi))
     for start in range(0, len(qi), step):
@@ -152,12 +154,14 @@ def _by_broadcast(corpus, questions, k, id_col, question_col, vector):
 
 
 def _by_cells(corpus, questions, k, id_col, question_col, vector, pivots, tile_rows):
-    # Any distinct corpus rows serve as pivots: they steer the work, not the result.
+    # Any distinct corpus rows serve as pivots: they steer the work, not the result. All of them
+    # bound the distances; as many as give cells of about a tile are the cells' centres.
     pivot_matrix = _matrix(corpus.select(vector).limit(pivots).toArrow()[vector])
     if not len(pivot_matrix):
         return corpus.sparkSession.createDataFrame(
             [], _hit_schema(corpus, questions, id_col, question_col)
         )
+    centres = max(1, min(len(pivot_matrix), -(-corpus.count() // tile_rows)))
     shared = corpus.sparkSession.sparkContext.broadcast(pivot_matrix)
 
     def to_pivots(vectors):
@@ -182,7 +186,7 @@ def _by_cells(corpus, questions, k, id_col, question_col, vector, pivots, tile_r
     def assign(batches):
         for batch in batches:
             for part in slices(batch):
-                distance = to_pivots(_matrix(part[vector]))
+                distance = to_pivots(_matrix(part[vector]))[:, :centres]
                 cell = distance.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(cell, pa.int32()), pa.array(distance.min(axis=1))],
