@@ -29,12 +29,13 @@ def embed_texts(
 
 def complete_prompts(
     requests: DataFrame, key: str, payload: str, client_factory: Callable[[], Callable],
-    calls_at_once: int = 8,
+    calls_at_once: int = 8, tasks: int | None = None,
 ) -> DataFrame:
     """``(key, response, error)``. A call that raises fills ``error`` and fails no other row.
 
     The client maps one request text to one response text. A task keeps ``calls_at_once``
-    requests in flight. Rows without a request are not sent.
+    requests in flight; ``tasks`` spreads the requests first, as few bytes would otherwise share
+    a task however long their calls take. Rows without a request are not sent.
     """
     schema = T.StructType(
         [
@@ -65,4 +66,6 @@ def complete_prompts(
                 )
 
     sent = requests.where(F.col(payload).isNotNull()).select(key, payload)
+    if tasks is not None:
+        sent = sent.repartition(tasks, key)
     return sent.mapInPandas(call, schema)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
+from lectern import schemas
 from lectern.functions.model_text import request_payload
 from lectern.functions.text import fill
 from lectern.operators.ordering import HOT_GROUP_ROWS, latest_per_key, ordered_concat
@@ -71,6 +72,14 @@ def current_memory(*changes: DataFrame) -> DataFrame:
     return latest_per_key(every, ["user_id"], order).drop("change_rank", "change_id")
 
 
+def replace_memory(memory: DataFrame, *changes: DataFrame) -> DataFrame:
+    """Memory table after the changes: changed users get their last change, others stay."""
+    columns = schemas.USER_MEMORY.fieldNames()
+    latest = current_memory(*changes).select(*columns)
+    kept = memory.select(*columns).join(latest.select("user_id"), "user_id", "left_anti")
+    return kept.unionByName(latest)
+
+
 def session_reports(
     sessions: DataFrame, quizzes: DataFrame, model: str, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:

@@ -283,12 +283,14 @@ def session_quizzes(spark, sf):
     )
 
 
-def _memory(spark, sf):
-    graded = I.graded(spark, sf)
-    grades = R.memory_changes(
+def _grade_changes(graded):
+    return R.memory_changes(
         graded.withColumn("changed_at", F.col("created_at")),
         F.col("proficiency"), F.col("analysis"), 0, F.col("attempt_id"),
     )
+
+
+def _report_changes(graded):
     per_session = graded.groupBy("user_id", "session_id", "class_level").agg(
         F.count("*").alias("n"), F.max("created_at").alias("changed_at")
     )
@@ -296,10 +298,12 @@ def _memory(spark, sf):
         F.lit("Session "), F.col("session_id"), F.lit(": "), F.col("n").cast("string"),
         F.lit(" quizzes"),
     )
-    reports = R.memory_changes(
-        per_session, F.lit(V.REPORT_BAND), report, 1, F.col("session_id")
-    )
-    return R.current_memory(grades, reports)
+    return R.memory_changes(per_session, F.lit(V.REPORT_BAND), report, 1, F.col("session_id"))
+
+
+def _memory(spark, sf):
+    graded = I.graded(spark, sf)
+    return R.current_memory(_grade_changes(graded), _report_changes(graded))
 
 
 @query
@@ -307,6 +311,14 @@ def user_memory_current(spark, sf):
     return _memory(spark, sf)
 
 
+@query
+def memory_replaced(spark, sf):
+    """Memory after the grades of all attempts, then replaced by reports on perfect ones."""
+    graded = I.graded(spark, sf)
+    before = R.current_memory(_grade_changes(graded))
+    return R.replace_memory(before, _report_changes(graded.where("wrong = 0")))
+
+
 @query
 def session_report_input(spark, sf):
     graded = I.graded(spark, sf).withColumn("quiz_id", F.col("attempt_id").cast("string"))

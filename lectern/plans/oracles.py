@@ -47,6 +47,20 @@ PREFIX = quoted(I.FILE_PREFIX)
 BASE = quoted(I.BASE_DIR + "/")
 LETTERS = "[" + ", ".join(quoted(x) for x in V.LETTERS) + "]"
 
+def report_changes(graded: str) -> str:
+    return f"""SELECT user_id, class_level, {quoted(V.REPORT_BAND)} AS proficiency,
+               'Session ' || session_id || ': ' || count(*) || ' quizzes' AS strong_points,
+               strong_points AS weak_points, max(created_at) AS changed_at, 1 AS change_rank,
+               session_id AS change_id
+        FROM {graded} GROUP BY user_id, session_id, class_level"""
+
+
+def latest_memory(changes: str) -> str:
+    return f"""SELECT * EXCLUDE (change_rank, change_id) FROM {changes}
+        QUALIFY row_number() OVER (PARTITION BY user_id
+                    ORDER BY changed_at DESC, change_rank DESC, change_id DESC) = 1"""
+
+
 # Shared sub-queries; each names the ones it needs.
 PARTS = {
     "page": ([], f"""
@@ -163,18 +177,14 @@ PARTS = {
                    question="question", choice="given", answer_key="answer_key",
                )}, {quoted(V.BLOCK_SEPARATOR)} ORDER BY question_no) AS breakdown
         FROM answer GROUP BY attempt_id"""),
-    "memory": (["graded"], f"""
+    "grade_change": (["graded"], """
         SELECT user_id, class_level, proficiency, analysis AS strong_points,
-               analysis AS weak_points, changed_at
-        FROM (SELECT user_id, class_level, proficiency, analysis, created_at AS changed_at,
-                     0 AS change_rank, attempt_id::VARCHAR AS change_id FROM graded
-              UNION ALL
-              SELECT user_id, class_level, {quoted(V.REPORT_BAND)},
-                     'Session ' || session_id || ': ' || count(*) || ' quizzes',
-                     max(created_at), 1, session_id
-              FROM graded GROUP BY user_id, session_id, class_level)
-        QUALIFY row_number() OVER (PARTITION BY user_id
-                    ORDER BY changed_at DESC, change_rank DESC, change_id DESC) = 1"""),
+               analysis AS weak_points, created_at AS changed_at,
+               0 AS change_rank, attempt_id::VARCHAR AS change_id
+        FROM graded"""),
+    "report_change": (["graded"], report_changes("graded")),
+    "memory": (["grade_change", "report_change"], latest_memory(
+        "(SELECT * FROM grade_change UNION ALL SELECT * FROM report_change)")),
     "evaluation": (["breakdown"], f"""SELECT attempt_id, prompt, {payload("prompt", V.EVALUATION_TEMPERATURE)} AS payload
         FROM (SELECT attempt_id, CASE WHEN wrong = 0
                   THEN {filled(V.PERFECT_SCORE_PROMPT, score="score", total="total",
@@ -408,6 +418,13 @@ ORACLES = {
         FROM graded""", "graded",
     ),
     "user_memory_current": with_parts("SELECT * FROM memory", "memory"),
+    "memory_replaced": with_parts(
+        f"""SELECT * EXCLUDE (changed_at) FROM ({latest_memory("grade_change")})
+        WHERE user_id NOT IN (SELECT user_id FROM graded WHERE wrong = 0)
+        UNION ALL SELECT * EXCLUDE (changed_at) FROM ({latest_memory(
+            "(" + report_changes("(SELECT * FROM graded WHERE wrong = 0)") + ")")})""",
+        "grade_change",
+    ),
     "session_report_input": with_parts("SELECT * FROM report", "report"),
     "clean_completions": with_parts(
         f"""SELECT doc_id,

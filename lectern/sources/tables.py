@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import schemas
+from lectern.cluster import cut_lineage
 from lectern.operators.corpus import missing_chunks
 
 
@@ -38,6 +39,15 @@ def append(rows: DataFrame, database: str, name: str) -> None:
     conform(rows, schema).write.mode("append").insertInto(f"{database}.{name}")
 
 
+def replace(rows: DataFrame, database: str, name: str) -> None:
+    """Put ``rows`` in place of the table, also when they were computed from it.
+
+    The new state is complete in the shared folder before the table is touched.
+    """
+    state = cut_lineage(conform(rows, schemas.DYNAMIC_TABLES[name]))
+    state.write.insertInto(f"{database}.{name}", overwrite=True)
+
+
 def append_chunks(chunks: DataFrame, database: str) -> None:
     """Append the chunks that are not there yet; running it again adds nothing."""
     existing = chunks.sparkSession.table(f"{database}.corpus_chunks")

@@ -7,11 +7,14 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.operators.sessions import log_rows
 
 
-def start_chat_log(pairs: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
+def start_chat_log(
+    pairs: DataFrame, out_dir: str, checkpoint_dir: str, **trigger
+) -> StreamingQuery:
     """Write each micro-batch to the tables it changes, under ``out_dir``.
 
     Every table's rows of a batch go to the folder ``batch_id=<id>`` in overwrite mode, so a
-    batch that is replayed after a failure replaces itself.
+    batch that is replayed after a failure replaces itself. ``trigger`` is as in
+    ``writeStream.trigger``; by default all waiting input is processed and the query ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -25,7 +28,7 @@ def start_chat_log(pairs: DataFrame, out_dir: str, checkpoint_dir: str) -> Strea
     return (
         pairs.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def start_dashboard(log: DataFrame, user: str, out_path: str, checkpoint_dir: str) -> StreamingQuery:
+def start_dashboard(
+    log: DataFrame, user: str, out_path: str, checkpoint_dir: str, **trigger
+) -> StreamingQuery:
     """Keep ``(metric, value)`` at ``out_path`` up to date with a stream of log rows.
 
     The state is one count per user, spread over the state partitions; both counters are exact
-    and come from it. A replayed batch writes the same two rows again.
+    and come from it. A replayed batch writes the same two rows again. ``trigger`` is as in
+    ``writeStream.trigger``; by default all waiting input is processed and the query ends.
     """
     per_user = log.groupBy(F.col(user).alias("user")).count()
 
@@ -25,6 +28,6 @@ def start_dashboard(log: DataFrame, user: str, out_path: str, checkpoint_dir: st
         per_user.writeStream.outputMode("complete")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -94,7 +94,8 @@ def test_encoder_is_built_once_per_task_and_sees_whole_texts(spark):
     }
 
 
-def test_failing_call_spoils_no_other_row(spark):
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_failing_call_spoils_no_other_row(spark, tasks):
     def factory():
         def call(request):
             if request == "bad":
@@ -103,7 +104,7 @@ def test_failing_call_spoils_no_other_row(spark):
         return call
 
     rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "d")], "id int, p string")
-    got = {r.id: (r.response, r.error) for r in H.complete_prompts(rows, "id", "p", factory).collect()}
+    got = {r.id: (r.response, r.error) for r in H.complete_prompts(rows, "id", "p", factory, 2, tasks).collect()}
     assert got == {1: ("A", None), 2: (None, "RuntimeError: boom"), 4: ("D", None)}
 
 
@@ -257,6 +258,20 @@ def test_current_memory(spark):
     assert R.current_memory(grades).count() == 2
 
 
+def test_replaced_memory_table(spark, database):
+    columns = "user_id string, class_level int, proficiency string, strong_points string, weak_points string"
+    before = spark.createDataFrame(
+        [("a", 8, "Low", "x", "x"), ("a", 8, "Low", "copy", "copy"), ("b", 9, "High", "y", "y")], columns)
+    tables.append(before, database, "user_memory")
+    rows = spark.createDataFrame([("a", 1, 10), ("c", 2, 10)], "user_id string, changed_at int, class_level int")
+    changes = R.memory_changes(rows, F.lit("Medium"), F.lit("it's new"), 0, F.col("user_id"))
+    state = R.replace_memory(spark.table(f"{database}.user_memory"), changes)
+    tables.replace(state, database, "user_memory")
+    assert {tuple(r) for r in spark.table(f"{database}.user_memory").collect()} == {
+        ("a", 10, "Medium", "it's new", "it's new"), ("b", 9, "High", "y", "y"),
+        ("c", 10, "Medium", "it's new", "it's new")}
+
+
 # --- streams ------------------------------------------------------------------------------
 
 PAIR = ("session_id string, user_id string, prompt string, raw_response string, "
