@@ -29,12 +29,19 @@ def chunk_pages(
     A narrow transformation: windows are made where the page was read, without a shuffle.
     """
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    last = F.ceil(F.length("text") / STEP) - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
+    def window(piece, position):
+        following = F.left(F.get("pieces", position + 1), F.lit(V.OVERLAP_CHARS))
+        return F.concat(piece, F.coalesce(following, F.lit("")))
+
+    # Cut once from left to right: the time is linear in the text, however long the page.
+    steps = F.regexp_extract_all(X.page_text(F.col("text")), F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))
     rows = (
-        pages.withColumn("text", X.page_text(F.col("text")))
-        # explode_outer: the inferred filter of a plain explode would clean the text again.
-        .withColumn("chunk_no", F.explode_outer(starts))
+        pages.withColumn("pieces", steps)
+        # The inferred filter of a plain posexplode would cut the text again.
+        .select(
+            *[c for c in pages.columns if c != "text"],
+            F.posexplode_outer(F.transform("pieces", window)).alias("chunk_no", "text_content"),
+        )
         .where(F.col("chunk_no").isNotNull())
         .select(
             chunk_id(F.col("document_key"), F.col("page_number"), F.col("chunk_no"))
@@ -43,8 +50,7 @@ def chunk_pages(
             as_column(language).alias("language"),
             X.chapter_name(F.col("file_name")).alias("chapter"),
             F.col("page_number"),
-            F.substring("text", F.col("chunk_no") * STEP + 1, F.lit(V.CHUNK_CHARS))
-            .alias("text_content"),
+            F.col("text_content"),
         )
     )
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNKS])

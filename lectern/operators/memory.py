@@ -10,10 +10,10 @@ from lectern.functions.text import fill
 from lectern.operators.ordering import HOT_GROUP_ROWS, latest_per_key, ordered_concat
 
 
-def _json_item(value: Column) -> Column:
-    """JSON text of a single value: a one-element array without its brackets."""
-    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+def _json_items(values: Column) -> Column:
+    """JSON texts of an array's values: the JSON array without its brackets."""
+    text = F.to_json(values, {"ignoreNullFields": "false"})
+    return F.regexp_extract(text, r"(?s)^\[(.*)\]$", 1)
 
 
 def _json_list(joined: str) -> Column:
@@ -29,15 +29,13 @@ def quiz_history_rows(
     one row per question with a ``quiz`` record and the ``choice`` made. The same analysis
     fills both point columns.
     """
-    key = F.col("quiz")["answer"]
     lists = ordered_concat(
         answers, ["attempt_id"], order, ",",
         {
-            "questions": _json_item(F.col("quiz")),
-            "user_answers": _json_item(F.col("choice")),
-            "correct_answers": _json_item(key),
+            "questions": F.col("quiz"), "user_answers": F.col("choice"),
+            "correct_answers": F.col("quiz")["answer"],
         },
-        hot_rows=hot_rows,
+        hot_rows=hot_rows, as_text=_json_items,
     )
     return attempts.join(lists, "attempt_id").select(
         F.sha2(F.col("attempt_id").cast("string"), 256).alias("quiz_id"),
@@ -81,17 +79,18 @@ def replace_memory(memory: DataFrame, *changes: DataFrame) -> DataFrame:
 
 
 def session_reports(
-    sessions: DataFrame, quizzes: DataFrame, model: str, hot_rows: int = HOT_GROUP_ROWS
+    sessions: DataFrame, quizzes: DataFrame, model: str, hot_rows: int = HOT_GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Report prompt and request per session from its evaluations, oldest first.
 
     ``quizzes`` is ``(session_id, quiz_id, analysis, created_at)``. Sessions without a quiz get
-    the fixed reply instead of a prompt.
+    the fixed reply instead of a prompt. ``counted`` as in ``ordering.split_hot``.
     """
     line = fill(V.QUIZ_OUTPUT, quiz_no=F.col("_n"), analysis=F.col("analysis"))
     evaluations = ordered_concat(
         quizzes, ["session_id"], [F.col("created_at"), F.col("quiz_id")], V.BLOCK_SEPARATOR,
-        {"evaluations": line}, hot_rows=hot_rows,
+        {"evaluations": line}, hot_rows=hot_rows, counted=counted,
     )
     prompt = fill(V.REPORT_PROMPT, evaluations=F.col("evaluations"))
     return (

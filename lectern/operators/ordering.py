@@ -7,7 +7,7 @@ are range-partitioned over key *and* order, numbered piece by piece and shifted
 of the pieces before; all others use one plain window.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +28,17 @@ def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int):
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, counted: DataFrame | None = None
+):
     """``(rows of ordinary groups, rows of hot groups or None)``.
 
     There are at most ``rows / hot_rows`` hot keys, so the joins against them stay small.
+    ``counted`` may name a frame that is cheaper to count and has at least as many rows of
+    every key.
     """
     hot_keys = (
-        df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        (df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_rows).select(*keys)
     )
     if hot_keys.isEmpty():
@@ -69,10 +73,10 @@ def _number_hot(hot, keys, order, out):
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str,
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int = HOT_GROUP_ROWS, counted: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order`` should be total."""
-    ordinary, hot = split_hot(df, keys, hot_rows)
+    ordinary, hot = split_hot(df, keys, hot_rows, counted)
     numbered = _number_plain(ordinary, keys, order, out).withColumn(out, F.col(out).cast("long"))
     if hot is None:
         return numbered
@@ -117,40 +121,41 @@ def ordered_concat(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], separator: str,
     texts: dict[str, Column], totals: dict[str, Column] | None = None,
     hot_rows: int = HOT_GROUP_ROWS, block_rows: int = CONCAT_BLOCK_ROWS, number: str = "_n",
+    counted: DataFrame | None = None, as_text: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One row per group: its row count ``rows``, each text joined in order, each total summed.
 
-    The expressions may use the row's number in its group, under the name ``number``. The rows
-    of a hot group are first joined to blocks in parallel; only finished blocks meet in one
-    task, because the result itself is one string.
+    The expressions may use the row's number in its group, under the name ``number``.
+    ``as_text`` turns an ordered array of values into one text, for values that are not texts
+    themselves. The rows of a hot group are first joined to blocks in parallel; only finished
+    blocks meet in one task, because the result itself is one string.
     """
     totals = totals or {}
-    ordinary, hot = split_hot(df, keys, hot_rows)
+    plain_join = lambda values: F.array_join(values, separator)
+    ordinary, hot = split_hot(df, keys, hot_rows, counted)
 
     def lines(numbered, *more):
         values = [e.alias(name) for name, e in {**texts, **totals}.items()]
         return numbered.select(*keys, *more, F.col(number).alias("_at"), *values)
 
-    def joined(rows, by, count):
+    def joined(rows, by, count, to_text):
         listed = rows.groupBy(*by).agg(
             count.alias("rows"), *[F.sum(name).alias(name) for name in totals],
             F.sort_array(F.collect_list(F.struct("_at", *texts))).alias("_list"),
         )
         return listed.select(
             *by, "rows", *totals,
-            *[
-                F.array_join(F.col("_list").getField(name), separator).alias(name)
-                for name in texts
-            ],
+            *[to_text(F.col("_list").getField(name)).alias(name) for name in texts],
         )
 
-    whole = joined(lines(_number_plain(ordinary, keys, order, number)), keys, F.count("*"))
+    first = as_text or plain_join
+    whole = joined(lines(_number_plain(ordinary, keys, order, number)), keys, F.count("*"), first)
     if hot is None:
         return whole
     block = F.floor((F.col(number) - 1) / block_rows).alias("_block")
     blocks = joined(
-        lines(_number_hot(hot, keys, order, number), block), [*keys, "_block"], F.count("*")
+        lines(_number_hot(hot, keys, order, number), block), [*keys, "_block"], F.count("*"), first
     )
     return whole.unionByName(
-        joined(blocks.withColumnRenamed("_block", "_at"), keys, F.sum("rows"))
+        joined(blocks.withColumnRenamed("_block", "_at"), keys, F.sum("rows"), plain_join)
     )

@@ -26,11 +26,16 @@ def chat_pairs(messages: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame
 
 
 def session_messages(
-    chat_log: DataFrame, tie_break: str, hot_rows: int = HOT_GROUP_ROWS
+    chat_log: DataFrame, tie_break: str, hot_rows: int = HOT_GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Two role rows per logged pair, numbered oldest first within the session."""
+    """Two role rows per logged pair, numbered oldest first within the session.
+
+    ``counted`` here and below as in ``ordering.split_hot``.
+    """
     numbered = number_rows(
-        chat_log, ["session_id"], [F.col("timestamp"), F.col(tie_break)], "_pair", hot_rows
+        chat_log, ["session_id"], [F.col("timestamp"), F.col(tie_break)], "_pair", hot_rows,
+        counted,
     )
     def message(second: int, role: str, content: str):
         return F.struct(
@@ -90,11 +95,13 @@ def titles(session_ids: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def by_recency(sessions: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def by_recency(
+    sessions: DataFrame, hot_rows: int = HOT_GROUP_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Sessions numbered per user, most recently active first."""
     return number_rows(
         sessions, ["user_id"], [F.col("updated_at").desc(), F.col("session_id")],
-        "recency_rank", hot_rows,
+        "recency_rank", hot_rows, counted,
     ).withColumn("last_active", X.activity_time(F.col("updated_at")))
 
 
@@ -116,11 +123,13 @@ def recent_topics(messages: DataFrame) -> DataFrame:
     )
 
 
-def session_quizzes(quizzes: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def session_quizzes(
+    quizzes: DataFrame, hot_rows: int = HOT_GROUP_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Quiz attempts numbered per session, newest first, with their ``score/total`` label."""
     return number_rows(
         quizzes, ["session_id"], [F.col("created_at").desc(), F.col("quiz_id")],
-        "attempt_rank", hot_rows,
+        "attempt_rank", hot_rows, counted,
     ).withColumn("score_label", score_label(F.col("score"), F.col("total"))).withColumn(
         "taken", X.activity_time(F.col("created_at"))
     )

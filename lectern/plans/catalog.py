@@ -159,7 +159,9 @@ def chat_pairs(spark, sf):
 
 @query
 def session_messages(spark, sf):
-    return S.session_messages(I.chat_log(spark, sf), "turn")
+    return S.session_messages(
+        I.chat_log(spark, sf), "turn", counted=I.messages(spark, sf)
+    )
 
 
 @query
@@ -175,7 +177,7 @@ def session_titles(spark, sf):
 
 @query
 def sessions_by_recency(spark, sf):
-    return S.by_recency(I.sessions(spark, sf)).select(
+    return S.by_recency(I.sessions(spark, sf), counted=I.messages(spark, sf)).select(
         "user_id", "recency_rank", "session_id", "title", "created_at", "updated_at",
         "last_active",
     )
@@ -279,7 +281,8 @@ def quiz_history_rows(spark, sf):
 def session_quizzes(spark, sf):
     quizzes = I.graded(spark, sf).withColumn("quiz_id", F.col("attempt_id").cast("string"))
     return S.session_quizzes(
-        quizzes.select("session_id", "quiz_id", "score", "total", "analysis", "created_at")
+        quizzes.select("session_id", "quiz_id", "score", "total", "analysis", "created_at"),
+        counted=I.attempt_heads(spark, sf),
     )
 
 
@@ -322,8 +325,9 @@ def memory_replaced(spark, sf):
 @query
 def session_report_input(spark, sf):
     graded = I.graded(spark, sf).withColumn("quiz_id", F.col("attempt_id").cast("string"))
-    everyone = I.attempt_heads(spark, sf).select("session_id").distinct()
-    return R.session_reports(everyone, graded, I.MODEL)
+    heads = I.attempt_heads(spark, sf)
+    everyone = heads.select("session_id").distinct()
+    return R.session_reports(everyone, graded, I.MODEL, counted=heads)
 
 
 # --- model replies ------------------------------------------------------------------------
@@ -416,8 +420,9 @@ def evaluate_attempts(spark, sf):
 @query
 def report_sessions(spark, sf):
     graded = I.graded(spark, sf).withColumn("quiz_id", F.col("attempt_id").cast("string"))
-    everyone = I.attempt_heads(spark, sf).select("session_id").distinct()
-    return tutoring.report_sessions(everyone, graded, _stub_client, I.MODEL)
+    heads = I.attempt_heads(spark, sf)
+    everyone = heads.select("session_id").distinct()
+    return tutoring.report_sessions(everyone, graded, _stub_client, I.MODEL, heads)
 
 
 # --- streams ------------------------------------------------------------------------------

@@ -42,11 +42,15 @@ def find_chunks(
     questions: DataFrame, vectors: DataFrame, chunks: DataFrame, encoder_factory: Callable,
     k: int = V.TOP_K,
 ) -> DataFrame:
-    """Ranked chunks of ``(question_id, question)``, encoded like the corpus."""
+    """Ranked chunks of ``(question_id, question)``, encoded like the corpus.
+
+    At most k rows per question; written once, because contexts and sources both read them.
+    """
     encoded = cut_lineage(
         hooks.embed_texts(questions, "question_id", "question", encoder_factory)
     )
-    return retrieval.fetch_chunks(nearest(vectors, encoded, k), chunks, encoded.count() * k)
+    hits = nearest(vectors, encoded, k)
+    return cut_lineage(retrieval.fetch_chunks(hits, chunks, encoded.count() * k))
 
 
 def answer_questions(
@@ -133,10 +137,14 @@ def update_memory(evaluated: DataFrame, reports: DataFrame | None = None) -> Dat
 
 
 def report_sessions(
-    sessions: DataFrame, quizzes: DataFrame, client_factory: Callable, model: str
+    sessions: DataFrame, quizzes: DataFrame, client_factory: Callable, model: str,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``(session_id, n_quizzes, report)``; fixed texts for no quiz and for a failed call."""
-    requests = memory.session_reports(sessions, quizzes, model)
+    """``(session_id, n_quizzes, report)``; fixed texts for no quiz and for a failed call.
+
+    ``counted`` as in ``ordering.split_hot``.
+    """
+    requests = memory.session_reports(sessions, quizzes, model, counted=counted)
     done = cut_lineage(
         hooks.complete_prompts(requests, "session_id", "payload", client_factory)
     )
