@@ -16,7 +16,7 @@ from lectern.operators import grading as G
 from lectern.operators import hooks as H
 from lectern.operators import memory as R
 from lectern.operators import metrics
-from lectern.operators import retrieval as A
+from lectern.operators import lookup as A
 from lectern.operators import sessions as S
 from lectern.operators.neighbours import nearest
 from lectern.plans import inputs as I
@@ -428,16 +428,21 @@ def report_sessions(spark, sf):
 # --- streams ------------------------------------------------------------------------------
 
 
-@query
-def stream_chat_log(spark, sf):
-    """The logged pairs as a file stream; the metric rows it wrote."""
+def _streamed_log(spark, sf):
+    """Send the logged pairs through the chat log stream; the folder it wrote to."""
     source, out = new_shared_path(spark, "pairs"), new_shared_path(spark, "log")
     I.chat_log(spark, sf).write.parquet(source)
     schema = spark.read.parquet(source).schema
     stream_log.start_chat_log(
         spark.readStream.schema(schema).parquet(source), out, new_shared_path(spark, "state")
     ).awaitTermination()
-    return stream_log.read_log(spark, out, "business_dashboard").select(
+    return out
+
+
+@query
+def stream_chat_log(spark, sf):
+    """The metric rows written by the stream."""
+    return stream_log.read_log(spark, _streamed_log(spark, sf), "business_dashboard").select(
         *schemas.DASHBOARD.fieldNames()
     )
 
@@ -445,13 +450,7 @@ def stream_chat_log(spark, sf):
 @query
 def stream_sessions(spark, sf):
     """Last activity per session after the same stream."""
-    source, out = new_shared_path(spark, "pairs"), new_shared_path(spark, "log")
-    I.chat_log(spark, sf).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream_log.start_chat_log(
-        spark.readStream.schema(schema).parquet(source), out, new_shared_path(spark, "state")
-    ).awaitTermination()
-    return stream_log.session_activity(spark, out)
+    return stream_log.session_activity(spark, _streamed_log(spark, sf))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.cluster import cut_lineage
 from lectern.functions import model_text as M
-from lectern.operators import corpus, grading, hooks, memory, retrieval
+from lectern.operators import corpus, grading, hooks, lookup, memory
 from lectern.operators.neighbours import nearest
 from lectern.operators.sessions import recent_topics
 from lectern.sources import files, tables
@@ -50,7 +50,7 @@ def find_chunks(
         hooks.embed_texts(questions, "question_id", "question", encoder_factory)
     )
     hits = nearest(vectors, encoded, k)
-    return cut_lineage(retrieval.fetch_chunks(hits, chunks, encoded.count() * k))
+    return cut_lineage(lookup.fetch_chunks(hits, chunks, encoded.count() * k))
 
 
 def answer_questions(
@@ -62,10 +62,10 @@ def answer_questions(
     Without a hit the answer is the fixed reply. Failed calls have no answer but an ``error``;
     neither has sources.
     """
-    asked = retrieval.with_default_context(
-        questions.select("question_id", "question"), retrieval.contexts(found)
+    asked = lookup.with_default_context(
+        questions.select("question_id", "question"), lookup.contexts(found)
     )
-    requests = retrieval.answer_prompts(asked, model, syllabus)
+    requests = lookup.answer_prompts(asked, model, syllabus)
     done = cut_lineage(
         hooks.complete_prompts(requests, "question_id", "payload", client_factory)
     )
@@ -73,7 +73,7 @@ def answer_questions(
     answered = done.withColumn("message", M.reply_message(F.col("response"))).select(
         "question_id", "error", F.when(F.col("error").isNull(), text).alias("answer")
     )
-    cited = retrieval.source_lists(retrieval.sources(found, prefix, base_dir))
+    cited = lookup.source_lists(lookup.sources(found, prefix, base_dir))
     return (
         requests.select("question_id", "reply")
         .join(answered, "question_id", "left").join(cited, "question_id", "left")

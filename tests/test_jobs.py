@@ -12,7 +12,7 @@ from lectern import schemas
 from lectern.cluster import shared_dir
 from lectern.operators import hooks as H
 from lectern.operators import memory as R
-from lectern.operators import retrieval as A
+from lectern.operators import lookup as A
 from lectern.operators import sessions as S
 from lectern.plans import tutoring
 from lectern.sources import files, tables

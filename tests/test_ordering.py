@@ -34,6 +34,13 @@ def test_number_rows(rows, hot_rows):
     assert as_set(ours, "k", "id", "n") == as_set(plain, "k", "id", "n")
 
 
+def test_hot_groups_found_on_a_larger_frame(rows):
+    part = rows.where("id % 2 = 0")
+    ours = O.number_rows(part, ["k"], order(), "n", 60, counted=rows)
+    assert as_set(ours, "k", "id", "n") == as_set(
+        O.number_rows(part, ["k"], order(), "n"), "k", "id", "n")
+
+
 @pytest.mark.parametrize("hot_rows", [10**9, 500, 20])
 def test_with_next(rows, hot_rows):
     ours = O.with_next(rows, ["k"], order(), {"id": "nid", "text": "ntext"}, hot_rows)
