@@ -4,12 +4,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lectern.llm import packing, tokens
+from lectern.llm import mixing, packing, tokens
 from lectern.llm.common import table
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, folder, "documents"), weights=(5, 2, 1), most=3.0, share=1.0)
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -21,6 +24,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
