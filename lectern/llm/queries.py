@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, tokens
+from lectern.llm import bit_slices, mixing, packing, tokens
 from lectern.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return bit_slices.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -26,8 +32,23 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
 
 #: SQL twins of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_top_k": """
+        WITH whole AS (
+            SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 10
+    """,
+}
