@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, mixing, packing, tokens
+from lectern.llm import bit_slices, mixing, near_dups, packing, tokens
 from lectern.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return bit_slices.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
@@ -32,6 +36,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
