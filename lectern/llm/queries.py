@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, mixing, near_dups, packing, tokens
+from lectern.llm import bit_slices, mixing, near_dups, packing, tokens, warc
 from lectern.llm.common import table
 
 
@@ -16,7 +16,8 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    vocabulary, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return packing.packed_documents(docs, vocabulary, ranks, capacity=1024, end_id=2)
 
 
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return bit_slices.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(table(spark, folder, "pages"), least_bytes=0)
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -56,4 +62,20 @@ ORACLES: dict[str, str] = {
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER best <= 10
     """,
+    "op9_warc": """
+        WITH hashed AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+        ), told AS (
+            SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+                   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+                       FOR i IN range(32)], '') AS payload_digest,
+                   max(page_id) OVER (PARTITION BY payload) AS largest
+            FROM hashed
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> largest THEN largest END AS refers_to
+        FROM told
+    """,
 }
