@@ -8,7 +8,7 @@ takes the slot of its rank within its length.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -21,89 +21,67 @@ from pyspark.sql import functions as F
 from lectern.llm.common import numbered, stored, text_slices
 from lectern.llm.tokens import load_tokenizer
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
-#: White space besides the single spaces between words and line ends inside them.
-ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |^\s|\s$")
+#: Texts whose UTF-8 bytes all lie below this (Latin script and punctuation) and hold no special
+#: token are encoded from the ranks. Elsewhere the two libraries' Unicode tables could differ.
+PLAIN_BELOW = 0xCA
 
 
-class PieceIds:
-    """Ids of byte-level pre-tokens, each encoded once; texts are put together from them."""
+class IdEncoder:
+    """Ids as the tokenizer's own library gives them.
 
-    def __init__(self, path: str) -> None:
+    With ``ranks``, the same vocabulary as ranks, plain texts are encoded several times faster. Both
+    ways merge in the same order: in this vocabulary every token's own bytes encode to that token,
+    so that the pair that makes a token is the only one left in its bytes when its rank comes up.
+    """
+
+    def __init__(self, path: str, ranks: str | None) -> None:
         self.library = load_tokenizer(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _room(self, name: str, size: int) -> None:
-        old = getattr(self, name)
-        if size > len(old):
-            setattr(self, name, np.concatenate([old, np.zeros(max(size, 2 * len(old)) - len(old), old.dtype)]))
-
-    def learn(self, words: set[str]) -> None:
-        """Make sure that the ids of ``words``, each with a space before it, are known."""
-        if len(self.index) + len(words) > REMEMBERED:
-            self.forget()
-        new = [w for w in words if w not in self.index]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = [x.ids for x in self.library.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            count, total = len(self.index), int(lengths.sum())
-            self._room("flat", self.used + total)
-            self._room("starts", count + len(some) + 1)
-            self.flat[self.used : self.used + total] = np.concatenate([np.asarray(x, np.uint32) for x in ids])
-            self.starts[count + 1 : count + 1 + len(some)] = self.used + np.cumsum(lengths)
-            self.index.update(zip(some, range(count, count + len(some)), strict=True))
-            self.used += total
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Where all words stand after one space, they come from memory; a text
-        with other white space goes to the library whole, since there pieces can hold the space."""
-        plain = [not ODD_SPACE.search(t) and t != "" for t in texts]
-        split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self.learn(set().union(*(s[1:] for s in split)) if split else set())
-        heads = [s[0] if ok else t for t, s, ok in zip(texts, split, plain, strict=True)]
-        first = [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch_fast(heads, add_special_tokens=False)]
-        out = []
-        for head, words in zip(first, split, strict=True):
-            rest = np.fromiter(map(self.index.__getitem__, words[1:]), np.int64, max(0, len(words) - 1))
-            low = self.starts[rest]
-            sizes = self.starts[rest + 1] - low
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - sizes), sizes)
-            out.append(np.concatenate([head, self.flat[at]]))
-        return out
-
-
-_KNOWN: dict[str, PieceIds] = {}
-
-
-def _known(path: str) -> PieceIds:
-    if path not in _KNOWN:
-        _KNOWN[path] = PieceIds(path)
-    return _KNOWN[path]
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``).
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return data.size > 0 and int(data.max()) < PLAIN_BELOW and not any(s in text for s in self.special)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            if self.fast and self.plain(text):
+                yield self.fast.encode_to_numpy(text, disallowed_special=())
+            else:
+                yield np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+_KNOWN: dict[tuple[str, str | None], IdEncoder] = {}
+
+
+def _known(path: str, ranks: str | None) -> IdEncoder:
+    """One encoder for all tasks of a Python worker."""
+    if (path, ranks) not in _KNOWN:
+        _KNOWN[path, ranks] = IdEncoder(path, ranks)
+    return _KNOWN[path, ranks]
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
     A document is its tokens and ``end_id``. Up to ``capacity`` tokens it is one piece; a longer one
     is cut so that all pieces but the first are full.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(tokenizer)
+        known = _known(tokenizer, ranks)
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                rows, piece, start, length, crc, held = [], [], [], [], [], []
+                rows, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(known.encode(texts)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
@@ -112,9 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                         piece.append(n)
                         start.append(low)
                         length.append(high - low)
-                        raw = ids[low:high].tobytes()
-                        crc.append(zlib.crc32(raw))
-                        held.append(raw)
+                        crc.append(zlib.crc32(ids[low:high].tobytes()))
                 yield pa.record_batch(
                     [
                         part.column("id").take(pa.array(rows, pa.int64())),
@@ -122,14 +98,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
                         pa.array(crc, pa.int64()),
-                        pa.array(held, pa.binary()),
                     ],
-                    names=["id", "piece", "start", "length", "ids_crc32", "ids"],
+                    names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return narrow.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,12 +159,12 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each piece of each document lies: id, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset``.
 
     A null or empty text is one piece of the end token alone. Repeated rows are packed each for
     itself, a null id stays null, extra columns are ignored, and an empty table gives no rows.
     """
-    pieces = token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).drop("ids")
+    pieces = token_pieces(docs, tokenizer, ranks, capacity, end_id, id_col, text_col)
     return pack(stored(pieces, "pieces"), capacity).withColumnRenamed("id", id_col)
