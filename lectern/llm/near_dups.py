@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE_BYTES, stored, text_slices
+from lectern.llm.common import stored, text_slices
 from lectern.llm.graph import components
+from lectern.llm.words import Words, factors_of, mixed
 
 #: Bands of so many hashes each: at similarity 0.8 a pair shares no band with a chance of 7e-6.
 BANDS, BAND_HASHES = 30, 5
@@ -31,50 +32,15 @@ BLOCK_CLASSES = 256
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick their texts; more are joined.
 BROADCAST_IDS = 4_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACE_BYTES)] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _HASHES = BANDS * BAND_HASHES
 _RANDOM = np.random.default_rng(4).integers(0, 1 << 63, (3, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Finalizer of a 64-bit hash."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and the first word of each text (and the end).
-
-    A-Z is lower-cased. The hash of a word is a polynomial of its bytes, by differences of one
-    running sum, then mixed.
-    """
-    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)
-    upper = (data >= 65) & (data <= 90)
-    space = _SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    values = data.astype(np.uint64) + np.uint64(1)
-    values[upper] += np.uint64(32)
-    powers = np.full(len(data), _BASE)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers, dtype=np.uint64)])
-    powers[1:] = _INVERSE
-    np.cumprod(powers, out=powers)
-    words = mixed((sums[ends] - sums[starts]) * powers[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.cumsum([1, *(len(c) + 1 for c in coded)])
-    return words, np.searchsorted(starts, bounds)
-
-
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The sorted distinct shingles (64-bit) of each text; with fewer words, all of them as one."""
-    words, first = word_hashes(texts)
-    factors = mixed(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    found = Words(texts)
+    words, first = found.hashes, found.first
+    factors = factors_of(width)
     spans = max(0, len(words) - width + 1)
     joined = np.zeros(spans, np.uint64)
     for i in range(width):

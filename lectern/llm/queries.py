@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, mixing, near_dups, packing, tokens, warc
+from lectern.llm import bit_slices, mixing, near_dups, packing, substrings, tokens, warc
 from lectern.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
 
 
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs)
+
+
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return bit_slices.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
