@@ -6,10 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, mixing, near_dups, packing, substrings, tokens, warc
+from lectern.llm import bit_slices, language, mixing, near_dups, packing, substrings, tokens, warc
 from lectern.llm.common import table
 
 
+def op1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents (declared language, source as host) and pages (markup language, address) together."""
+    documents, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    model = language.fit_text_model(documents, "text", "lang", max_rows=20_000)
+    rows = documents.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")
+    ).unionByName(
+        pages.withColumns(language.page_evidence(F.col("html"), F.col("url"))).select(
+            F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "host"
+        )
+    )
+    return language.identified(rows, model, ["doc_id", "page_id"], "text", "declared", "host")
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, folder, "documents"), weights=(5, 2, 1), most=3.0, share=1.0)
 
@@ -44,6 +58,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_languages": op1_languages,
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
