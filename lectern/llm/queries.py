@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, language, mixing, near_dups, packing, substrings, tokens, warc
+from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, substrings, tokens, warc
 from lectern.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
 
 
+def op6_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_prints.with_edits(table(spark, folder, "documents"))
+
+
 def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_edit_fingerprints": op6_edit_fingerprints,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
