@@ -4,8 +4,8 @@ One pass over the texts gives each document its set size, a digest of its shingl
 a signature. Equal sets are one class. In each bucket of a band every class is compared with the
 smallest one of the bucket; classes that this leaves in different components are then compared with
 each other block by block. Signatures are compared a batch of hashes at a time, and a pair is dropped
-once the posterior chance that its similarity reaches the threshold is below ``miss``. Survivors are
-confirmed on the full sets.
+once the posterior chance that its similarity reaches the threshold is below ``MISS``. Survivors are
+confirmed on the full sets. Pairs become rows only against the smallest of a bucket or as links.
 """
 
 from __future__ import annotations
@@ -140,9 +140,8 @@ def likely_pairs(pairs: DataFrame, sketched: DataFrame, similarity: float) -> Da
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_sig", "b_sig").mapInArrow(keep, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets meet 100 * intersection >= ``percent`` * union."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+def _sets(ids: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(``id``, ``shingles``) of the stored ``ids``."""
     few = ids.count() <= BROADCAST_IDS
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -153,42 +152,95 @@ def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
                 yield pa.record_batch([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     chosen = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = stored(chosen.mapInArrow(fill, f"id {kind}, shingles array<long>"), "shingle-sets")
+    return stored(chosen.mapInArrow(fill, f"id {kind}, shingles array<long>"), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets meet 100 * intersection >= ``percent`` * union."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(stored(ends, "pair-ids"), rows, width)
     sides = [sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab"]
     common = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - common
     return pairs.join(sides[0], "a").join(sides[1], "b").where(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def _across_blocks(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components among the classes of each bucket of ``rest``
-    (``key``, ``size``, ``id``, ``component``). Only survivors become rows."""
+def _blocks(members: DataFrame, more: str) -> DataFrame:
+    """Members (``key``, ``id``, ``component`` and ``more``) of each bucket in blocks of bounded size:
+    rows (``key``, ``members``, ``others``) for each block (``others`` null) and each two blocks."""
+    sizes = stored(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("blocks")), "bucket-sizes")
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    lists = stored(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", more)).alias("members")), "blocks")
+    others = lists.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
+    none = F.lit(None).cast(lists.schema["members"].dataType).alias("others")
+    inside = lists.where(F.size("members") > 1).select("key", "members", none)
+    return inside.unionByName(lists.join(others, "key").where("block < other").select("key", "members", "others"))
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array], list[pa.Array]]]:
+    """(key, columns of the members, columns of the others); without others, the members again."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            members = batch.column("members")[i].values.flatten()
+            others = batch.column("others")[i].values
+            yield batch.column("key")[i].as_py(), members, members if others is None else others.flatten()
+
+
+def _apart(x_of: list, y_of: list) -> np.ndarray:
+    """Which members are in different components."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(c, len(codes)) for c in of]) for of in (x_of, y_of))
+    return x[:, None] != y[None, :]
+
+
+def _likely_members(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """(``key``, ``id``, ``component``) of the members of a bucket that have a likely link to another
+    component there."""
     bounds = least_matches(similarity)
     kind = rest.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = row["members"], row["others"] or row["members"]
-                x_sig, y_sig = (np.frombuffer(b"".join(m["signature"] for m in s), np.uint16).reshape(-1, _HASHES) for s in (x, y))
-                x_of, y_of = (np.array([m["component"] for m in s], object) for s in (x, y))
-                found: dict[str, list] = {"a": [], "b": []}
-                for i in range(len(x)):
-                    others = np.flatnonzero((y_of != x_of[i]) & (np.arange(len(y)) > (-1 if row["others"] else i)))
-                    for j in others[likely(np.broadcast_to(x_sig[i], (len(others), _HASHES)), y_sig[others], bounds)]:
-                        ends = sorted([x[i]["id"], y[j]["id"]])
-                        found["a"].append(ends[0])
-                        found["b"].append(ends[1])
-                yield pa.RecordBatch.from_pydict(found, schema=pa.schema([batch.schema.field("members").type.value_type.field("id").with_name(n) for n in "ab"]))
-
-    blocks = F.ceil(F.col("size") / BLOCK_CLASSES)
-    member = F.struct("id", "component", "signature")
-    dealt = rest.join(sketched.select("id", "signature"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    lists = stored(dealt.groupBy("key", "block").agg(F.collect_list(member).alias("members")), "blocks")
-    others = lists.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
-    inside = lists.where(F.size("members") > 1).select("members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
-    between = lists.join(others, "key").where("block < other").select("members", "others")
-    return inside.unionByName(between).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+        for key, x, y in _each_block(batches):
+            apart = _apart(x[1].to_pylist(), y[1].to_pylist())
+            x_sig, y_sig = _signatures(x[2]), _signatures(y[2])
+            hit_x, hit_y = np.zeros(len(x_sig), bool), np.zeros(len(y_sig), bool)
+            for i in range(len(x_sig)):
+                others = np.flatnonzero(apart[i])
+                close = others[likely(np.broadcast_to(x_sig[i], (len(others), _HASHES)), y_sig[others], bounds)]
+                hit_x[i] |= len(close) > 0
+                hit_y[close] = True
+            for side, hit in ((x, hit_x), (y, hit_y)):
+                ids = side[0].take(pa.array(np.flatnonzero(hit)))
+                of = side[1].take(pa.array(np.flatnonzero(hit)))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.int64()), ids, of], names=["key", "id", "component"])
+
+    signed = rest.join(sketched.select("id", "signature"), "id")
+    return _blocks(signed, "signature").mapInArrow(compare, f"key long, id {kind}, component {kind}").distinct()
+
+
+def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a bucket, on full sets; only links become rows."""
+    kind = members.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y in _each_block(batches):
+            apart = _apart(x[1].to_pylist(), y[1].to_pylist())
+            sizes = [np.diff(np.asarray(side[2].offsets)) for side in (x, y)]
+            values, codes = np.unique(np.concatenate([np.asarray(side[2].flatten()) for side in (x, y)]), return_inverse=True)
+            x_codes, y_codes = codes[: sizes[0].sum()], codes[sizes[0].sum() :]
+            x_ends, y_ends = np.cumsum(sizes[0]), np.cumsum(sizes[1])
+            a, b = [], []
+            for i in np.flatnonzero(apart.any(axis=1)):
+                held = np.zeros(len(values) + 1, np.int64)
+                held[x_codes[x_ends[i] - sizes[0][i] : x_ends[i]]] = 1
+                common = np.add.reduceat(held[y_codes], y_ends - sizes[1])
+                linked = apart[i] & (100 * common >= percent * (sizes[0][i] + sizes[1] - common))
+                a += [i] * int(linked.sum())
+                b += np.flatnonzero(linked).tolist()
+            yield pa.RecordBatch.from_arrays([x[0].take(pa.array(a, pa.int64())), y[0].take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    found = _blocks(members, "shingles").mapInArrow(compare, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,11 +279,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # Then those members against each other that are still in different components.
     label = labels.withColumnRenamed("node", "id")
     placed = stored(members.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    torn = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
-    torn = stored(torn.select("key", "size"), "torn")
+    torn = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+    torn = stored(torn.select("key"), "torn")
     if not torn.isEmpty():
-        more = stored(_across_blocks(placed.join(torn, "key"), sketched, similarity), "more-likely")
-        more = stored(confirmed(more, rows, width, percent), "more-confirmed")
+        close = stored(_likely_members(placed.join(torn, "key"), sketched, similarity), "likely-members")
+        sets = _sets(stored(close.select("id").distinct(), "member-ids"), rows, width)
+        more = stored(_links_in_blocks(close.join(sets, "id"), percent), "more-confirmed")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
