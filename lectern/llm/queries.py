@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, substrings, tokens, warc
+from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, substrings, tokens, toxicity, warc
 from lectern.llm.common import table
 
 
@@ -38,6 +38,15 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(~toxicity.held_out())
+    model = toxicity.fit(documents, labels, most=2000)
+    return toxicity.toxicity(documents, model, threshold=0.7).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
 def op6_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_prints.with_edits(table(spark, folder, "documents"))
 
@@ -66,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_toxicity": op5_toxicity,
     "op6_edit_fingerprints": op6_edit_fingerprints,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_exact_top_k": op8_exact_top_k,
