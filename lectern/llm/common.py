@@ -21,13 +21,13 @@ LEAST_BLOCK_ROWS = 500
 MOST_BLOCKS = 20_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, by at most ``tasks`` tasks if given, and read back.
 
     The written table cuts the lineage and survives the loss of executors.
     """
     path = new_shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -165,25 +165,25 @@ def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return pairs.join(sides[0], "a").join(sides[1], "b").where(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def _blocks(members: DataFrame, more: str) -> DataFrame:
-    """Members (``key``, ``id``, ``component`` and ``more``) of each bucket in blocks of bounded size:
-    rows (``key``, ``members``, ``others``) for each block (``others`` null) and each two blocks."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (``key``, ``id``, ``component``, ``sketch``) of each bucket in blocks of bounded size:
+    rows (``members``, ``others``) for each block (``others`` null) and each two blocks."""
     sizes = stored(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("blocks")), "bucket-sizes")
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    lists = stored(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", more)).alias("members")), "blocks")
+    lists = stored(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "sketch")).alias("members")), "blocks")
     others = lists.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
     none = F.lit(None).cast(lists.schema["members"].dataType).alias("others")
-    inside = lists.where(F.size("members") > 1).select("key", "members", none)
-    return inside.unionByName(lists.join(others, "key").where("block < other").select("key", "members", "others"))
+    inside = lists.where(F.size("members") > 1).select("members", none)
+    return inside.unionByName(lists.join(others, "key").where("block < other").select("members", "others"))
 
 
-def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array], list[pa.Array]]]:
-    """(key, columns of the members, columns of the others); without others, the members again."""
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[pa.Array]]]:
+    """(Columns of the members, columns of the others); without others, the members again."""
     for batch in batches:
         for i in range(batch.num_rows):
             members = batch.column("members")[i].values.flatten()
             others = batch.column("others")[i].values
-            yield batch.column("key")[i].as_py(), members, members if others is None else others.flatten()
+            yield members, members if others is None else others.flatten()
 
 
 def _apart(x_of: list, y_of: list) -> np.ndarray:
@@ -193,53 +193,36 @@ def _apart(x_of: list, y_of: list) -> np.ndarray:
     return x[:, None] != y[None, :]
 
 
-def _likely_members(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """(``key``, ``id``, ``component``) of the members of a bucket that have a likely link to another
-    component there."""
+def _links_in_blocks(members: DataFrame, similarity: float, percent: int) -> DataFrame:
+    """Links between different components of a bucket: of the pairs that their signatures leave, those
+    that the full sets confirm. Only links become rows."""
     bounds = least_matches(similarity)
-    kind = rest.schema["id"].dataType.simpleString()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x, y in _each_block(batches):
-            apart = _apart(x[1].to_pylist(), y[1].to_pylist())
-            x_sig, y_sig = _signatures(x[2]), _signatures(y[2])
-            hit_x, hit_y = np.zeros(len(x_sig), bool), np.zeros(len(y_sig), bool)
-            for i in range(len(x_sig)):
-                others = np.flatnonzero(apart[i])
-                close = others[likely(np.broadcast_to(x_sig[i], (len(others), _HASHES)), y_sig[others], bounds)]
-                hit_x[i] |= len(close) > 0
-                hit_y[close] = True
-            for side, hit in ((x, hit_x), (y, hit_y)):
-                ids = side[0].take(pa.array(np.flatnonzero(hit)))
-                of = side[1].take(pa.array(np.flatnonzero(hit)))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.int64()), ids, of], names=["key", "id", "component"])
-
-    signed = rest.join(sketched.select("id", "signature"), "id")
-    return _blocks(signed, "signature").mapInArrow(compare, f"key long, id {kind}, component {kind}").distinct()
-
-
-def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of a bucket, on full sets; only links become rows."""
     kind = members.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x, y in _each_block(batches):
+        for x, y in _each_block(batches):
             apart = _apart(x[1].to_pylist(), y[1].to_pylist())
-            sizes = [np.diff(np.asarray(side[2].offsets)) for side in (x, y)]
-            values, codes = np.unique(np.concatenate([np.asarray(side[2].flatten()) for side in (x, y)]), return_inverse=True)
+            x_sig, y_sig = (_signatures(side[2].field("signature")) for side in (x, y))
+            x_sets, y_sets = (side[2].field("shingles") for side in (x, y))
+            sizes = [np.diff(np.asarray(sets.offsets)) for sets in (x_sets, y_sets)]
+            values, codes = np.unique(np.concatenate([np.asarray(sets.flatten()) for sets in (x_sets, y_sets)]), return_inverse=True)
             x_codes, y_codes = codes[: sizes[0].sum()], codes[sizes[0].sum() :]
             x_ends, y_ends = np.cumsum(sizes[0]), np.cumsum(sizes[1])
             a, b = [], []
             for i in np.flatnonzero(apart.any(axis=1)):
-                held = np.zeros(len(values) + 1, np.int64)
+                others = np.flatnonzero(apart[i])
+                left = others[likely(np.broadcast_to(x_sig[i], (len(others), _HASHES)), y_sig[others], bounds)]
+                if not len(left):
+                    continue
+                held = np.zeros(len(values), np.int64)
                 held[x_codes[x_ends[i] - sizes[0][i] : x_ends[i]]] = 1
-                common = np.add.reduceat(held[y_codes], y_ends - sizes[1])
-                linked = apart[i] & (100 * common >= percent * (sizes[0][i] + sizes[1] - common))
-                a += [i] * int(linked.sum())
-                b += np.flatnonzero(linked).tolist()
+                common = np.add.reduceat(held[y_codes], y_ends - sizes[1])[left]
+                linked = left[100 * common >= percent * (sizes[0][i] + sizes[1][left] - common)]
+                a += [i] * len(linked)
+                b += linked.tolist()
             yield pa.RecordBatch.from_arrays([x[0].take(pa.array(a, pa.int64())), y[0].take(pa.array(b, pa.int64()))], names=["a", "b"])
 
-    found = _blocks(members, "shingles").mapInArrow(compare, f"a {kind}, b {kind}")
+    found = _blocks(members).mapInArrow(compare, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -282,11 +265,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     torn = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
     torn = stored(torn.select("key"), "torn")
     if not torn.isEmpty():
-        close = stored(_likely_members(placed.join(torn, "key"), sketched, similarity), "likely-members")
-        sets = _sets(stored(close.select("id").distinct(), "member-ids"), rows, width)
-        more = stored(_links_in_blocks(close.join(sets, "id"), percent), "more-confirmed")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        rest = stored(placed.join(torn, "key"), "torn-members")
+        sets = _sets(stored(rest.select("id").distinct(), "member-ids"), rows, width)
+        sketch = F.struct("signature", "shingles").alias("sketch")
+        full = rest.join(sketched.select("id", "signature"), "id").join(sets, "id").select("key", "id", "component", sketch)
+        more = stored(_links_in_blocks(full, similarity, percent), "more-confirmed")
+        # What is linked now are the components found so far.
+        ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of")) for x in "ab"]
+        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        merged = components(more.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+        merged = merged.select(F.col("component").alias("merged"), F.col("node").alias("component"))
+        moved = labels.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+        single_ones = merged.withColumnRenamed("component", "node").join(labels.select("node"), "node", "left_anti")
+        labels = stored(moved.unionByName(single_ones.withColumnRenamed("merged", "component")), "labels")
 
     place = every.select("id", "n").join(copies, "id", "left").withColumn("node", F.coalesce("first", "id"))
     placed = place.join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
