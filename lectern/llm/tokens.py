@@ -1,7 +1,7 @@
 """Token counts (10) and token ids, each distinct pre-token being encoded once.
 
-A pre-token here is a run between spaces. Neither tokenizer has a piece that goes over such a
-border, so a text's tokens are those of its pre-tokens one after the other.
+A pre-token here is a run between spaces. A tokenizer that drops white space has no piece that goes
+over such a border, so a text's tokens are those of its pre-tokens one after the other.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ class PieceCounts:
             library = load_tokenizer(path)
             library.no_truncation()
             library.no_padding()
-            self.whole = False
+            # A tokenizer that keeps white space has pieces over spaces: a text is its own pre-token.
+            self.whole = len(library.encode(" \t\r\n", add_special_tokens=False).ids) > 0
             self.count = lambda texts: [len(x) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
