@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,28 @@ from lectern.llm import language, mixing, near_dups, packing, substrings
 from lectern.llm.common import stored, words_in
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Columns of the documents table.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_other_columns(stage: Stage) -> Stage:
+    """``stage`` on the document columns, any others being carried along whatever their names."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in DOCUMENT]
+        if not others:
+            return stage(spark, docs, folder)
+        packed = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("_others")
+        out = stage(spark, docs.select(*DOCUMENT, packed), folder)
+        back = {c: F.col(f"_others.c{i}").alias(c) for i, c in enumerate(others)}
+        return out.select(*(back.get(c, F.col(c)) for c in docs.columns))
+
+    return run
+
+
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Null-safe join on ``keys``, which ``right`` loses."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -19,6 +42,7 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(other, same, how).drop(*(f"_right_{k}" for k in keys))
 
 
+@with_other_columns
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is known; texts without letters, null ones included, go."""
     model = language.fit_text_model(docs, "text", "lang", max_rows=20_000)
@@ -30,6 +54,7 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return _joined(docs.withColumn("_version", version), rejected, keys, "left_anti").drop("_version")
 
 
+@with_other_columns
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates; of the rows that repeat an
     id, the one with the smallest hash of its text. A null id is linked with nothing."""
@@ -45,6 +70,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
+@with_other_columns
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without repeated passages, ``n_chars`` being counted anew; a text of which nothing is left goes."""
     cut = substrings.without_repeats(docs)
@@ -52,6 +78,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str)
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@with_other_columns
 def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sizes = mixing.document_sizes(docs)
