@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import stored, text_slices
 from lectern.llm.words import Words, factors_of, mixed
@@ -68,14 +69,16 @@ class Units:
         return np.stack([np.concatenate([[0], last[:-1] + 1])[: len(last)], last + 1])
 
     def _digests(self) -> np.ndarray:
-        """Sums of word hashes, each times a factor for its place in the unit."""
+        """Sums of word hashes, each times a factor for its place in the unit; a line and a piece of the
+        same words differ, so that a line isn't a repeat of its own only piece."""
         sizes = self.high - self.low
         ends = np.cumsum(sizes)
         within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
         factors = factors_of(int(sizes.max()) if len(sizes) else 0)
         terms = self.words.hashes[np.repeat(self.low, sizes) + within] * factors[within]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        return mixed(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+        kind = self.line.astype(np.uint64) << np.uint64(40)
+        return mixed(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64) + kind).view(np.int64)
 
     def removed(self, text: int, repeated: list[int]) -> np.ndarray:
         """Word ranges (rows of low, high) of the text to remove, joined where they touch."""
@@ -170,5 +173,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns["original_chars"] = pa.array(map(len, sources), pa.int64())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]]
-    return joined.mapInArrow(cut, ", ".join([*fields, "removed array<struct<start: long, length: long>>, original_chars long"]))
+    span = T.StructType().add("start", "long").add("length", "long")
+    schema = T.StructType(joined.schema.fields[:-1]).add("removed", T.ArrayType(span)).add("original_chars", "long")
+    return joined.mapInArrow(cut, schema)
