@@ -26,10 +26,13 @@ from lectern.llm.common import SPACE_BYTES, text_slices
 SPAN, DECAY = 7, 0.6
 #: Landmarks, and rounds of choosing the words that stand for toxic documents.
 LANDMARKS, ROUNDS = 256, 3
-#: Words that stand for a toxic document, and the least log odds of such a word.
-WITNESSES, LEAST_ODDS = 4, 1.5
+#: Words that stand for a toxic document, the least log odds of such a word, and how far below the best
+#: one it may score.
+WITNESSES, LEAST_ODDS, MARGIN = 4, 1.5, 1.0
 #: Labelled documents of each label to learn from, and their longest text in code points.
 MOST_DOCUMENTS, MOST_CHARS = 2000, 20_000
+#: Weight of each disguise of a word beside the word itself.
+DISGUISE_SHARE = 0.2
 #: Distinct words of clean documents that the machine is trained against.
 MOST_WORDS = 20_000
 #: A document is judged by so many of its highest sentences.
@@ -126,14 +129,21 @@ def kernel(words: list[tuple[np.ndarray, np.ndarray]], landmarks: np.ndarray) ->
 def svm(rows: np.ndarray, signs: np.ndarray, weights: np.ndarray, strength: float = 1.0) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton's method; the last column is the bias."""
     x = np.hstack([rows, np.ones((len(rows), 1))])
+
+    def loss(w: np.ndarray) -> float:
+        return float(w @ w + strength * (weights * np.maximum(0, 1 - signs * (x @ w)) ** 2).sum())
+
     w = np.zeros(x.shape[1])
-    for _ in range(15):
+    for _ in range(30):
         slack = 1 - signs * (x @ w)
         on = slack > 0
         part = x[on] * (strength * weights[on])[:, None]
         step = np.linalg.solve(part.T @ x[on] + np.eye(len(w)), w - part.T @ (signs[on] * slack[on]))
-        w = w - step
-        if np.abs(step).max() < 1e-5:
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-5:
             break
     return w
 
@@ -170,6 +180,12 @@ def _words_of(text: str) -> set[str]:
     return {w for w in (x.strip(".,;:!?\"'()|").lower() for x in text.split()) if sum(c.isalpha() for c in w) > 2}
 
 
+def disguised(word: str) -> list[str]:
+    """Ways to write a word with characters between its letters; the machine learns from them too."""
+    middle = len(word) // 2
+    return [".".join(word), f"{word[:middle]}*{word[middle:]}", f"{word[:middle]}x{word[middle:]}"]
+
+
 def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     """Fit on labelled documents; with one label only, every text gets that label's share."""
     toxic = np.array(labels) == 1
@@ -205,6 +221,7 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     # A word that clean documents have nearly as often stands for none.
     pool = [w for w in order[: 20 * LANDMARKS] if odds(w) > LEAST_ODDS] or order[:LANDMARKS]
     pool_rows = kernel(features(pool), landmarks) @ root
+    disguises = [kernel(features(list(ws)), landmarks) @ root for ws in zip(*map(disguised, pool), strict=True)]
     place = {w: i for i, w in enumerate(pool)}
     first_guess = np.array([odds(w) for w in pool])
     toxic_bags = [np.array([place[w] for w in bag if w in place], int) for bag, t in zip(bags, toxic, strict=True) if t]
@@ -212,11 +229,13 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     for _ in range(ROUNDS):
         witnesses = np.zeros(len(pool))
         for bag in toxic_bags:
-            witnesses[bag[np.argsort(-score[bag], kind="stable")[:WITNESSES]]] += 1
+            best = bag[np.argsort(-score[bag], kind="stable")[:WITNESSES]]
+            witnesses[best[score[best] >= score[best[:1]] - MARGIN]] += 1
         chosen = np.flatnonzero(witnesses)
-        signs = np.concatenate([np.ones(len(chosen)), -np.ones(len(clean_rows))])
         share = witnesses[chosen] / witnesses.sum() * len(clean_rows) * 0.5
-        w = svm(np.vstack([pool_rows[chosen], clean_rows]), signs, np.concatenate([share, np.ones(len(clean_rows))]))
+        rows = np.vstack([pool_rows[chosen], *(d[chosen] for d in disguises), clean_rows])
+        weights = np.concatenate([share, *(share * DISGUISE_SHARE for _ in disguises), np.ones(len(clean_rows))])
+        w = svm(rows, np.where(np.arange(len(rows)) < len(rows) - len(clean_rows), 1.0, -1.0), weights)
         score = pool_rows @ w[:-1] + np.minimum(first_guess, 3)
     model = ToxicityModel((landmarks @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.zeros(TOP + 2))
     model.weights[~_LETTER_CODE] = 0
