@@ -1,18 +1,14 @@
 """Exact k nearest neighbours by squared L2 for whole tables of question vectors.
 
-Distances are never materialised as row pairs. Both ways compare blocks of vectors inside a
-task and emit only each task's k best rows per question; a window then merges them, ordered by
-distance and id.
-
-* ``broadcast``: the question vectors are below a measured byte bound and go to every task; the
-  corpus is scanned in place, without any shuffle of it.
-* ``cells``: for question tables of any size. Corpus vectors are assigned to the nearest of a
-  bounded number of pivot vectors; a question visits only the cells that can hold one of its
-  neighbours by the triangle inequality, so the result stays exact. Cells are cut into tiles
-  of bounded size on both sides, so a cell with a third of all vectors is many small tasks.
+Distances are never materialised as row pairs. Questions go to the tasks in batches of a measured
+size, however many there are; for each batch the corpus is scanned in place, without any shuffle of
+it. A task compares blocks of vectors and emits its best rows per question, and only those that
+can still win: each question starts from the distance of its k-th neighbour in a small sample of the
+corpus. A window then merges the tasks' rows, ordered by distance and id.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.cluster import cut_lineage
 from lectern.fixed_values import TOP_K
 from lectern.operators.ordering import first_rows
 
-BROADCAST_BYTES = 64 << 20
+BATCH_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
-PIVOTS = 1024
-TILE_ROWS = 50_000
+SAMPLE_ROWS = 1024
 
 
 def _matrix(column) -> np.ndarray:
@@ -135,169 +128,56 @@ def _as_batch(question_ids, rows: pd.DataFrame, question_col, id_col, types) ->
     )
 
 
-def _by_broadcast(corpus, questions, k, id_col, question_col, vector):
-    table = questions.toArrow()  # below BROADCAST_BYTES, checked by the caller
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (table[question_col].to_numpy(), _matrix(table[vector]), table[question_col].type)
-    )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, matrix, q_type = shared.value
-        best, id_type = _Best(matrix, k), None
-        for batch in batches:
-            id_type = batch[id_col].type
-            best.add(batch[id_col].to_numpy(zero_copy_only=False), _matrix(batch[vector]))
-        if len(best.rows):
-            yield _as_batch(question_ids, best.rows, question_col, id_col, (q_type, id_type))
-
-    return corpus.mapInArrow(search, _hit_schema(corpus, questions, id_col, question_col))
-
-
-def _by_cells(corpus, questions, k, id_col, question_col, vector, pivots, tile_rows):
-    # Any distinct corpus rows serve as pivots: they steer the work, not the result. All of them
-    # bound the distances; as many as give cells of about a tile are the cells' centres.
-    pivot_matrix = _matrix(corpus.select(vector).limit(pivots).toArrow()[vector])
-    if not len(pivot_matrix):
-        return corpus.sparkSession.createDataFrame(
-            [], _hit_schema(corpus, questions, id_col, question_col)
-        )
-    centres = max(1, min(len(pivot_matrix), -(-corpus.count() // tile_rows)))
-    shared = corpus.sparkSession.sparkContext.broadcast(pivot_matrix)
-
-    def to_pivots(vectors):
-        pivot = shared.value
-        squared = (
-            np.einsum("ij,ij->i", vectors, vectors)[:, None]
-            + np.einsum("ij,ij->i", pivot, pivot)[None, :]
-            - 2.0 * (vectors @ pivot.T)
-        )
-        return np.sqrt(np.maximum(squared, 0.0))
-
-    def rounding(vectors):
-        scale = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        largest = np.sqrt(np.einsum("ij,ij->i", shared.value, shared.value).max())
-        return 1e-6 * (scale + largest) + 1e-12
-
-    def slices(batch):
-        step = max(1, BLOCK_CELLS // len(shared.value))
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
-
-    def assign(batches):
-        for batch in batches:
-            for part in slices(batch):
-                distance = to_pivots(_matrix(part[vector]))[:, :centres]
-                cell = distance.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(cell, pa.int32()), pa.array(distance.min(axis=1))],
-                    names=[*part.schema.names, "cell", "radius"],
-                )
-
-    celled = corpus.select(id_col, vector).mapInArrow(
-        assign,
-        T.StructType(
-            [corpus.schema[id_col], corpus.schema[vector],
-             T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
-        ),
-    )
-    # Written once: cell bounds and cell members must come from the same computation.
-    celled = cut_lineage(celled)
-    # At most one row per pivot.
-    cells = celled.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
-    ).toPandas()
-    shape = corpus.sparkSession.sparkContext.broadcast(
-        tuple(cells[c].to_numpy() for c in ("cell", "low", "high"))
-    )
-
-    def visits(batches):
-        for batch in batches:
-            for part in slices(batch):
-                distance = to_pivots(_matrix(part[vector]))
-                # k pivots are k corpus rows, so the k-th pivot distance bounds the k-th hit.
-                bound = np.full(len(distance), np.inf)
-                if distance.shape[1] >= k:
-                    bound = np.partition(distance, k - 1, axis=1)[:, k - 1]
-                cell, low, high = shape.value
-                to_cell = distance[:, cell]
-                nearest = np.maximum(np.maximum(to_cell - high, low - to_cell), 0.0)
-                bound = bound + rounding(_matrix(part[vector]))
-                qi, ci = np.nonzero(nearest <= bound[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.take(pa.array(qi)).columns,
-                     pa.array(bound[qi]), pa.array(cell[ci].astype(np.int32))],
-                    names=[*part.schema.names, "bound", "cell"],
-                )
-
-    visiting = cut_lineage(questions.select(question_col, vector).mapInArrow(
-        visits,
-        T.StructType(
-            [questions.schema[question_col], questions.schema[vector],
-             T.StructField("bound", T.DoubleType()), T.StructField("cell", T.IntegerType())]
-        ),
-    ))
-    # Tiles per cell on either side; at most one row per pivot, so safe to broadcast.
-    asked = visiting.groupBy("cell").agg(F.count("*").alias("asked"))
-    tiles = F.broadcast(
-        celled.groupBy("cell").agg(F.count("*").alias("held")).join(asked, "cell").select(
-            "cell",
-            F.ceil(F.col("held") / tile_rows).alias("o_tiles"),
-            F.ceil(F.col("asked") / tile_rows).alias("q_tiles"),
-        )
-    )
-
-    def own(key, count):
-        return F.pmod(F.xxhash64(key), F.col(count))
-
-    def each(count):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-
-    left = celled.join(tiles, "cell").select(
-        "cell", own(id_col, "o_tiles").alias("o_tile"), each("q_tiles").alias("q_tile"),
-        id_col, vector,
-    )
-    right = visiting.join(tiles, "cell").select(
-        "cell", each("o_tiles").alias("o_tile"), own(question_col, "q_tiles").alias("q_tile"),
-        question_col, vector, "bound",
-    )
-
-    def search(held: pa.Table, asking: pa.Table) -> pa.Table:
-        question_ids = asking[question_col].to_numpy()
-        if not held.num_rows or not asking.num_rows:
-            return pa.Table.from_batches([], schema=out_schema)
-        best = _Best(_matrix(asking[vector]), k, asking["bound"].to_numpy() ** 2)
-        best.add(held[id_col].to_numpy(), _matrix(held[vector]))
-        batch = _as_batch(
-            question_ids, best.rows, question_col, id_col,
-            (asking[question_col].type, held[id_col].type),
-        )
-        return pa.Table.from_batches([batch])
-
-    out_schema = to_arrow_schema(_hit_schema(corpus, questions, id_col, question_col))
-    tile = ["cell", "o_tile", "q_tile"]
-    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
-        search, _hit_schema(corpus, questions, id_col, question_col)
-    )
+def _partial_hits(corpus, questions, k, id_col, question_col, vector, batch_bytes):
+    """Each task's best rows per question, over all batches of questions."""
+    size = questions.agg(F.sum(F.size(vector).cast("long") * 8 + 64).alias("bytes")).first()
+    batches = max(1, -(-(size["bytes"] or 0) // max(1, batch_bytes)))
+    sample = corpus.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).toArrow()
+    schema = _hit_schema(corpus, questions, id_col, question_col)
+    parts = []
+    for number in range(batches):
+        batch = questions
+        if batches > 1:
+            batch = questions.where(F.pmod(F.xxhash64(question_col), F.lit(batches)) == number)
+        table = batch.toArrow()  # about batch_bytes
+        question_ids, matrix = table[question_col].to_numpy(), _matrix(table[vector])
+        seed = _Best(matrix, k)
+        if sample.num_rows and len(matrix):
+            seed.add(sample[id_col].to_numpy(), _matrix(sample[vector]))
+        shared = (question_ids, matrix, table[question_col].type, seed.bound)
+
+        def search(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            question_ids, matrix, q_type, bound = shared
+            best, id_type = _Best(matrix, k, bound), None
+            for block in rows:
+                id_type = block[id_col].type
+                best.add(block[id_col].to_numpy(zero_copy_only=False), _matrix(block[vector]))
+            if len(best.rows):
+                yield _as_batch(question_ids, best.rows, question_col, id_col, (q_type, id_type))
+
+        parts.append(corpus.mapInArrow(search, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_finite_vector(rows: DataFrame, vector: str) -> DataFrame:
+    """A null or non-finite element has no distance to anything."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return rows.where(F.col(vector).isNotNull() & F.forall(vector, finite))
 
 
 def nearest(
     corpus: DataFrame, questions: DataFrame, k: int = TOP_K, id_col: str = "chunk_id",
     question_col: str = "question_id", vector: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS, tile_rows: int = TILE_ROWS,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """``(question_col, rank, id_col, distance)``: the k nearest rows, fewer if there are fewer.
 
-    Rows without a vector take no part. Ties go to the smaller id.
+    Rows whose vector is null or holds a null or non-finite element take no part, on either side.
+    Ties go to the smaller id.
     """
-    corpus = corpus.select(id_col, vector).where(F.col(vector).isNotNull())
-    questions = questions.select(question_col, vector).where(F.col(vector).isNotNull())
-    size = questions.agg(F.sum(F.size(vector).cast("long") * 8 + 64).alias("bytes")).first()
-    if (size["bytes"] or 0) <= broadcast_bytes:
-        partial = _by_broadcast(corpus, questions, k, id_col, question_col, vector)
-    else:
-        partial = _by_cells(
-            corpus, questions, k, id_col, question_col, vector, pivots, tile_rows
-        )
+    corpus = _with_finite_vector(corpus.select(id_col, vector), vector)
+    questions = _with_finite_vector(questions.select(question_col, vector), vector)
+    partial = _partial_hits(corpus, questions, k, id_col, question_col, vector, batch_bytes)
     return first_rows(
         partial, [question_col], [F.col("distance"), F.col(id_col)], k, "rank"
     ).select(question_col, "rank", id_col, "distance")

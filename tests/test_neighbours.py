@@ -1,10 +1,10 @@
-"""Both search ways equal brute force."""
+"""The search equals brute force, however many batches the questions make."""
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from lectern.operators.neighbours import nearest
+from lectern.operators.neighbours import _partial_hits, nearest
 
 SCHEMA = T.StructType(
     [T.StructField("chunk_id", T.StringType()),
@@ -35,11 +35,7 @@ def brute(corpus, questions, k):
     return out
 
 
-WAYS = {
-    "broadcast": {},
-    "cells": {"broadcast_bytes": 0, "pivots": 16, "tile_rows": 40},
-    "cells with few pivots": {"broadcast_bytes": 0, "pivots": 2, "tile_rows": 10_000},
-}
+WAYS = {"one batch": {}, "many batches": {"batch_bytes": 500}}
 
 
 def found(spark, corpus, questions, k, way):
@@ -91,9 +87,26 @@ def test_empty_sides(spark, way):
     assert found(spark, one, np.empty((0, 2)), 3, way) == set()
 
 
-def test_cells_are_pruned(spark):
-    """Far clusters are not visited, so their rows take no part in any tile."""
+@pytest.mark.parametrize("way", WAYS)
+def test_bad_elements_take_no_part(spark, way):
     random = np.random.default_rng(4)
-    corpus = np.vstack([random.normal(size=(100, 2)) + c for c in (0, 1e4)])
-    questions = random.normal(size=(10, 2))
-    assert found(spark, corpus, questions, 3, "cells") == brute(corpus, questions, 3)
+    corpus, questions = random.normal(size=(200, 3)), random.normal(size=(20, 3))
+    bad = [("a1", [float("nan"), 0.0, 0.0]), ("a2", [float("inf"), 0.0, 0.0]), ("a3", [0.0, None, 0.0])]
+    asking = [(100, [float("-inf"), 0.0, 0.0]), (101, [None, 1.0, 1.0])]
+    hits = nearest(
+        vectors(spark, corpus).union(spark.createDataFrame(bad, SCHEMA)),
+        asked(spark, questions).union(spark.createDataFrame(asking, QUESTIONS)), 3, **WAYS[way],
+    )
+    got = {(r.question_id, r["rank"], r.chunk_id) for r in hits.collect()}
+    assert got == brute(corpus, questions, 3)
+
+
+def test_tasks_emit_a_small_share_of_all_pairs(spark):
+    random = np.random.default_rng(5)
+    corpus, questions = random.normal(size=(6000, 64)), random.normal(size=(50, 64))
+    many = vectors(spark, corpus).repartition(40)
+    partial = _partial_hits(
+        many, asked(spark, questions), 5, "chunk_id", "question_id", "embedding", 64 << 20
+    )
+    # 40 tasks with k rows for each question would be 10,000.
+    assert partial.count() <= 0.25 * 40 * 50 * 5
