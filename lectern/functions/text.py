@@ -68,10 +68,15 @@ def page_index(page_number: Column, pages: Column) -> Column:
     return F.greatest(F.lit(0), F.least(page_number - 1, pages - 1))
 
 
+def shown(value: Column) -> Column:
+    """A value as text; a missing one is shown as such, so that its block isn't lost."""
+    return F.coalesce(value.cast("string"), F.lit(V.UNANSWERED))
+
+
 def context_block(class_level, chapter_no, page_number, text_content) -> Column:
     return fill(
-        V.CONTEXT_BLOCK, class_level=class_level, chapter_no=chapter_no,
-        page_number=page_number, text_content=text_content,
+        V.CONTEXT_BLOCK, class_level=shown(class_level), chapter_no=shown(chapter_no),
+        page_number=shown(page_number), text_content=shown(text_content),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern import schemas
 from lectern.functions.model_text import request_payload
-from lectern.functions.text import fill
+from lectern.functions.text import fill, shown
 from lectern.operators.ordering import HOT_GROUP_ROWS, latest_per_key, ordered_concat
 
 
@@ -87,7 +87,7 @@ def session_reports(
     ``quizzes`` is ``(session_id, quiz_id, analysis, created_at)``. Sessions without a quiz get
     the fixed reply instead of a prompt. ``counted`` as in ``ordering.split_hot``.
     """
-    line = fill(V.QUIZ_OUTPUT, quiz_no=F.col("_n"), analysis=F.col("analysis"))
+    line = fill(V.QUIZ_OUTPUT, quiz_no=F.col("_n"), analysis=shown(F.col("analysis")))
     evaluations = ordered_concat(
         quizzes, ["session_id"], [F.col("created_at"), F.col("quiz_id")], V.BLOCK_SEPARATOR,
         {"evaluations": line}, hot_rows=hot_rows, counted=counted,

@@ -12,17 +12,22 @@ from lectern.operators.ordering import (
 
 
 def chat_pairs(messages: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """``(session_id, turn, prompt, raw_response)``: a user message and the reply right after it.
+    """``(session_id, user_id, turn, prompt, raw_response, timestamp)``: a user message, with its
+    user and time, and the reply right after it.
 
-    ``messages`` is ``(session_id, turn, role, content)``, unique by session and turn.
+    ``messages`` is ``(session_id, user_id, turn, role, content, timestamp)``, unique by session
+    and turn.
     """
     following = with_next(
-        messages.select("session_id", "turn", "role", "content"), ["session_id"],
+        messages.select("session_id", "user_id", "turn", "role", "content", "timestamp"),
+        ["session_id"],
         [F.col("turn")], {"role": "_next_role", "content": "raw_response"}, hot_rows,
     )
     return following.where(
         (F.col("role") == "user") & (F.col("_next_role") == "assistant")
-    ).select("session_id", "turn", F.col("content").alias("prompt"), "raw_response")
+    ).select(
+        "session_id", "user_id", "turn", F.col("content").alias("prompt"), "raw_response", "timestamp"
+    )
 
 
 def session_messages(

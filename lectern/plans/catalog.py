@@ -455,12 +455,16 @@ def stream_sessions(spark, sf):
 
 @query
 def stream_dashboard(spark, sf):
-    """The events table as a stream of log rows; its counters at the end."""
-    schema = read(spark, sf, "events").schema
-    # A pattern, so that a single file and a folder of files both serve as the source.
-    log = spark.readStream.schema(schema).parquet(f"{sf}/events.{{parquet}}")
+    """Log rows and memory changes as streams; their counters at the end."""
+    log, changes = new_shared_path(spark, "log"), new_shared_path(spark, "changes")
+    I.dashboard_log(spark, sf).write.parquet(log)
+    graded = I.graded(spark, sf)
+    _grade_changes(graded).select("user_id").write.parquet(changes)
+    streams = [
+        spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        for path in (log, changes)
+    ]
     out = new_shared_path(spark, "metrics")
-    stream_metrics.start_dashboard(
-        log, "user_id", out, new_shared_path(spark, "state")
-    ).awaitTermination()
-    return spark.read.parquet(out)
+    for running in stream_metrics.start_dashboard(*streams, out, new_shared_path(spark, "state")):
+        running.awaitTermination()
+    return stream_metrics.read_dashboard(spark, out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import text as X
 from lectern.operators import corpus as C
 from lectern.operators import grading as G
 from lectern.operators import sessions as S
@@ -99,17 +100,9 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Logged pairs; user and time follow from the session and turn of the user message."""
-    conv = F.substring("session_id", 2, 20).cast("long")
-    return (
-        S.chat_pairs(messages(spark, sf))
-        .withColumn("_conv", conv)
-        .select(
-            "session_id", F.concat(F.lit("u"), _text(F.col("_conv") % 20)).alias("user_id"),
-            "turn", "prompt", "raw_response", _chat_time("_conv", "turn").alias("timestamp"),
-            F.sha2(F.concat_ws("#", "session_id", "turn"), 256).alias("log_id"),
-        )
-    )
+    """Logged pairs with a log id."""
+    log_id = F.sha2(F.concat_ws("#", "session_id", "turn"), 256)
+    return S.chat_pairs(messages(spark, sf)).withColumn("log_id", log_id)
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +110,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     said = messages(spark, sf)
     renames = said.where(F.col("role") == "system").select(
         "session_id", F.col("timestamp").alias("changed_at"),
-        F.left("content", F.lit(60)).alias("title"),
+        X.title_of(F.col("content")).alias("title"),
     )
     opened = S.open_sessions(S.first_prompts(said))
     return S.rename_sessions(S.touch_sessions(opened, chat_log(spark, sf)), renames)

@@ -22,6 +22,10 @@ def filled(template: str, **columns: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+def shown(value: str) -> str:
+    return f"coalesce(({value})::VARCHAR, {quoted(V.UNANSWERED)})"
+
+
 def payload(prompt: str, temperature: float) -> str:
     return (
         f"CASE WHEN {prompt} IS NOT NULL THEN to_json({{'model': {quoted(I.MODEL)}, "
@@ -95,8 +99,8 @@ PARTS = {
     "found": (["chunk", "hit"], "SELECT *, right(chapter, 2) AS nn FROM hit JOIN chunk USING (chunk_id)"),
     "context": (["found"], f"""
         SELECT question_id, count(*) AS n_chunks, string_agg({filled(
-            V.CONTEXT_BLOCK, class_level="class_level", chapter_no="nn",
-            page_number="page_number", text_content="text_content",
+            V.CONTEXT_BLOCK, class_level=shown("class_level"), chapter_no=shown("nn"),
+            page_number=shown("page_number"), text_content=shown("text_content"),
         )}, {quoted(V.BLOCK_SEPARATOR)} ORDER BY rank) AS context
         FROM found GROUP BY question_id"""),
     "asked": (["question", "context"], f"""
@@ -125,7 +129,9 @@ PARTS = {
               QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn) = 1)
         LEFT JOIN (SELECT session_id, max(timestamp) AS last FROM chat GROUP BY 1)
              USING (session_id)
-        LEFT JOIN (SELECT session_id, left(content, 60) AS renamed FROM message
+        LEFT JOIN (SELECT session_id, CASE WHEN length(content) > {V.TITLE_CHARS}
+                       THEN left(content, {V.TITLE_CHARS}) || {quoted(V.ELLIPSIS)}
+                       ELSE content END AS renamed FROM message
                    WHERE role = 'system'
                    QUALIFY row_number() OVER (
                        PARTITION BY session_id ORDER BY timestamp DESC, renamed DESC) = 1)
@@ -199,7 +205,7 @@ PARTS = {
                      {filled(V.REPORT_PROMPT, evaluations="evaluations")} AS prompt
               FROM (SELECT DISTINCT session_id FROM head) LEFT JOIN (
                   SELECT session_id, count(*) AS n, string_agg({filled(
-                      V.QUIZ_OUTPUT, quiz_no="i", analysis="analysis",
+                      V.QUIZ_OUTPUT, quiz_no="i", analysis=shown("analysis"),
                   )}, {quoted(V.BLOCK_SEPARATOR)} ORDER BY i) AS evaluations
                   FROM (SELECT *, row_number() OVER (PARTITION BY session_id
                             ORDER BY created_at, attempt_id::VARCHAR) AS i FROM graded)
@@ -343,7 +349,7 @@ ORACLES = {
                          syllabus=quoted(I.SYLLABUS))} END AS reply
               FROM asked)""", "asked",
     ),
-    "chat_pairs": with_parts("SELECT session_id, turn, prompt, raw_response FROM chat", "chat"),
+    "chat_pairs": with_parts("SELECT session_id, user_id, turn, prompt, raw_response, timestamp FROM chat", "chat"),
     "session_messages": with_parts(
         """SELECT session_id, (n - 1) * 2 + 1 AS message_no, 'user' AS role, prompt AS content
         FROM numbered UNION ALL
@@ -502,7 +508,8 @@ ORACLES = {
     "stream_sessions": with_parts(
         "SELECT session_id, max(timestamp) AS updated_at FROM chat GROUP BY session_id", "chat"
     ),
-    "stream_dashboard": """
-        SELECT 'total_queries' AS metric, count(*) AS value FROM events
-        UNION ALL SELECT 'unique_students', count(DISTINCT user_id) FROM events""",
+    "stream_dashboard": with_parts(
+        """SELECT 'total_queries' AS metric, count(*) AS value FROM events
+        UNION ALL SELECT 'unique_students', count(DISTINCT user_id) FROM memory""", "memory",
+    ),
 }

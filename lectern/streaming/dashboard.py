@@ -1,33 +1,41 @@
 """Live usage counters."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+TOTAL, STUDENTS = "total_queries", "unique_students"
+
 
 def start_dashboard(
-    log: DataFrame, user: str, out_path: str, checkpoint_dir: str, **trigger
-) -> StreamingQuery:
-    """Keep ``(metric, value)`` at ``out_path`` up to date with a stream of log rows.
+    log: DataFrame, memory_changes: DataFrame, out_dir: str, checkpoint_dir: str, **trigger
+) -> list[StreamingQuery]:
+    """Count a stream of log rows, and the users of a stream of memory changes, under ``out_dir``.
 
-    The state is one count per user, spread over the state partitions; both counters are exact
-    and come from it. A replayed batch writes the same two rows again. ``trigger`` is as in
-    ``writeStream.trigger``; by default all waiting input is processed and the query ends.
+    Each batch adds one small row: how many log rows it had, or how many users it saw for the
+    first time; the users seen are the state, spread over the state partitions. The row is in
+    the batch's own folder, so a replayed batch replaces it. ``trigger`` is as in
+    ``writeStream.trigger``; by default all waiting input is processed and the queries end.
     """
-    per_user = log.groupBy(F.col(user).alias("user")).count()
-
-    def write(counts: DataFrame, batch_id: int) -> None:
-        counts.agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("total_queries"),
-            F.count("user").alias("unique_students"),
-        ).unpivot([], ["total_queries", "unique_students"], "metric", "value").write.mode(
-            "overwrite"
-        ).parquet(out_path)
-
-    return (
-        per_user.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    users = memory_changes.select("user_id").where("user_id IS NOT NULL")
+    counted = {TOTAL: log.select(F.lit(1).alias("one")), STUDENTS: users.dropDuplicates(["user_id"])}
+
+    def start(metric: str, rows: DataFrame) -> StreamingQuery:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            folder = f"{out_dir}/metric={metric}/batch_id={batch_id}"
+            batch.agg(F.count("*").alias("value")).write.mode("overwrite").parquet(folder)
+
+        return (
+            rows.writeStream.foreachBatch(write)
+            .option("checkpointLocation", f"{checkpoint_dir}/{metric}")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+
+    return [start(metric, rows) for metric, rows in counted.items()]
+
+
+def read_dashboard(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``(metric, value)`` over all batches written so far."""
+    written = spark.read.schema("value long, metric string, batch_id long").parquet(out_dir)
+    return written.groupBy("metric").agg(F.sum("value").alias("value"))

@@ -195,7 +195,8 @@ def test_pairs(messages, hot_rows):
 
 @pytest.mark.parametrize("hot_rows", [10**6, 1])
 def test_session_messages(messages, hot_rows):
-    log = S.chat_pairs(messages).withColumn("timestamp", at(F.col("turn").cast("int")))
+    log = S.chat_pairs(messages)
+    assert {r.user_id for r in log.collect()} == {"u"}
     rows = S.session_messages(log, "turn", hot_rows).where("session_id = 's1'")
     assert [(r.message_no, r.role, r.content[:5]) for r in rows.orderBy("message_no").collect()] == [
         (1, "user", "first"), (2, "assistant", "one"), (3, "user", "three"), (4, "assistant", "two"),
@@ -306,15 +307,37 @@ def test_chat_log_stream_goes_on_and_survives_replay(spark, tmp_path):
 
 
 def test_dashboard_stream_counts_on(spark, tmp_path):
-    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for ids, wanted in [(range(1), (1, 1)), (range(1, 9), (9, 2))]:
+    """It runs on what the chat log stream writes, which names no user column."""
+    source, changes, log, out = (str(tmp_path / n) for n in ("in", "changes", "log", "out"))
+    for n, (ids, wanted) in enumerate([(range(1), (1, 1)), (range(1, 9), (9, 2))]):
         pairs(spark, ids).write.mode("append").parquet(source)
-        dashboard.start_dashboard(
-            spark.readStream.schema(PAIR).parquet(source), "user_id", out, state).awaitTermination()
-        got = {r.metric: r.value for r in spark.read.parquet(out).collect()}
+        pairs(spark, ids).select("user_id").write.mode("append").parquet(changes)
+        chat_log.start_chat_log(
+            spark.readStream.schema(PAIR).parquet(source), log, str(tmp_path / "log-state")
+        ).awaitTermination()
+        for running in dashboard.start_dashboard(
+            spark.readStream.schema(schemas.DASHBOARD).parquet(f"{log}/business_dashboard"),
+            spark.readStream.schema("user_id string").parquet(changes), out, str(tmp_path / "state"),
+        ):
+            running.awaitTermination()
+        got = {r.metric: r.value for r in dashboard.read_dashboard(spark, out).collect()}
         assert got == {"total_queries": wanted[0], "unique_students": wanted[1]}
 
 
+def test_null_values_lose_no_block(spark):
+    found = spark.createDataFrame(
+        [(1, 1, None, "book03", 4, "text"), (1, 2, 8, None, None, "more"), (1, 3, 8, "book04", 5, None)],
+        "question_id long, rank int, class_level int, chapter string, page_number int, text_content string",
+    )
+    row = A.contexts(found).first()
+    assert row.n_chunks == 3 and len(row.context.split("[Source: ")) == 4 and "Page None" in row.context
+    quizzes = spark.createDataFrame(
+        [("s", "a", None), ("s", "b", "good")], "session_id string, quiz_id string, analysis string"
+    ).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    report = R.session_reports(quizzes.select("session_id").distinct(), quizzes, "m").first()
+    assert report.n_quizzes == 2 and "Quiz 1" in report.prompt and "Quiz 2" in report.prompt
+
+
 # --- whole jobs ---------------------------------------------------------------------------
 
 
