@@ -258,6 +258,12 @@ def grade_quiz(spark, sf):
     return G.grade(I.answers(spark, sf))
 
 
+@query
+def grade_submitted(spark, sf):
+    """Grades from parallel lists of different lengths."""
+    return G.grade(G.align_answers(I.submitted(spark, sf)))
+
+
 def _breakdowns(spark, sf):
     return G.breakdowns(I.answers(spark, sf), I.answer_order())
 

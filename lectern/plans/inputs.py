@@ -155,6 +155,21 @@ def answer_order() -> list[Column]:
     return [F.col(c) for c in ANSWER_ORDER]
 
 
+def submitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts as a form submits them: three parallel lists, with fewer answers than questions in
+    every third attempt and one too many in every other third."""
+    asked = F.sort_array(F.collect_list(F.struct(*ANSWER_ORDER, "question", "choice", "answer_key")))
+    lists = answers(spark, sf).groupBy("attempt_id").agg(asked.alias("asked"))
+    choices, kind = F.col("asked.choice"), F.col("attempt_id") % 3
+    return lists.select(
+        "attempt_id", F.col("asked.question").alias("questions"),
+        F.when(kind == 0, F.slice(choices, F.lit(1), F.size(choices) - 1))
+        .when(kind == 1, F.concat(choices, F.array(F.lit("A. more"))))
+        .otherwise(choices).alias("choices"),
+        F.col("asked.answer_key").alias("answer_keys"),
+    )
+
+
 def attempt_heads(spark: SparkSession, sf: str) -> DataFrame:
     customer, date = F.col("o_custkey"), F.col("o_orderdate")
     return read(spark, sf, "orders").select(

@@ -399,6 +399,17 @@ ORACLES = {
     ),
     "quiz_relabel": with_parts(relabelled("quiz", "part_id"), "quiz"),
     "grade_quiz": with_parts("SELECT * FROM grade", "grade"),
+    "grade_submitted": with_parts(
+        f"""SELECT attempt_id, score, total, total - score AS wrong,
+               CASE WHEN score >= {V.HIGH_SCORE} THEN 'High'
+                    WHEN score >= {V.MEDIUM_SCORE} THEN 'Medium' ELSE 'Low' END AS proficiency
+        FROM (SELECT attempt_id, count(*)::INT AS total,
+                     count(*) FILTER (starts_with(
+                         CASE WHEN attempt_id % 3 = 0 AND question_no = questions
+                              THEN {quoted(V.UNANSWERED)} ELSE given END, answer_key))::INT AS score
+              FROM (SELECT *, count(*) OVER (PARTITION BY attempt_id) AS questions FROM answer)
+              GROUP BY attempt_id)""", "answer",
+    ),
     "quiz_breakdown": with_parts("SELECT * FROM breakdown", "breakdown"),
     "evaluation_prompts": with_parts("SELECT * FROM evaluation", "evaluation"),
     "quiz_history_rows": with_parts(

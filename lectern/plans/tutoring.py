@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.cluster import cut_lineage
 from lectern.functions import model_text as M
+from lectern.functions.quizzes import proficiency
 from lectern.operators import corpus, grading, hooks, lookup, memory
 from lectern.operators.neighbours import nearest
 from lectern.operators.sessions import recent_topics
@@ -55,10 +56,12 @@ def find_chunks(
 
 def answer_questions(
     questions: DataFrame, found: DataFrame, client_factory: Callable, model: str,
-    syllabus: str, prefix: str, base_dir: str,
+    syllabus: str, prefix: str, base_dir: str, calls_at_once: int = 8, tasks: int | None = None,
 ) -> DataFrame:
     """``(question_id, answer, sources, error)`` from the ranked chunks of each question.
 
+    ``calls_at_once`` and ``tasks`` here and below as in ``hooks.complete_prompts``.
+
     Without a hit the answer is the fixed reply. Failed calls have no answer but an ``error``;
     neither has sources.
     """
@@ -67,7 +70,7 @@ def answer_questions(
     )
     requests = lookup.answer_prompts(asked, model, syllabus)
     done = cut_lineage(
-        hooks.complete_prompts(requests, "question_id", "payload", client_factory)
+        hooks.complete_prompts(requests, "question_id", "payload", client_factory, calls_at_once, tasks)
     )
     text = M.completion_text(F.col("message"), V.EMPTY_RESPONSE)
     answered = done.withColumn("message", M.reply_message(F.col("response"))).select(
@@ -84,14 +87,17 @@ def answer_questions(
     )
 
 
-def generate_quizzes(messages: DataFrame, client_factory: Callable, model: str) -> DataFrame:
+def generate_quizzes(
+    messages: DataFrame, client_factory: Callable, model: str, calls_at_once: int = 8,
+    tasks: int | None = None,
+) -> DataFrame:
     """``(session_id, question_no, quiz)`` for every session that asked something.
 
     A failed call or an unreadable reply leaves its session without questions.
     """
     requests = grading.quiz_prompts(recent_topics(messages), model)
     done = cut_lineage(
-        hooks.complete_prompts(requests, "session_id", "payload", client_factory)
+        hooks.complete_prompts(requests, "session_id", "payload", client_factory, calls_at_once, tasks)
     )
     replies = done.withColumn("message", M.reply_message(F.col("response"))).withColumn(
         "reply", M.completion_text(F.col("message"), V.EMPTY_QUIZ)
@@ -100,20 +106,27 @@ def generate_quizzes(messages: DataFrame, client_factory: Callable, model: str)
 
 
 def evaluate_attempts(
-    attempts: DataFrame, answers: DataFrame, order, client_factory: Callable, model: str
+    attempts: DataFrame, answers: DataFrame, order, client_factory: Callable, model: str,
+    calls_at_once: int = 8, tasks: int | None = None,
 ) -> DataFrame:
-    """Attempts with score, total, wrong count, band and evaluation paragraph."""
-    broken_down = grading.breakdowns(answers, order)
+    """Attempts with score, total, wrong count, band and evaluation paragraph.
+
+    Prompts and grades come from the same breakdowns, written once.
+    """
+    broken_down = cut_lineage(grading.breakdowns(answers, order))
     requests = grading.evaluation_prompts(broken_down, model)
     done = cut_lineage(
-        hooks.complete_prompts(requests, "attempt_id", "payload", client_factory)
+        hooks.complete_prompts(requests, "attempt_id", "payload", client_factory, calls_at_once, tasks)
     )
     analysis = (
         done.withColumn("message", M.reply_message(F.col("response")))
         .withColumn("body", M.reply_body(F.col("message")))
         .select("attempt_id", M.analysis_text(F.col("body")).alias("analysis"))
     )
-    return attempts.join(grading.grade(answers), "attempt_id").join(analysis, "attempt_id")
+    grades = broken_down.select(
+        "attempt_id", "score", "total", "wrong", proficiency(F.col("score")).alias("proficiency")
+    )
+    return attempts.join(grades, "attempt_id").join(analysis, "attempt_id")
 
 
 def update_memory(evaluated: DataFrame, reports: DataFrame | None = None) -> DataFrame:
@@ -138,7 +151,7 @@ def update_memory(evaluated: DataFrame, reports: DataFrame | None = None) -> Dat
 
 def report_sessions(
     sessions: DataFrame, quizzes: DataFrame, client_factory: Callable, model: str,
-    counted: DataFrame | None = None,
+    counted: DataFrame | None = None, calls_at_once: int = 8, tasks: int | None = None,
 ) -> DataFrame:
     """``(session_id, n_quizzes, report)``; fixed texts for no quiz and for a failed call.
 
@@ -146,7 +159,7 @@ def report_sessions(
     """
     requests = memory.session_reports(sessions, quizzes, model, counted=counted)
     done = cut_lineage(
-        hooks.complete_prompts(requests, "session_id", "payload", client_factory)
+        hooks.complete_prompts(requests, "session_id", "payload", client_factory, calls_at_once, tasks)
     )
     message = F.col("message")
     report = F.when(

@@ -324,6 +324,29 @@ def test_dashboard_stream_counts_on(spark, tmp_path):
         assert got == {"total_queries": wanted[0], "unique_students": wanted[1]}
 
 
+def test_whole_jobs_spread_their_calls(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+
+        def call(request):
+            open(f"{folder}/{task}", "a").close()
+            return envelope("reply")
+
+        return call
+
+    asked = spark.createDataFrame([(i, f"q{i}") for i in range(60)], "question_id long, question string")
+    found = asked.select(
+        "question_id", F.lit(1).alias("rank"), F.lit(8).alias("class_level"), F.lit("book03").alias("chapter"),
+        F.lit(4).alias("page_number"), F.lit("text").alias("text_content"),
+    )
+    answered = tutoring.answer_questions(asked, found, factory, "m", "s", "book", "/b", calls_at_once=2, tasks=7)
+    assert answered.where("error IS NULL").count() == 60 and len(list(tmp_path.iterdir())) == 7
+
+
 def test_null_values_lose_no_block(spark):
     found = spark.createDataFrame(
         [(1, 1, None, "book03", 4, "text"), (1, 2, 8, None, None, "more"), (1, 3, 8, "book04", 5, None)],
