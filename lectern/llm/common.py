@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The bytes that separate words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in slices of about this many characters, whatever the batch size is.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: A block of a group that is numbered at once has at least so many rows …
 LEAST_BLOCK_ROWS = 500
 #: … and more when there would be more blocks than this, whose counts one window adds up.
