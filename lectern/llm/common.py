@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in slices of about this many characters, whatever the batch size is.
 SLICE_CHARS = 1_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A block of a group that is numbered at once has at least so many rows …
 LEAST_BLOCK_ROWS = 500
 #: … and more when there would be more blocks than this, whose counts one window adds up.
@@ -31,7 +32,18 @@ def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task hands to Python at a time, unless the session has its own bound.
+
+    Texts of the default 64 MB a batch, held on both sides, take much of a small executor's memory.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder, for a query that works on texts in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

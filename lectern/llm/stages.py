@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language, mixing, near_dups, packing, substrings
-from lectern.llm.common import stored, words_in
+from lectern.llm.common import small_batches, stored, words_in
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,10 +20,12 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def with_other_columns(stage: Stage) -> Stage:
-    """``stage`` on the document columns, any others being carried along whatever their names."""
+    """``stage`` on the document columns, any others being carried along whatever their names, with
+    Arrow batches of bounded size."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        small_batches(spark)
         others = [c for c in docs.columns if c not in DOCUMENT]
         if not others:
             return stage(spark, docs, folder)
@@ -91,5 +93,6 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 1024 tokens."""
+    small_batches(spark)
     vocabulary, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     return packing.packed_documents(docs, vocabulary, ranks, capacity=1024, end_id=2)
