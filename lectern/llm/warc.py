@@ -169,7 +169,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     hold any bytes; an empty file has no records.
     """
     kinds = f"path string, split long, place long, size long, step long, whole boolean, {_FIELDS}"
-    found = stored(_pieces(spark, path).mapInArrow(_candidates, kinds), "candidates")
+    # Files go by a 64-bit hash of their path from here on, which keeps the pointers narrow.
+    found = _pieces(spark, path).mapInArrow(_candidates, kinds).withColumn("path", F.xxhash64("path"))
+    found = stored(found, "candidates")
     totals = found.groupBy("path", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(totals.select("path", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "split-bases")
@@ -201,9 +203,11 @@ def _put_together(spark: SparkSession, path: str, placed: DataFrame, bases: Data
         for path, split, place, value in _placed(batches):
             yield pa.RecordBatch.from_pydict({"path": [path], "split": [split], "place": [place], "value": [value]})
 
-    files = torn.select(F.col("path").alias("file_path")).distinct()
-    rows = _pieces(spark, path).join(F.broadcast(files) if few else files, "file_path", "left_semi").select("file_path", "file_block_start", "value")
-    rows = rows.mapInArrow(emit, "path string, split long, place long, value binary").join(bases, ["path", "split"])
+    files = torn.select("path").distinct()
+    pieces = _pieces(spark, path).withColumn("path", F.xxhash64("file_path"))
+    rows = pieces.join(F.broadcast(files) if few else files, "path", "left_semi").select("file_path", "file_block_start", "value")
+    rows = rows.mapInArrow(emit, "path string, split long, place long, value binary")
+    rows = rows.withColumn("path", F.xxhash64("path")).join(bases, ["path", "split"])
     rows = rows.select("path", (F.col("base") + F.col("place") - len(MAGIC)).alias("at"), "value")
     rows = rows.join(F.broadcast(wanted) if few else wanted, ["path", "at"])
     grouped = rows.groupBy("path", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
