@@ -239,7 +239,9 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
         score = pool_rows @ w[:-1] + np.minimum(first_guess, 3)
     model = ToxicityModel((landmarks @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.zeros(TOP + 2))
     model.weights[~_LETTER_CODE] = 0
-    return ToxicityModel(model.weights, model.bias, _logistic(model.sentences(texts), toxic))
+    del bags, clean_rows, pool_rows, disguises, landmarks
+    judged = [model.sentences(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+    return ToxicityModel(model.weights, model.bias, _logistic(np.vstack(judged), toxic))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
