@@ -115,7 +115,7 @@ def seen_steps(texts: list[str]) -> list[np.ndarray]:
                 total = (total ^ (total >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 blocks[low][: high - low, slot] = np.where(inside, (total >> np.uint32(9)) % np.uint32(255) + np.uint32(1), 0)
         front = at[:, :walking]
-        front += (chars[front] * moves[:, step, None]) >> np.uint32(30)
+        front += ((chars[front] + np.uint32(1)) * moves[:, step, None]) >> np.uint32(30)
         step += 1
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
     for i, text in enumerate(order):

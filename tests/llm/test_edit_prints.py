@@ -52,6 +52,11 @@ def test_rows(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_nul_characters_end(spark):
+    check(spark, [(1, "\0"), (2, "a\0\0b" * 50), (3, "\0" * 500), (4, "plain")])
+    assert near("\0" * 500, "\0" * 500) == 1
+
+
 def test_few_rows(spark):
     check(spark, [(1, "alone")])
     check(spark, [(1, "one"), (2, "two")])
