@@ -5,7 +5,8 @@ probability f - floor(f). These probabilities are rounded dependently: two docum
 mass at random until one of them is decided, and the other goes on with what is left. The words
 taken from a source then stay what they should be, up to a part of a single document, while each
 document's expected copies stay f. Documents are dealt to blocks, a block folds its documents to one
-undecided document, and these are dealt to blocks again: a reduction tree with a wide fan-in.
+undecided document, and these are dealt to blocks again: a reduction tree with a wide fan-in. In the
+first blocks a document's partner is all that are smaller, so that large ones are decided first.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ def _chance(*of: Column) -> Column:
 def _exchange(state: Column, other: Column) -> Column:
     """Fold ``other`` into the undecided document of ``state``: one of the two gets decided.
 
-    The undecided document goes up with the chance of its probability and keeps its direction, since
-    its draw doesn't change: one of many words is decided after exchanges with a few small ones.
+    The undecided document rises by ``up`` with the chance down / (up + down) and else falls by ``down``, so
+    that both keep their expected copies. Each exchange has a draw of its own, made of the two
+    documents' (which depend on the seed); no two documents meet twice.
     """
 
     def exchanged(x: Column) -> Column:
@@ -79,21 +81,57 @@ def _exchange(state: Column, other: Column) -> Column:
     a, b = state["open"], other
     up = F.least((1 - a["p"]) * a["mass"], b["p"] * b["mass"])
     down = F.least(a["p"] * a["mass"], (1 - b["p"]) * b["mass"])
-    rises = _chance(a["draw"]) < a["p"]
+    rises = _chance(a["draw"], b["draw"]) * (up + down) < down
     pair = F.struct(a.alias("a"), b.alias("b"), up.alias("up"), down.alias("down"), rises.alias("rises"))
     return F.transform(F.array(pair), exchanged)[0]
 
 
+def _decided_by_rest(state: Column, doc: Column) -> Column:
+    """Decide ``doc``, the largest left of a block whose documents share ``p``, against all that are smaller.
+
+    It rises or falls as in ``_exchange``, and the smaller ones (of mass ``rest`` in all) move the other way
+    by the same amount each. Thus the large documents are decided first, and the smallest one stays
+    open, unless a document is too large for the rest to make up for it: then that one does.
+    """
+
+    def decided(x: Column) -> Column:
+        doc, p, rest, rises = x["doc"], x["p"], x["rest"], x["rises"]
+        ends = F.when(rises, (1 - p) * doc["mass"] <= x["up"]).otherwise(p * doc["mass"] <= x["down"])
+        moved = F.when(rises, x["up"]).otherwise(-x["down"])
+        others = F.when(ends, F.least(F.greatest(p - moved / rest, F.lit(0.0)), F.lit(1.0))).otherwise((~rises).cast("double"))
+        stays = F.when(rest > 0, ~ends).otherwise(x["open"].isNull())
+        after = doc.withField("p", F.when(rest <= 0, p).when(ends, rises.cast("double")).otherwise(p + moved / doc["mass"]))
+        return F.struct(
+            F.when(rest > 0, others).otherwise(p).alias("p"), rest.alias("rest"),
+            F.when(stays, after).otherwise(x["open"]).alias("open"),
+            F.when(stays, x["done"]).otherwise(F.concat(x["done"], F.array(after))).alias("done"),
+        )
+
+    p, rest = state["p"], state["rest"] - doc["mass"]
+    up = F.least((1 - p) * doc["mass"], p * rest)
+    down = F.least(p * doc["mass"], (1 - p) * rest)
+    rises = _chance(doc["draw"]) * (up + down) < down
+    # Where all that are left are decided, nothing moves.
+    rises = F.when((up + down) > 0, rises).otherwise(p >= 1)
+    held = F.struct(doc.alias("doc"), p.alias("p"), rest.alias("rest"), up.alias("up"), down.alias("down"), rises.alias("rises"), state["open"].alias("open"), state["done"].alias("done"))
+    return F.transform(F.array(held), decided)[0]
+
+
 def _folded(open_docs: DataFrame, level: int) -> DataFrame:
     """One level of the tree: ``open_docs`` (``source``, ``blocks``, ``doc``) by source and block,
     to ``doc`` (still undecided) and ``done``. The largest documents of a block come first, so that
-    a small one is left."""
+    a small one is left. On level 0 all documents of a source have the same probability."""
     block = F.pmod(F.xxhash64("doc.draw", F.lit(level)), F.col("blocks"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("doc.mass")).alias("o"), F.col("doc.draw").alias("d"), F.col("doc").alias("doc"))))
     grouped = open_docs.groupBy("source", "blocks", block.alias("block")).agg(F.transform(ordered, lambda x: x["doc"]).alias("docs"))
-    first = F.struct(F.col("docs")[0].alias("open"), F.slice("docs", 1, 0).alias("done"))
-    rest = F.slice("docs", F.lit(2), F.size("docs"))
-    state = F.aggregate(rest, first, _exchange)
+    none = F.slice("docs", 1, 0).alias("done")
+    if level == 0:
+        mass = F.aggregate("docs", F.lit(0.0), lambda a, x: a + x["mass"]).alias("rest")
+        opened = F.when(F.size("docs") < 0, F.col("docs")[0]).alias("open")
+        state = F.aggregate("docs", F.struct(F.col("docs")[0]["p"].alias("p"), mass, opened, none), _decided_by_rest)
+    else:
+        rest = F.slice("docs", F.lit(2), F.size("docs"))
+        state = F.aggregate(rest, F.struct(F.col("docs")[0].alias("open"), none), _exchange)
     return grouped.select("source", "blocks", state.alias("state")).select(
         "source", "blocks", F.col("state.open").alias("doc"), F.col("state.done").alias("done")
     )
@@ -128,8 +166,9 @@ def rounded_copies(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> Data
             break
         level += 1
         open_docs = folded.select("source", F.ceil(F.col("blocks") / BLOCK_DOCUMENTS).alias("blocks"), "doc")
-    # The last document of a source is decided by what is nearer to the target.
-    decided.append(folded.select("source", "doc"))
+    # The last document of a source has none to exchange with: its probability is its chance.
+    last = F.col("doc").withField("p", (_chance(F.col("doc.draw"), F.lit(seed)) < F.col("doc.p")).cast("double"))
+    decided.append(folded.select("source", last.alias("doc")))
     drawn = decided[0]
     for more in decided[1:]:
         drawn = drawn.unionByName(more)

@@ -65,6 +65,20 @@ def test_reruns_agree_and_chances_hold(spark):
     assert abs(hot.copies[large].mean() - hot.copies[~large].mean()) < 0.2
 
 
+def test_expected_copies_do_not_depend_on_size(spark):
+    # Each source is one more trial of the same sizes, the first a very long one.
+    sizes = [20_000] + [int(40 * 1.2**k) for k in range(20)]
+    trials, part = 600, 0.9
+    rows = [(t * 100 + k, f"s{t}", n) for t in range(trials) for k, n in enumerate(sizes)]
+    targets = [(f"s{t}", sum(sizes), part * sum(sizes)) for t in range(trials)]
+    copies = mixing.rounded_copies(
+        spark.createDataFrame(rows, "id long, source string, size long"),
+        spark.createDataFrame(targets, "source string, source_size long, target double"),
+    ).toPandas()
+    by_rank = copies.groupby(copies.id % 100).copies.mean()
+    assert len(by_rank) == len(sizes) and (by_rank - part).abs().max() < 0.055
+
+
 def test_repeated_rows_and_edges(spark):
     rows = [(1, "x y", "s", "")] * 40 + [(None, "z", "s", ""), (2, None, None, ""), (3, "", "e", ""), (4, "w " * 50_000, "s", "")]
     got = mixing.mixed_documents(documents(spark, rows)).toPandas()
