@@ -67,12 +67,15 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, text_col: str, language_col: str, max_rows: int = 20_000) -> TextModel:
-    """Trigram counts per language from a sample of about ``max_rows`` labelled rows (fewer if there
-    are fewer), chosen by a hash of the text. Without labelled rows there is only ``und``."""
+    """Trigram counts per language from about ``max_rows`` distinct texts of each language, chosen by a
+    hash of the text, and from all of a language that has fewer, so that a language is known however
+    large the table is. Copies count once. Without labelled rows there is only ``und``."""
     rows = labelled.select(F.lower(F.trim(F.col(language_col))).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
-    share = min(1.0, max_rows / max(1, rows.select("lang").count()))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    held = rows.groupBy("lang", "hash").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("texts"))
+    shares = stored(held.select("lang", F.least(F.lit(1.0), max_rows / F.col("texts")).alias("share")), "language-shares")
+    place = F.shiftrightunsigned(F.xxhash64("hash"), 12) / F.lit(float(1 << 52))
+    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

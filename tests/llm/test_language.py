@@ -110,6 +110,19 @@ def test_page_evidence(spark):
     ] or [(r.text and r.text.split(), r.declared, r.host) for r in got][3][0] in ("", [], " ")
 
 
+def test_rare_languages_stay_known_and_copies_count_once(spark):
+    rows = [(f"{TEXTS['en']} {i}", "en") for i in range(3000)] + [(TEXTS["de"], "de"), (TEXTS["fr"], "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    few = language.fit_text_model(df, "text", "lang", max_rows=30)
+    assert few.languages == ["de", "en", "fr", "und"]
+    copied = language.fit_text_model(df.unionByName(df.where("lang = 'de'").crossJoin(spark.range(500)).drop("id")), "text", "lang", max_rows=30)
+    assert np.array_equal(few.chances, copied.chances)
+    # The bound is of each language's distinct texts.
+    some = np.exp(few.chances[1])
+    taken = 0.5 / some.min() / len(language.trigrams([TEXTS["en"]])[0])
+    assert 5 < taken < 400
+
+
 def test_no_rows(spark, model):
     assert language.identified(evidence(spark, []), model, ["doc_id"], "text", "declared", "host").count() == 0
     empty = language.fit_text_model(evidence(spark, []), "text", "language")
