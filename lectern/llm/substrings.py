@@ -123,11 +123,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Occurrences rank by id, then place; a null id ranks last. A line of ``LINE_WORDS`` words or more
     goes where it is repeated, smaller pieces where they are repeated in runs of ``RUN_WORDS`` words
     or more. Rows that repeat an id with the same text are one document and stay alike; with other
-    texts they rank by checksum of the text. A null text stays null. Columns of ``docs`` that
+    texts they rank by two 64-bit hashes of the text. A null text stays null. Columns of ``docs`` that
     have the names of the two new ones are replaced. An empty table gives no rows.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    version = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
+    content = F.coalesce(F.col(text_col), F.lit(""))
+    # The seed of the second hash is another one, so that they don't collide together.
+    version = F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(1), content).alias("b"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,17 +139,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([part.column("key"), part.column("version"), lists], names=["key", "version", "digests"])
 
     texts = docs.select(key.alias("key"), version.alias("version"), F.col(text_col).alias("text"))
-    digests = stored(texts.mapInArrow(digest, "key long, version long, digests array<long>"), "unit-digests")
-    # One number for the text's version and the place in it, in this order.
-    place = F.shiftleft(F.col("version"), 31).bitwiseOR(F.col("pos").cast("long"))
-    units = digests.select("key", "version", F.posexplode("digests").alias("pos", "digest"))
-    units = units.select("digest", "key", place.alias("place"))
-    firsts = units.groupBy("digest").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n"))
+    digests = stored(texts.mapInArrow(digest, "key long, version struct<a: bigint, b: bigint>, digests array<long>"), "unit-digests")
+    units = digests.select("key", "version", F.posexplode("digests").alias("place", "digest"))
+    firsts = units.groupBy("digest").agg(F.min(F.struct("key", "version", "place")).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").select("digest", "first"), "repeated-units")
-    again = units.join(firsts, "digest").where(F.struct("key", "place") > F.col("first"))
-    number = F.col("place").bitwiseAND((1 << 31) - 1).cast("int")
-    per_text = again.select("key", F.shiftright("place", 31).alias("version"), number.alias("number")).distinct()
-    per_text = stored(per_text.groupBy("key", "version").agg(F.collect_list("number").alias("_again")), "repeats-by-text")
+    again = units.join(firsts, "digest").where(F.struct("key", "version", "place") > F.col("first"))
+    per_text = stored(again.groupBy("key", "version").agg(F.collect_set("place").alias("_again")), "repeats-by-text")
 
     wide = docs.drop("removed", "original_chars").withColumns({"_key": key, "_version": version})
     per_text = per_text.withColumnsRenamed({"key": "_key", "version": "_version"})

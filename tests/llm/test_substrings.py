@@ -1,6 +1,7 @@
 """Repeated units against a plain pass over the documents in order."""
 
 import random
+import zlib
 
 from lectern.llm import substrings
 from lectern.llm.substrings import Units
@@ -60,6 +61,19 @@ def test_passages_lines_and_offsets(spark):
     assert all(short in got[i].text for i in range(12))
 
 
+def test_null_ids_are_told_apart_by_more_than_a_checksum(spark):
+    # These two texts have the same CRC-32.
+    line = words(random.Random(7), 14)
+    low, high = "plumless", "buckeroo"
+    assert zlib.crc32(low.encode()) == zlib.crc32(high.encode())
+    rows = [(0, line), (None, f"{low}"), (None, f"{high}")]
+    assert {r.text for r in check(spark, rows)} == {line, low, high}
+    tail = f"\n{line}\nzebra {line[::-1]}"
+    assert zlib.crc32((low + tail).encode()) == zlib.crc32((high + tail).encode())
+    got = [r.text for r in substrings.without_repeats(documents(spark, [(None, low + tail), (None, high + tail)])).collect()]
+    assert sum(line in t for t in got) == 1
+
+
 def test_rank_edges_and_repeated_rows(spark):
     chance = random.Random(2)
     passage = ". ".join(words(chance, 10) for _ in range(4)) + "."
