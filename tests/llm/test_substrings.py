@@ -61,6 +61,35 @@ def test_passages_lines_and_offsets(spark):
     assert all(short in got[i].text for i in range(12))
 
 
+def test_passages_alone_and_set_into_others_go_whole(spark):
+    chance = random.Random(5)
+    rows, want = [], {}
+    for n in range(30):
+        size = 51 + n % 10
+        bare = words(chance, size)
+        thirds = [" ".join(bare.split()[i : i + 18]) + "." for i in range(0, 54, 18)]
+        passage = [bare, " ".join(thirds), bare.replace(" ", "\n", 1)][n % 3]
+        before, after = words(chance, 13), words(chance, 13)
+        alone, inside = (2 * n, 2 * n + 1) if n % 2 else (2 * n + 1, 2 * n)
+        rows += [(alone, passage), (inside, f"{before} {passage} {after}")]
+        want[alone], want[inside] = ("", f"{before} {passage} {after}") if inside < alone else (passage, f"{before}  {after}")
+    got = {r.doc_id: r.text for r in check(spark, rows)}
+    assert got == want
+
+
+def test_scripts_without_spaces(spark):
+    chance = random.Random(6)
+    han = lambda n: "".join(chr(chance.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage, few = han(60), han(30)
+    rows = [(1, han(9) + passage + han(7)), (2, (a := han(50)) + passage + (b := han(40))), (3, c := han(20) + few + han(20)), (4, d := han(20) + few)]
+    assert {r.doc_id: r.text for r in check(spark, rows)} == {1: rows[0][1], 2: a + b, 3: c, 4: d}
+
+
+def test_the_first_of_overlapping_runs_stays(spark):
+    got = {r.doc_id: r.text.split() for r in check(spark, [(1, "long " * 500), (2, "a b c " * 100)])}
+    assert got[1] == ["long"] * 20 and got[2][:20] == ("a b c " * 7).split()[:20] and len(got[2]) <= 23
+
+
 def test_null_ids_are_told_apart_by_more_than_a_checksum(spark):
     # These two texts have the same CRC-32.
     line = words(random.Random(7), 14)
