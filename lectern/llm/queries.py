@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, substrings, tokens, toxicity, warc
+from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, sharding, substrings, tokens, toxicity, warc
 from lectern.llm.common import table
 
 
@@ -70,6 +70,15 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """By bytes; equal texts share a shard unless none has room for them all."""
+    plan = sharding.plan_shards(table(spark, folder, "documents"), shards=16)
+    return sharding.placements(plan).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
     "op2_mix_sources": op2_mix_sources,
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_shards": op11_shards,
 }
 
 #: SQL twins of the queries that SQL can express.
