@@ -2,9 +2,11 @@
 
 Distances are never materialised as row pairs. Questions go to the tasks in batches of a measured
 size, however many there are; for each batch the corpus is scanned in place, without any shuffle of
-it. A task compares blocks of vectors and emits its best rows per question, and only those that
-can still win: each question starts from the distance of its k-th neighbour in a small sample of the
-corpus. A window then merges the tasks' rows, ordered by distance and id.
+it, in growing shares. A task compares blocks of vectors and emits its best rows per question, and
+only those that can still win: the first share starts from a small sample, and every other from the
+k-th neighbour (distance and id) in the shares before it. A window merges the tasks' rows after
+each share. So the last share, half of the corpus, adds about k rows per question however many tasks
+and rows there are, and vectors that tie with the k-th add none.
 """
 
 from collections.abc import Iterator
@@ -18,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.cluster import cut_lineage
 from lectern.fixed_values import TOP_K
 from lectern.operators.ordering import first_rows
+from lectern.operators.shares import growing_shares, seed_sample, share_of
 
 BATCH_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
-SAMPLE_ROWS = 1024
+# Distances of the same two vectors on different machines differ by less than this share.
+ROUNDING = 1e-12
 
 
 def _matrix(column) -> np.ndarray:
@@ -66,12 +71,16 @@ def _k_best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 class _Best:
-    """The k best (distance, id) per question seen so far in a task."""
+    """The k best (distance, id) per question seen so far in a task.
 
-    def __init__(self, questions: np.ndarray, k: int, bound: np.ndarray | None = None):
+    ``bound`` and ``bound_id`` are the k-th best known from elsewhere: rows behind them can't win.
+    """
+
+    def __init__(self, questions: np.ndarray, k: int, bound=None, bound_id=None):
         self.q, self.k = questions, k
         self.norm = np.einsum("ij,ij->i", questions, questions)
         self.bound = np.full(len(questions), np.inf) if bound is None else bound.copy()
+        self.bound_id = np.full(len(questions), None) if bound_id is None else bound_id.copy()
         self.rows = pd.DataFrame({"q": np.empty(0, int), "d": np.empty(0), "id": []})
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -80,6 +89,14 @@ class _Best:
             part = slice(start, start + BLOCK_CELLS)
             self._add_block(ids[part], vectors[part])
 
+    def _can_win(self, q, d, ids):
+        bound = self.bound[q]
+        kept = d <= bound * (1 + ROUNDING)
+        tied = np.flatnonzero(d == bound)
+        last = self.bound_id[q[tied]]
+        kept[tied] = [a is None or b is None or a <= b for a, b in zip(ids[tied], last)]
+        return kept
+
     def _add_block(self, ids, vectors):
         if not len(self.q):
             return
@@ -91,17 +108,19 @@ class _Best:
             qi, oi, d = _block_pairs(
                 self.q[part], self.norm[part], vectors, o_norm, self.k, self.bound[part]
             )
-            if len(qi):
+            qi = qi + start
+            kept = self._can_win(qi, d, ids[oi])
+            if kept.any():
                 found.append(
-                    _k_best(pd.DataFrame({"q": qi + start, "d": d, "id": ids[oi]}), self.k)
+                    _k_best(pd.DataFrame({"q": qi[kept], "d": d[kept], "id": ids[oi[kept]]}), self.k)
                 )
         if not found:
             return
         self.rows = _k_best(pd.concat(found, ignore_index=True), self.k)
-        counts = self.rows.groupby("q")["d"].agg(["size", "max"])
-        full = counts[counts["size"] >= self.k]
-        positions = full.index.to_numpy()
-        self.bound[positions] = np.minimum(self.bound[positions], full["max"].to_numpy())
+        last = self.rows[self.rows.groupby("q").cumcount() == self.k - 1]
+        q, d, ids = (last[c].to_numpy() for c in ("q", "d", "id"))
+        nearer = self._can_win(q, d, ids)
+        self.bound[q[nearer]], self.bound_id[q[nearer]] = d[nearer], ids[nearer]
 
 
 def _hit_schema(corpus, questions, id_col, question_col):
@@ -128,11 +147,58 @@ def _as_batch(question_ids, rows: pd.DataFrame, question_col, id_col, types) ->
     )
 
 
+def _search(corpus, batch, k, columns, schema, bounds):
+    """Rows of ``corpus`` that may be among the k nearest of the batch's questions."""
+    id_col, question_col, vector = columns
+    question_ids, matrix, q_type = batch
+
+    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, id_type = _Best(matrix, k, *bounds), None
+        for block in rows:
+            id_type = block[id_col].type
+            best.add(block[id_col].to_numpy(zero_copy_only=False), _matrix(block[vector]))
+        if len(best.rows):
+            yield _as_batch(question_ids, best.rows, question_col, id_col, (q_type, id_type))
+
+    return corpus.mapInArrow(search, schema)
+
+
+def _kth(best, question_ids, k, id_col, question_col):
+    """The k-th best of each question, a row or none each: at most one row per question of a batch."""
+    last = best.where(F.col("_n") == k).select(question_col, "distance", id_col).toPandas()
+    last = last.drop_duplicates(question_col).set_index(question_col).reindex(question_ids)
+    known = last["distance"].notna().to_numpy()
+    ids = np.full(len(question_ids), None)
+    ids[known] = last[id_col].to_numpy()[known].astype(object)
+    return np.where(known, last["distance"].to_numpy(), np.inf), ids
+
+
+def _batch_hits(corpus, batch, sample, steps, k, columns, schema):
+    """The batch's candidates after the last share; those of the shares before are down to k."""
+    id_col, question_col, vector = columns
+    question_ids, matrix, _ = batch
+    seed = _Best(matrix, k)
+    if sample.num_rows and len(matrix):
+        seed.add(sample[id_col].to_numpy(), _matrix(sample[vector]))
+    bounds, best = (seed.bound, seed.bound_id), None
+    for low, high in steps:
+        share = share_of(corpus, id_col, low, high)
+        found = _search(share, batch, k, columns, schema, bounds)
+        if best is not None:
+            found = found.unionByName(best.drop("_n"))
+        if high < 1.0:
+            order = [F.col("distance"), F.col(id_col)]
+            best = cut_lineage(first_rows(found, [question_col], order, k, "_n"))
+            bounds = _kth(best, question_ids, k, id_col, question_col)
+    return found
+
+
 def _partial_hits(corpus, questions, k, id_col, question_col, vector, batch_bytes):
-    """Each task's best rows per question, over all batches of questions."""
+    """Rows that may be among the k nearest, over all batches of questions."""
     size = questions.agg(F.sum(F.size(vector).cast("long") * 8 + 64).alias("bytes")).first()
     batches = max(1, -(-(size["bytes"] or 0) // max(1, batch_bytes)))
-    sample = corpus.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).toArrow()
+    rows = corpus.count()
+    sample = seed_sample(corpus, id_col, rows).toArrow()
     schema = _hit_schema(corpus, questions, id_col, question_col)
     parts = []
     for number in range(batches):
@@ -140,22 +206,9 @@ def _partial_hits(corpus, questions, k, id_col, question_col, vector, batch_byte
         if batches > 1:
             batch = questions.where(F.pmod(F.xxhash64(question_col), F.lit(batches)) == number)
         table = batch.toArrow()  # about batch_bytes
-        question_ids, matrix = table[question_col].to_numpy(), _matrix(table[vector])
-        seed = _Best(matrix, k)
-        if sample.num_rows and len(matrix):
-            seed.add(sample[id_col].to_numpy(), _matrix(sample[vector]))
-        shared = (question_ids, matrix, table[question_col].type, seed.bound)
-
-        def search(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            question_ids, matrix, q_type, bound = shared
-            best, id_type = _Best(matrix, k, bound), None
-            for block in rows:
-                id_type = block[id_col].type
-                best.add(block[id_col].to_numpy(zero_copy_only=False), _matrix(block[vector]))
-            if len(best.rows):
-                yield _as_batch(question_ids, best.rows, question_col, id_col, (q_type, id_type))
-
-        parts.append(corpus.mapInArrow(search, schema))
+        batch = table[question_col].to_numpy(), _matrix(table[vector]), table[question_col].type
+        columns = (id_col, question_col, vector)
+        parts.append(_batch_hits(corpus, batch, sample, growing_shares(rows), k, columns, schema))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -395,7 +395,7 @@ def _stub_client():
 def answer_questions(spark, sf):
     """Benchmark texts as questions against the letter counts of all chunks."""
     chunks = I.chunks(spark, sf)
-    vectors = H.embed_texts(chunks, "chunk_id", "text_content", _letter_counts)
+    vectors = tutoring.build_vectors(chunks, _letter_counts, new_shared_path(spark, "vectors"))
     questions = read(spark, sf, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question")
     )

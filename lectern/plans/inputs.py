@@ -41,6 +41,10 @@ def _text(value: str | Column) -> Column:
 # --- corpus -------------------------------------------------------------------------------
 
 
+def _page_number(doc: Column) -> Column:
+    return (F.floor(doc / 13) % 5 + 1).cast("int")
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each document is one page; 13 files of five page numbers, so citations repeat."""
     doc = F.col("doc_id")
@@ -48,7 +52,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(
         doc.alias("document_key"),
         F.concat(F.lit(FILE_PREFIX), number, F.lit(".pdf")).alias("file_name"),
-        (F.floor(doc / 13) % 5 + 1).cast("int").alias("page_number"),
+        _page_number(doc).alias("page_number"),
         "text", "lang", "n_chars",
     )
 
@@ -58,12 +62,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vector of the first chunk of the document with the same number."""
-    first = C.clean_pages(pages(spark, sf)).select(
-        F.col("document_key").alias("vec_id"),
-        C.chunk_id(F.col("document_key"), F.col("page_number"), F.lit(0)).alias("chunk_id"),
+    """Every vector, as that of the first chunk of the document with its number, there or not."""
+    doc = F.col("vec_id")
+    return read(spark, sf, "embeddings").select(
+        "vec_id", "embedding", C.chunk_id(doc, _page_number(doc), F.lit(0)).alias("chunk_id")
     )
-    return read(spark, sf, "embeddings").select("vec_id", "embedding").join(first, "vec_id")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

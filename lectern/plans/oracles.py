@@ -79,10 +79,10 @@ PARTS = {
                substring(t, (o * 800 + 1)::INT, 1000) AS text_content, doc_id
         FROM (SELECT *, unnest(range(0, ceil(length(t) / 800.0)::BIGINT)) AS o
               FROM page WHERE length(t) > 0)"""),
-    "vector": (["page"], """
-        SELECT sha256(doc_id || '#' || page_number || '#0') AS chunk_id,
+    "vector": ([], """
+        SELECT sha256(vec_id || '#' || ((vec_id // 13) % 5 + 1) || '#0') AS chunk_id,
                embedding::DOUBLE[] AS v
-        FROM embeddings JOIN page ON doc_id = vec_id WHERE length(t) > 0"""),
+        FROM embeddings"""),
     "question": ([], """
         SELECT vec_id AS question_id,
                'What is topic ' || label || ' in item ' || vec_id AS question

@@ -1,10 +1,12 @@
 """The search equals brute force, however many batches the questions make."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from lectern.operators.neighbours import _partial_hits, nearest
+from lectern.operators.shares import SEED_ROWS, growing_shares
 
 SCHEMA = T.StructType(
     [T.StructField("chunk_id", T.StringType()),
@@ -101,12 +103,41 @@ def test_bad_elements_take_no_part(spark, way):
     assert got == brute(corpus, questions, 3)
 
 
-def test_tasks_emit_a_small_share_of_all_pairs(spark):
-    random = np.random.default_rng(5)
-    corpus, questions = random.normal(size=(6000, 64)), random.normal(size=(50, 64))
-    many = vectors(spark, corpus).repartition(40)
-    partial = _partial_hits(
-        many, asked(spark, questions), 5, "chunk_id", "question_id", "embedding", 64 << 20
+def partial_hits(spark, corpus, questions, k):
+    return _partial_hits(
+        corpus, asked(spark, questions), k, "chunk_id", "question_id", "embedding", 64 << 20
     )
-    # 40 tasks with k rows for each question would be 10,000.
-    assert partial.count() <= 0.25 * 40 * 50 * 5
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """80,000 vectors, far more in a task than the bounds are seeded from; a third are one vector."""
+    random = np.random.default_rng(5)
+    corpus = random.normal(size=(80_000, 16)).astype(np.float32)
+    corpus[::3] = 0.25
+    path = str(tmp_path_factory.mktemp("vectors") / "v")
+    table = pa.table({"chunk_id": [f"c{i:05d}" for i in range(len(corpus))], "embedding": list(corpus)})
+    spark.createDataFrame(table, SCHEMA).repartition(32).write.parquet(path)
+    return corpus, spark.read.parquet(path)
+
+
+def test_rows_emitted_follow_the_questions_and_not_the_tasks(spark, large):
+    corpus, stored = large
+    random = np.random.default_rng(6)
+    # Some ask beside the repeated vector, where a third of the corpus ties.
+    questions = np.vstack([random.normal(size=(40, 16)), 0.25 + 0.01 * random.normal(size=(10, 16))])
+    for tasks in (8, 32):
+        partial = partial_hits(spark, stored.repartition(tasks), questions, 5)
+        assert partial.count() <= 3 * len(questions) * 5
+    hits = nearest(stored.repartition(32), asked(spark, questions), 5)
+    got = {(r.question_id, r["rank"], r.chunk_id) for r in hits.collect()}
+    assert got == brute(corpus, questions, 5)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 8192, 8193, 80_000, 10**9])
+def test_shares_are_the_whole_table_in_growing_steps(rows):
+    steps = growing_shares(rows)
+    assert steps[0][0] == 0.0 and steps[-1][1] == 1.0
+    assert all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
+    assert steps[0][1] * rows <= 4 * SEED_ROWS
+    assert all(high <= 4 * low for low, high in steps[1:]) and (len(steps) == 1 or steps[-1][0] == 0.5)
