@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bit_slices, edit_prints, language, mixing, near_dups, packing, sharding, substrings, tokens, toxicity, warc
+from lectern.llm import (
+    bit_slices, edit_prints, hard_negatives, language, mixing, near_dups, packing, pivots, sharding, substrings, tokens, toxicity, warc,
+)
 from lectern.llm.common import table
 
 
@@ -79,6 +81,18 @@ def op11_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.clusters(table(spark, folder, "embeddings"), k=40, rounds=5, scale=256, width=64, seed="2")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(
+        vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
     "op2_mix_sources": op2_mix_sources,
@@ -91,8 +105,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_shards": op11_shards,
+    "op12_clusters": op12_clusters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """k-means with every distance computed, a round after the other."""
+    parts = [f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= {k}
+        )"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS d, arg_min(c, (d, c)) AS c
+            FROM (SELECT r, vec_id, kept.v AS v, c, list_inner_product(kept.v, kept.v)
+                         - 2 * list_inner_product(kept.v, c{i}.v) + list_inner_product(c{i}.v, c{i}.v) AS d
+                  FROM kept CROSS JOIN c{i})
+            GROUP BY r
+        )""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+                    SELECT c, list(floor(s / n) ORDER BY place) AS v
+                    FROM (SELECT c, place, sum(x) AS s, count(*) AS n
+                          FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY c, place)
+                    GROUP BY c
+                ) m USING (c)
+            )""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN c{rounds}.v], ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 #: SQL twins of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op8_exact_top_k": """
@@ -124,4 +174,25 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> largest THEN largest END AS refers_to
         FROM told
     """,
+    "op12_clusters": _clusters_sql(40, 5),
+    "op13_hard_negatives": """
+        WITH kept AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+            FROM kept a JOIN kept c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+        ), positive AS (
+            SELECT * FROM scored WHERE own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER best AS INTEGER) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.own
+             AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER best <= 10
+    """,
 }
