@@ -95,11 +95,26 @@ def display_title(title: Column) -> Column:
     return F.left(or_if_empty(title, V.UNTITLED), F.lit(V.DISPLAY_TITLE_CHARS))
 
 
+# Extended or basic date; after any one character hours, minutes, seconds and their fraction; offset.
+_ISO_TIME = (
+    r"(?s)^(?!0000)(\d{4})(-?)(\d\d)\2(\d\d)"
+    r"(?:.([01]\d|2[0-3])(?:(:?)([0-5]\d)(?:\6([0-5]\d)(?:[.,]\d+)?)?)?"
+    r"(?:[+-](?:[01]\d|2[0-3])(?:(:?)[0-5]\d(?:\9[0-5]\d(?:[.,]\d+)?)?)?)?)?\z"
+)
+
+
 def activity_time(value: Column) -> Column:
-    """``Jan 31, 09:05 PM`` as written in the value; its first 16 characters if not a time."""
+    """``Jan 31, 09:05 PM`` as written in the value; its first 16 characters if not an ISO 8601 time.
+
+    Dates and times may be in the extended or the basic form, with hours only, any number of digits
+    after the second, ``Z`` or an offset, which does not move the time.
+    """
     value = value.cast("string")
-    iso = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?)?(Z|[+-]\d\d:\d\d)?$"
-    parsed = F.when(value.rlike(iso), value.try_cast("timestamp_ntz"))
+    iso = F.replace(value, F.lit("Z"), F.lit("+00:00"))
+    part = lambda n: F.nullif(F.regexp_extract(iso, _ISO_TIME, n), F.lit("")).cast("int")
+    year, month, day = part(1), part(3), part(4)
+    clock = [F.coalesce(part(n), F.lit(0)) for n in (5, 7, 8)]
+    parsed = F.try_make_timestamp_ntz(year, month, day, *clock)
     return F.coalesce(
         F.date_format(parsed, "MMM dd, hh:mm a"), F.left(value, F.lit(V.RAW_TIME_CHARS))
     )

@@ -10,9 +10,25 @@ from lectern.functions import text as X
 STEP = V.CHUNK_CHARS - V.OVERLAP_CHARS
 
 
+# Chunks of so many pages, and so many chunks of a long page, share the first half of their ids.
+PAGES_IN_BLOCK, CHUNKS_IN_BLOCK = 16, 64
+BLOCK_DIGITS = 16
+
+
 def chunk_id(document_key: Column, page_number: Column, chunk_no: Column) -> Column:
-    """Repeatable id: the same place in the same document always gets the same one."""
-    return F.sha2(F.concat_ws("#", document_key, page_number, chunk_no), 256)
+    """Repeatable id: the same place in the same document always gets the same one.
+
+    It starts with the hash of the block of neighbouring chunks it is in, so the id alone tells
+    where a chunk is stored, and a document's chunks lie in few places.
+    """
+    page_block, chunk_block = F.floor(page_number / PAGES_IN_BLOCK), F.floor(chunk_no / CHUNKS_IN_BLOCK)
+    block = F.sha2(F.concat_ws("#", document_key, page_block, chunk_block), 256)
+    place = F.sha2(F.concat_ws("#", document_key, page_number, chunk_no), 256)
+    return F.concat(F.left(block, F.lit(BLOCK_DIGITS)), F.left(place, F.lit(64 - BLOCK_DIGITS)))
+
+
+def id_block(chunk_id: Column) -> Column:
+    return F.left(chunk_id, F.lit(BLOCK_DIGITS))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -85,8 +101,3 @@ def citations(pages: DataFrame, prefix: str, base_dir: str) -> DataFrame:
             X.page_index(F.col("requested_page").cast("int"), F.col("file_pages")).cast("int"),
         )
     )
-
-
-def missing_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id is not in the table yet; appending them twice changes nothing."""
-    return chunks.join(existing.select("chunk_id"), "chunk_id", "left_anti")

@@ -6,21 +6,60 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.functions import text as X
 from lectern.functions.model_text import request_payload
+from lectern.operators.corpus import id_block
+from lectern.operators.ordering import split_hot
 
 # A hit row is an id pair, a rank and a distance; a million of them are well below 200 MB.
 BROADCAST_HITS = 1_000_000
+# A chunk with more hits than this is popular; there are at most hits / POPULAR_HITS of them, with
+# texts of a chunk's length each.
+POPULAR_HITS = 100_000
+POPULAR_CHUNKS = 50_000
+BLOCK = "id_block"
 
 
-def fetch_chunks(hits: DataFrame, chunks: DataFrame, most_hits: int | None = None) -> DataFrame:
+def _in_place(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join that moves the hits to the buckets of the stored chunks.
+
+    Only the block is a join key, because the table is bucketed by the block alone; inside a block,
+    which is a few chunks, ids are compared.
+    """
+    moved = hits.withColumnRenamed("chunk_id", "_id").withColumn("_block", id_block(F.col("_id")))
+    same = (chunks["chunk_id"] <= moved["_id"]) & (chunks["chunk_id"] >= moved["_id"])
+    return chunks.join(moved, (chunks[BLOCK] == moved["_block"]) & same).drop("_id", "_block")
+
+
+def _from_store(hits: DataFrame, chunks: DataFrame, popular_hits: int) -> DataFrame:
+    ordinary, popular = split_hot(hits, ["chunk_id"], popular_hits)
+    found = _in_place(ordinary, chunks)
+    if popular is None:
+        return found
+    ids = popular.select("chunk_id").distinct()
+    # The few popular chunks are fetched once and go to their hits, which stay where they are.
+    texts = _in_place(ids, chunks)
+    few = ids.count() <= POPULAR_CHUNKS
+    return found.unionByName(popular.join(F.broadcast(texts) if few else texts, "chunk_id"))
+
+
+def fetch_chunks(
+    hits: DataFrame, chunks: DataFrame, most_hits: int | None = None,
+    popular_hits: int = POPULAR_HITS,
+) -> DataFrame:
     """Chunk rows of the hits, with rank and distance kept.
 
     ``most_hits`` is a proven upper bound of the number of hits (questions times k). Up to
-    ``BROADCAST_HITS`` the hits travel to the chunks and the big table is not shuffled; beyond
-    it, or without a bound, both sides are shuffled on the chunk id.
+    ``BROADCAST_HITS`` the hits travel to the chunks and the big table is not shuffled. Beyond it, or
+    without a bound, the stored chunk table (``sources.chunk_store``) is joined in its buckets: the
+    hits are shuffled, the texts are not, and the hits of popular chunks get them by broadcast.
+    Chunks that are not stored that way are shuffled with the hits on the chunk id.
     """
     if most_hits is not None and most_hits <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    return chunks.join(hits, "chunk_id")
+        found = chunks.join(F.broadcast(hits), "chunk_id")
+    elif BLOCK in chunks.columns:
+        found = _from_store(hits, chunks, popular_hits)
+    else:
+        found = chunks.join(hits, "chunk_id")
+    return found.drop(BLOCK)
 
 
 def contexts(found: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ DYNAMIC_TABLES = {
     "chat_sessions": CHAT_SESSIONS,
     "quiz_history": QUIZ_HISTORY,
 }
-CORPUS_TABLES = {"corpus_chunks": CHUNKS, "corpus_vectors": VECTORS}
 
 QUIZ = T.ArrayType(_table(question=_S, options=T.ArrayType(_S), answer=_S))
 COMPLETION = _table(

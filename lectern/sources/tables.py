@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lectern import schemas
 from lectern.cluster import cut_lineage
-from lectern.operators.corpus import missing_chunks
+from lectern.sources import chunk_store
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,15 +27,19 @@ def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def create_tables(spark: SparkSession, database: str, table_format: str = "parquet") -> None:
-    """Create every table that does not exist yet."""
-    for name, schema in {**schemas.CORPUS_TABLES, **schemas.DYNAMIC_TABLES}.items():
+def create_tables(
+    spark: SparkSession, database: str, table_format: str = "parquet",
+    buckets: int = chunk_store.BUCKETS,
+) -> None:
+    """Create every table that does not exist yet; ``buckets`` is for the chunk table."""
+    chunk_store.create_chunk_table(spark, f"{database}.corpus_chunks", table_format, buckets)
+    for name, schema in {"corpus_vectors": schemas.VECTORS, **schemas.DYNAMIC_TABLES}.items():
         empty = spark.createDataFrame([], schema)
         empty.write.format(table_format).mode("ignore").saveAsTable(f"{database}.{name}")
 
 
 def append(rows: DataFrame, database: str, name: str) -> None:
-    schema = {**schemas.CORPUS_TABLES, **schemas.DYNAMIC_TABLES}[name]
+    schema = {"corpus_vectors": schemas.VECTORS, **schemas.DYNAMIC_TABLES}[name]
     conform(rows, schema).write.mode("append").insertInto(f"{database}.{name}")
 
 
@@ -48,10 +52,9 @@ def replace(rows: DataFrame, database: str, name: str) -> None:
     state.write.insertInto(f"{database}.{name}", overwrite=True)
 
 
-def append_chunks(chunks: DataFrame, database: str) -> None:
-    """Append the chunks that are not there yet; running it again adds nothing."""
-    existing = chunks.sparkSession.table(f"{database}.corpus_chunks")
-    append(missing_chunks(chunks, existing), database, "corpus_chunks")
+def append_chunks(chunks: DataFrame, database: str) -> DataFrame:
+    """Append the chunks that are not there yet and return them; running it again adds nothing."""
+    return chunk_store.append_chunks(chunks, f"{database}.corpus_chunks")
 
 
 def reset_dynamic_tables(spark: SparkSession, database: str) -> None:

@@ -1,0 +1,142 @@
+"""The stored chunk table: appends read what they touch, fetches move no text."""
+
+import re
+import uuid
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern import schemas
+from lectern.operators import corpus as C
+from lectern.operators import lookup as A
+from lectern.sources import chunk_store as S
+
+
+def pages(spark, documents, words=300):
+    rows = [(f"book{d:03d}.pdf", f"book{d:03d}.pdf", p, f"{d} {p} " + "word " * words) for d in documents for p in range(1, 8)]
+    return spark.createDataFrame(rows, "document_key string, file_name string, page_number int, text string")
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    name = "chunks_" + uuid.uuid4().hex
+    S.create_chunk_table(spark, name, buckets=32, path=str(tmp_path / name))
+    yield name
+    spark.sql(f"DROP TABLE {name}")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def bucket_files(df):
+    """Names of the files that the scan's tasks open."""
+    tasks = df._jdf.queryExecution().executedPlan().execute().partitions()
+    return {str(f.filePath().toString()).rsplit("/", 1)[-1] for task in tasks for f in task.files()}
+
+
+def bucket(file_name):
+    return int(re.search(r"_(\d{5})\.c\d+", file_name).group(1))
+
+
+def bucket_of(spark, block):
+    return spark.range(1).select(F.pmod(F.hash(F.lit(block)), F.lit(32))).first()[0]
+
+
+def ids(df):
+    return Counter(r.chunk_id for r in df.select("chunk_id").collect())
+
+
+def test_appending_again_adds_nothing_and_overlaps_add_the_rest(spark, table):
+    first, both = (C.chunk_pages(pages(spark, d)) for d in (range(3), range(5)))
+    assert ids(S.append_chunks(first, table)) == ids(first)
+    assert S.append_chunks(first, table).count() == 0
+    added = S.append_chunks(both, table)
+    assert ids(added) == ids(both) - ids(first)
+    stored = spark.table(table)
+    assert ids(stored) == ids(both) and max(ids(stored).values()) == 1
+    assert {tuple(r) for r in stored.select(*schemas.CHUNKS.fieldNames()).collect()} == {tuple(r) for r in both.collect()}
+
+
+@pytest.mark.parametrize("most", [S.BROADCAST_IDS, 0])
+def test_a_batch_that_repeats_chunks_adds_each_once(spark, table, monkeypatch, most):
+    monkeypatch.setattr(S, "BROADCAST_IDS", most)
+    chunks = C.chunk_pages(pages(spark, range(2)))
+    S.append_chunks(C.chunk_pages(pages(spark, [0])), table)
+    S.append_chunks(chunks.unionByName(chunks), table)
+    assert ids(spark.table(table)) == ids(chunks)
+
+
+def test_empty_batch(spark, table):
+    assert S.append_chunks(C.chunk_pages(pages(spark, [])), table).count() == 0
+    assert spark.table(table).count() == 0
+
+
+def test_an_append_reads_ids_of_its_own_buckets_only(spark, table):
+    S.append_chunks(C.chunk_pages(pages(spark, range(60))), table)
+    batch = C.chunk_pages(pages(spark, [7])).select("chunk_id", C.id_block(F.col("chunk_id")).alias(S.BLOCK))
+    blocks = S._blocks(batch)
+    # 7 pages are one block of pages; a document's chunks lie together.
+    assert len(blocks) == 1
+    existing = S.existing_ids(spark, table, blocks)
+    read = plan(existing)
+    assert bucket_files(existing) == {f for f in bucket_files(spark.table(table)) if bucket(f) == bucket_of(spark, blocks[0])}
+    assert 0 < len(bucket_files(existing)) < len(bucket_files(spark.table(table))) / 10
+    assert "ReadSchema: struct<chunk_id:string,id_block:string>" in read and "PushedFilters: [" in read
+    assert ids(existing.where(F.col(S.BLOCK).isin(blocks))) == ids(batch)
+    # Too many blocks to name: all ids are read, and the answer is the same.
+    assert ids(S.existing_ids(spark, table, None).join(batch.select("chunk_id"), "chunk_id", "left_semi")) == ids(batch)
+
+
+def exchanged_columns(read):
+    """Output columns of what is below each exchange, from the formatted plan."""
+    text = read._jdf.queryExecution().explainString(
+        read.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    return re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+def hits_of(spark, chunks, popular=0):
+    wanted = chunks.select("chunk_id").withColumn("question_id", F.xxhash64("chunk_id"))
+    few = wanted.orderBy("chunk_id").limit(1).withColumn("question_id", F.explode(F.sequence(F.lit(1), F.lit(max(1, popular)))))
+    return wanted.unionByName(few.select(*wanted.columns)).withColumn("rank", F.lit(1)).withColumn("distance", F.lit(0.5))
+
+
+@pytest.mark.parametrize("popular_hits", [A.POPULAR_HITS, 100])
+def test_a_fetch_without_bound_shuffles_no_text(spark, table, popular_hits):
+    chunks = C.chunk_pages(pages(spark, range(20)))
+    S.append_chunks(chunks, table)
+    hits = hits_of(spark, chunks, 500)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = A.fetch_chunks(hits, spark.table(table), popular_hits=popular_hits)
+        moved = exchanged_columns(found)
+        shuffles = [c for c in moved if "text_content" in c]
+        # Only the few popular chunks' texts travel, and those by broadcast.
+        assert moved and len(shuffles) == (popular_hits == 100)
+        expected = chunks.join(hits, "chunk_id")
+        columns = sorted(expected.columns)
+        assert Counter(map(tuple, found.select(columns).collect())) == Counter(map(tuple, expected.select(columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_hits_of_chunks_that_are_not_stored_find_nothing(spark, table):
+    chunks = C.chunk_pages(pages(spark, range(3)))
+    S.append_chunks(chunks.where("page_number < 3"), table)
+    found = A.fetch_chunks(hits_of(spark, chunks), spark.table(table))
+    assert ids(found.distinct()) <= ids(chunks.where("page_number < 3")) + ids(chunks.where("page_number < 3"))
+    assert set(found.columns) == {*schemas.CHUNKS.fieldNames(), "question_id", "rank", "distance"}
+
+
+def test_ids_of_neighbouring_chunks_start_alike(spark):
+    rows = spark.createDataFrame(
+        [("d", p, c) for p in (1, 15, 16) for c in (0, 63, 64)] + [("e", 1, 0)], "d string, p int, c int"
+    ).withColumn("id", C.chunk_id(F.col("d"), F.col("p"), F.col("c")))
+    got = {(r.d, r.p, r.c): r.id for r in rows.collect()}
+    assert len(set(got.values())) == 10 and all(re.fullmatch("[0-9a-f]{64}", i) for i in got.values())
+    block = {k: i[:16] for k, i in got.items()}
+    assert block["d", 1, 0] == block["d", 15, 63] != block["d", 16, 0]
+    assert len({block["d", 1, 0], block["d", 1, 64], block["d", 16, 64], block["e", 1, 0]}) == 4

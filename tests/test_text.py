@@ -42,6 +42,24 @@ def test_display_title(spark, raw, wanted):
         ("2024-03-05T12:30:00+05:30", "Mar 05, 12:30 PM"),
         ("2024-03-05", "Mar 05, 12:00 AM"),
         ("2024-13-05 21:07:09", "2024-13-05 21:07"),
+        ("2024-03-05T21", "Mar 05, 09:00 PM"),
+        ("2024-03-05T21:07", "Mar 05, 09:07 PM"),
+        ("20240305T210709", "Mar 05, 09:07 PM"),
+        ("20240305", "Mar 05, 12:00 AM"),
+        ("20240305T2107Z", "Mar 05, 09:07 PM"),
+        ("2024-03-05T21:07:09.123456789", "Mar 05, 09:07 PM"),
+        ("2024-03-05T21:07:09,5+0530", "Mar 05, 09:07 PM"),
+        ("2024-03-05T21:07:09-05", "Mar 05, 09:07 PM"),
+        ("2024-03-05T21:07:09+05:30:15", "Mar 05, 09:07 PM"),
+        ("2024-03-05Z", "Mar 05, 12:00 AM"),
+        ("2024-0305T21:07", "2024-0305T21:07"),
+        ("2024-03-05T21:0709", "2024-03-05T21:07"),
+        ("2024-03-05T24:01", "2024-03-05T24:01"),
+        ("2024-03-05T21:60", "2024-03-05T21:60"),
+        ("2024-03-05T21:07:09.", "2024-03-05T21:07"),
+        ("2024-03-05T21:07:09+0", "2024-03-05T21:07"),
+        ("2024-03-05T21:07\n", "2024-03-05T21:07"),
+        ("2023-02-29", "2023-02-29"),
         ("2024", "2024"),
         ("yesterday at noon or so", "yesterday at noo"),
         ("None", "None"),
@@ -118,9 +136,3 @@ def test_chunking_needs_no_shuffle_and_reads_few_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
-
-
-def test_append_twice_adds_nothing(pages):
-    chunks = C.chunk_pages(pages)
-    assert C.missing_chunks(chunks, chunks).count() == 0
-    assert C.missing_chunks(chunks, chunks.limit(0)).count() == chunks.count()
