@@ -1,6 +1,6 @@
 """Quiz extraction, grading, breakdowns and evaluation prompts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
@@ -8,7 +8,7 @@ from lectern.functions import quizzes as Q
 from lectern.functions import model_text as M
 from lectern.functions.model_text import request_payload
 from lectern.functions.text import fill
-from lectern.operators.ordering import HOT_GROUP_ROWS, ordered_concat
+from lectern.operators.ordering import HOT_GROUP_BYTES, HOT_GROUP_ROWS, ordered_concat
 
 
 def quiz_prompts(topics: DataFrame, model: str) -> DataFrame:
@@ -85,8 +85,15 @@ def grade(answers: DataFrame, attempt: str = "attempt_id") -> DataFrame:
     )
 
 
+def bytes_of(*texts: Column) -> Column:
+    """Bytes of some texts of a row; a null has none."""
+    sizes = [F.coalesce(F.octet_length(text), F.lit(0)).cast("long") for text in texts]
+    return sum(sizes[1:], sizes[0])
+
+
 def breakdowns(
-    answers: DataFrame, order, attempt: str = "attempt_id", hot_rows: int = HOT_GROUP_ROWS
+    answers: DataFrame, order, attempt: str = "attempt_id", hot_rows: int = HOT_GROUP_ROWS,
+    hot_bytes: int = HOT_GROUP_BYTES,
 ) -> DataFrame:
     """Ordered question-by-question text per attempt, with score, total and wrong count.
 
@@ -98,7 +105,8 @@ def breakdowns(
     marked = answers.withColumn("_right", Q.is_correct(F.col("choice"), F.col("answer_key")))
     return ordered_concat(
         marked, [attempt], order, V.BLOCK_SEPARATOR,
-        {"breakdown": line}, {"score": F.col("_right").cast("int")}, hot_rows=hot_rows,
+        {"breakdown": line}, {"score": F.col("_right").cast("int")}, hot_rows, hot_bytes,
+        text_bytes=bytes_of(F.col("question"), F.col("choice"), F.col("answer_key")),
     ).select(
         attempt, "breakdown", F.col("score").cast("int").alias("score"),
         F.col("rows").cast("int").alias("total"),

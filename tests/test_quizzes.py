@@ -159,13 +159,31 @@ def test_history_keeps_quotes_backslashes_and_order(spark):
         "attempt_id int, session_id string, user_id string, score int, total int, analysis string",
     ).withColumn("created_at", F.current_timestamp())
     for hot_rows in (10**6, 2):
-        row = R.quiz_history_rows(heads, answers, [F.col("n")], hot_rows).first()
+        row = R.quiz_history_rows(heads, answers, [F.col("n")], hot_rows=hot_rows).first()
+        assert (row.score, row.total) == (1, 3)
         assert json.loads(row.user_answers) == [tricky, None, "A. x"]
         assert json.loads(row.correct_answers) == ["A"] * 3
         assert [q["question"] for q in json.loads(row.questions)] == [f"{tricky} {i}" for i in range(3)]
         assert row.strong_point == row.weak_point == tricky
 
 
+def test_history_grades_from_its_own_pass(spark):
+    answers = spark.createDataFrame(
+        [(a, i, ("q", ["A. x"], "A"), "A. x" if i < a else "B") for a in (5, 9) for i in range(10)],
+        "attempt_id int, n int, "
+        "quiz struct<question: string, options: array<string>, answer: string>, choice string",
+    )
+    heads = spark.createDataFrame(
+        [(5, "s", "u"), (9, "s", "u")], "attempt_id int, session_id string, user_id string"
+    ).withColumn("created_at", F.current_timestamp())
+    analysis = F.concat_ws(" ", "score", "total", "proficiency")
+    rows = R.quiz_history_rows(heads, answers, [F.col("n")], analysis).collect()
+    assert {(r.score, r.total, r.strong_point) for r in rows} == {
+        (s, 10, f"{s} 10 {'High' if s >= V.HIGH_SCORE else 'Medium' if s >= V.MEDIUM_SCORE else 'Low'}")
+        for s in (5, 9)
+    }
+
+
 def replies(spark, content, reasoning):
     message = {"content": content, "reasoning_content": reasoning}
     envelope = json.dumps({"choices": [{"message": message}]})
