@@ -13,10 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def spread_by_length(rows: DataFrame, key: str, text: str, tasks: int) -> DataFrame:
+    """``(key, text)`` in ``tasks`` partitions with about the same number of characters each.
+
+    Every partition orders its texts by length and deals them out one by one, from a place of its own
+    on. So each task gets as many texts of every length as the others, however they were stored.
+    """
+    place = (1 << 33) - 1  # the row's number in its partition, below the partition's number
+    dealt = (
+        rows.select(key, text, F.coalesce(F.length(text), F.lit(0)).alias("_length"))
+        .sortWithinPartitions(F.col("_length").desc(), key)
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    start = F.xxhash64(F.shiftright("_row", 33)) % tasks
+    task = F.pmod(F.col("_row").bitwiseAND(F.lit(place)) + start, F.lit(tasks)).cast("int")
+    return dealt.select(key, text, task.alias("_task")).repartitionById(tasks, F.col("_task")).drop("_task")
+
+
 def embed_texts(
-    rows: DataFrame, key: str, text: str, encoder_factory: Callable[[], Callable]
+    rows: DataFrame, key: str, text: str, encoder_factory: Callable[[], Callable],
+    tasks: int | None = None,
 ) -> DataFrame:
-    """``(key, embedding)``. The encoder maps a list of texts to a sequence of vectors."""
+    """``(key, embedding)``. The encoder maps a list of texts to a sequence of vectors.
+
+    An encoder's time follows the characters it gets and not the bytes that were read together, so
+    ``tasks`` deals the texts out by length first (one shuffle of the texts).
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -24,6 +46,8 @@ def embed_texts(
         for texts in batches:
             yield pd.Series(list(encoder(texts.tolist())), index=texts.index)
 
+    if tasks is not None:
+        rows = spread_by_length(rows, key, text, tasks)
     return rows.select(key, encode(F.col(text)).alias("embedding"))
 
 

@@ -21,7 +21,7 @@ from lectern.operators import sessions as S
 from lectern.operators.neighbours import nearest
 from lectern.plans import inputs as I
 from lectern.plans import tutoring
-from lectern.sources import files
+from lectern.sources import chunk_store, files
 from lectern.sources.tables import read
 from lectern.streaming import chat_log as stream_log
 from lectern.streaming import dashboard as stream_metrics
@@ -56,23 +56,50 @@ def chapter_page_keys(spark, sf):
     )
 
 
+def _chunk_table(spark):
+    """A new stored chunk table in the shared folder."""
+    path = new_shared_path(spark, "chunks")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    chunk_store.create_chunk_table(spark, name, buckets=16, path=path)
+    return name
+
+
 @query
 def append_new_chunks(spark, sf):
     """The table after an append: labelled documents were loaded before, all are offered now."""
-    pages = I.pages(spark, sf)
     labelled = read(spark, sf, "labels").select(F.col("doc_id").alias("document_key"))
-    before = C.chunk_pages(
-        pages.join(labelled, "document_key", "left_semi"), language=F.col("lang")
-    )
-    added = C.missing_chunks(I.chunks(spark, sf), before)
-    return before.withColumn("is_new", F.lit(False)).unionByName(
-        added.withColumn("is_new", F.lit(True))
+    earlier = I.pages(spark, sf).join(labelled, "document_key", "left_semi")
+    name = _chunk_table(spark)
+    chunk_store.append_chunks(C.chunk_pages(earlier, language=F.col("lang")), name)
+    added = chunk_store.append_chunks(I.chunks(spark, sf), name)
+    is_new = added.select("chunk_id", F.lit(True).alias("is_new"))
+    return (
+        spark.table(name).drop("id_block").join(is_new, "chunk_id", "left")
+        .withColumn("is_new", F.coalesce("is_new", F.lit(False)))
     )
 
 
+def _library(spark, sf):
+    """The documents written out as text files; the folder they are in."""
+    folder = new_shared_path(spark, "documents")
+    files.write_documents(I.document_lines(spark, sf), ["doc_id"], folder)
+    return folder
+
+
 @query
 def binary_listing(spark, sf):
-    return files.list_documents(spark, sf, ".parquet").select("file_name", "length")
+    return files.list_documents(spark, _library(spark, sf), ".txt").select("file_name", "length")
+
+
+@query
+def requested_documents(spark, sf):
+    """The files that are asked for, some of them not there; no other file is opened."""
+    listing = files.list_documents(spark, _library(spark, sf), ".txt")
+    loaded = files.load_documents(listing, I.document_requests(spark, sf))
+    return loaded.select(
+        "request_id", "file_name", "loaded", F.octet_length("content").cast("long").alias("length"),
+        F.md5("content").alias("digest"),
+    )
 
 
 def _line_pages():
@@ -100,7 +127,9 @@ def _letter_counts():
 @query
 def embed_texts(spark, sf):
     """Stand-in encoder: the vector of a chunk is its count of each letter a-z."""
-    vectors = H.embed_texts(I.chunks(spark, sf), "chunk_id", "text_content", _letter_counts)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = I.chunks(spark, sf)
+    vectors = H.embed_texts(chunks, "chunk_id", "text_content", _letter_counts, tasks)
     counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
     return vectors.select("chunk_id", F.array_join(counts, ",").alias("embedding"))
 
@@ -124,6 +153,16 @@ def retrieve_chunks(spark, sf):
     return _found(spark, sf).withColumn("distance", F.round("distance", 6))
 
 
+@query
+def retrieve_stored(spark, sf):
+    """The same from the stored chunk table, as for any number of hits: no text is shuffled."""
+    name = _chunk_table(spark)
+    chunk_store.append_chunks(I.chunks(spark, sf), name)
+    return A.fetch_chunks(_hits(spark, sf), spark.table(name)).withColumn(
+        "distance", F.round("distance", 6)
+    )
+
+
 @query
 def retrieve_context(spark, sf):
     return A.contexts(_found(spark, sf))
@@ -232,6 +271,20 @@ def queries_by_metric(spark, sf):
     return metrics.queries_by_metric(I.dashboard_log(spark, sf))
 
 
+@query
+def students_by_day(spark, sf):
+    """Exact distinct users of each day, beside those estimated from sketches per day and event type."""
+    seen = read(spark, sf, "events").select(F.to_date("ts").cast("string").alias("day"), "event_type", "user_id")
+    exact = seen.groupBy("day").agg(F.countDistinct("user_id").alias("exact"))
+    by_type = metrics.student_sketches(seen, ["day", "event_type"])
+    estimated = metrics.estimated_students(metrics.merged_sketches(by_type, ["day"]))
+    error = F.abs(F.col("students") - F.col("exact"))
+    return exact.join(estimated, "day").select(
+        "day", F.col("exact").alias("students"),
+        (error <= F.col("exact") * metrics.SKETCH_ERROR + 1).alias("estimate_is_close"),
+    )
+
+
 # --- quizzes and report cards -------------------------------------------------------------
 
 
@@ -280,7 +333,9 @@ def evaluation_prompts(spark, sf):
 
 @query
 def quiz_history_rows(spark, sf):
-    return R.quiz_history_rows(I.graded(spark, sf), I.answers(spark, sf), I.answer_order())
+    return R.quiz_history_rows(
+        I.attempt_heads(spark, sf), I.answers(spark, sf), I.answer_order(), I.analysis()
+    )
 
 
 @query
@@ -299,15 +354,20 @@ def _grade_changes(graded):
     )
 
 
+def _session_report(n):
+    return F.concat(
+        F.lit("Session "), F.col("session_id"), F.lit(": "), F.col(n).cast("string"),
+        F.lit(" quizzes"),
+    )
+
+
 def _report_changes(graded):
     per_session = graded.groupBy("user_id", "session_id", "class_level").agg(
         F.count("*").alias("n"), F.max("created_at").alias("changed_at")
     )
-    report = F.concat(
-        F.lit("Session "), F.col("session_id"), F.lit(": "), F.col("n").cast("string"),
-        F.lit(" quizzes"),
+    return R.memory_changes(
+        per_session, F.lit(V.REPORT_BAND), _session_report("n"), 1, F.col("session_id")
     )
-    return R.memory_changes(per_session, F.lit(V.REPORT_BAND), report, 1, F.col("session_id"))
 
 
 def _memory(spark, sf):
@@ -323,9 +383,9 @@ def user_memory_current(spark, sf):
 @query
 def memory_replaced(spark, sf):
     """Memory after the grades of all attempts, then replaced by reports on perfect ones."""
-    graded = I.graded(spark, sf)
-    before = R.current_memory(_grade_changes(graded))
-    return R.replace_memory(before, _report_changes(graded.where("wrong = 0")))
+    return R.replaced_in_one_pass(
+        I.graded(spark, sf), F.col("wrong") == 0, _session_report("n_quizzes")
+    )
 
 
 @query
@@ -395,7 +455,9 @@ def _stub_client():
 def answer_questions(spark, sf):
     """Benchmark texts as questions against the letter counts of all chunks."""
     chunks = I.chunks(spark, sf)
-    vectors = tutoring.build_vectors(chunks, _letter_counts, new_shared_path(spark, "vectors"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_shared_path(spark, "vectors")
+    vectors = tutoring.build_vectors(chunks, _letter_counts, path, tasks)
     questions = read(spark, sf, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question")
     )
@@ -453,6 +515,14 @@ def stream_chat_log(spark, sf):
     )
 
 
+@query
+def stream_history(spark, sf):
+    """The chat history written by the same stream."""
+    return stream_log.read_log(spark, _streamed_log(spark, sf), "raw_chat_history").select(
+        *schemas.CHAT_HISTORY.fieldNames()
+    )
+
+
 @query
 def stream_sessions(spark, sf):
     """Last activity per session after the same stream."""

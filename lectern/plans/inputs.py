@@ -57,6 +57,28 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _text_file(doc: Column) -> Column:
+    return F.concat(F.lit(FILE_PREFIX), F.lit("-"), _text(F.floor(doc / 50)), F.lit(".txt"))
+
+
+def document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files of fifty documents each, to be written out."""
+    doc = F.col("doc_id")
+    return read(spark, sf, "documents").select(_text_file(doc).alias("file_name"), "doc_id", F.col("text").alias("line"))
+
+
+def document_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every labelled document asks for its file, every benchmark item for one that is not there."""
+    there = read(spark, sf, "labels").select(
+        F.concat(F.lit("label "), _text("doc_id")).alias("request_id"), _text_file(F.col("doc_id")).alias("file_name")
+    )
+    gone = read(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), _text("item_id")).alias("request_id"),
+        F.concat(F.lit("gone-"), _text("item_id"), F.lit(".txt")).alias("file_name"),
+    )
+    return there.unionByName(gone)
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk_pages(pages(spark, sf), language=F.col("lang"))
 
@@ -187,12 +209,13 @@ def attempt_heads(spark: SparkSession, sf: str) -> DataFrame:
 def graded(spark: SparkSession, sf: str) -> DataFrame:
     """Attempts with head, score and a one-line evaluation. Answers are counted before the join."""
     scored = G.grade(answers(spark, sf))
-    return attempt_heads(spark, sf).join(scored, "attempt_id").withColumn(
-        "analysis",
-        F.concat(
-            F.lit("Attempt "), _text("attempt_id"), F.lit(": "), _text("score"), F.lit("/"),
-            _text("total"), F.lit(", "), F.col("proficiency"),
-        ),
+    return attempt_heads(spark, sf).join(scored, "attempt_id").withColumn("analysis", analysis())
+
+
+def analysis() -> Column:
+    return F.concat(
+        F.lit("Attempt "), _text("attempt_id"), F.lit(": "), _text("score"), F.lit("/"),
+        _text("total"), F.lit(", "), F.col("proficiency"),
     )
 
 

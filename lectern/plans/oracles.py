@@ -46,6 +46,13 @@ def activity_time(timestamp: str) -> str:
     return f"strftime({timestamp}, '%b %d, %I:%M %p')"
 
 
+def chunk_id(document: str, page: str, chunk: str) -> str:
+    return (
+        f"substr(sha256({document} || '#' || {page} // 16 || '#' || {chunk} // 64), 1, 16)"
+        f" || substr(sha256({document} || '#' || {page} || '#' || {chunk}), 1, 48)"
+    )
+
+
 ANSWER_ORDER = ", ".join(I.ANSWER_ORDER)
 PREFIX = quoted(I.FILE_PREFIX)
 BASE = quoted(I.BASE_DIR + "/")
@@ -73,14 +80,14 @@ PARTS = {
                ((doc_id // 13) % 5 + 1)::INT AS page_number
         FROM documents"""),
     "chunk": (["page"], f"""
-        SELECT sha256(doc_id || '#' || page_number || '#' || o) AS chunk_id,
+        SELECT {chunk_id("doc_id", "page_number", "o")} AS chunk_id,
                {V.CLASS_LEVEL}::INT AS class_level, lang AS language,
                replace(file_name, '.pdf', '') AS chapter, page_number,
                substring(t, (o * 800 + 1)::INT, 1000) AS text_content, doc_id
         FROM (SELECT *, unnest(range(0, ceil(length(t) / 800.0)::BIGINT)) AS o
               FROM page WHERE length(t) > 0)"""),
-    "vector": ([], """
-        SELECT sha256(vec_id || '#' || ((vec_id // 13) % 5 + 1) || '#0') AS chunk_id,
+    "vector": ([], f"""
+        SELECT {chunk_id("vec_id", "((vec_id // 13) % 5 + 1)", "0")} AS chunk_id,
                embedding::DOUBLE[] AS v
         FROM embeddings"""),
     "question": ([], """
@@ -146,6 +153,11 @@ PARTS = {
         SELECT session_id, prompt, {payload("prompt", V.QUIZ_TEMPERATURE)} AS payload
         FROM (SELECT session_id, {filled(V.QUIZ_PROMPT, topics="topics")} AS prompt
               FROM topic)"""),
+    "library": ([], f"""
+        SELECT {PREFIX} || '-' || (doc_id // 50) || '.txt' AS file_name,
+               sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS length,
+               md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest
+        FROM documents GROUP BY 1"""),
     "answer": ([], f"""
         SELECT *, starts_with(given, answer_key) AS is_right
         FROM (SELECT *, coalesce(choice, {quoted(V.UNANSWERED)}) AS given
@@ -312,6 +324,14 @@ ORACLES = {
         """SELECT * EXCLUDE (doc_id), doc_id NOT IN (SELECT doc_id FROM labels) AS is_new
         FROM chunk""", "chunk",
     ),
+    "binary_listing": with_parts("SELECT file_name, length FROM library", "library"),
+    "requested_documents": with_parts(
+        f"""SELECT request_id, file_name, length IS NOT NULL AS loaded, length, digest
+        FROM (SELECT 'label ' || doc_id AS request_id,
+                     {PREFIX} || '-' || (doc_id // 50) || '.txt' AS file_name FROM labels
+              UNION ALL SELECT 'item ' || item_id, 'gone-' || item_id || '.txt' FROM benchmark)
+        LEFT JOIN library USING (file_name)""", "library",
+    ),
     "extract_pages": """
         SELECT 'doc' || doc_id || '.txt' AS file_name, (i + 1)::INT AS page_number,
                pages[i + 1] AS text
@@ -326,6 +346,10 @@ ORACLES = {
         """SELECT question_id, rank, round(distance, 6) AS distance, chunk_id, class_level,
                language, chapter, page_number, text_content FROM found""", "found",
     ),
+    "retrieve_stored": with_parts(
+        """SELECT question_id, rank, round(distance, 6) AS distance, chunk_id, class_level,
+               language, chapter, page_number, text_content FROM found""", "found",
+    ),
     "retrieve_context": with_parts("SELECT * FROM context", "context"),
     "retrieve_sources": with_parts(
         f"""SELECT question_id,
@@ -394,6 +418,9 @@ ORACLES = {
     "queries_by_metric": f"""
         SELECT {filled(V.METRIC_NAME, user_id="user_id")} AS metric_name, count(*) AS queries
         FROM events GROUP BY 1""",
+    "students_by_day": """
+        SELECT ts::DATE::VARCHAR AS day, count(DISTINCT user_id) AS students, true AS estimate_is_close
+        FROM events GROUP BY 1""",
     "quiz_extract": with_parts(
         "SELECT * REPLACE (array_to_string(options, ' | ') AS options) FROM quiz", "quiz"
     ),
@@ -516,6 +543,9 @@ ORACLES = {
         f"""SELECT log_id, {filled(V.METRIC_NAME, user_id="user_id")} AS metric_name,
                {quoted(V.METRIC_VALUE)} AS metric_value, timestamp FROM chat""", "chat",
     ),
+    "stream_history": with_parts(
+        "SELECT session_id, user_id, prompt, raw_response, timestamp FROM chat", "chat"
+    ),
     "stream_sessions": with_parts(
         "SELECT session_id, max(timestamp) AS updated_at FROM chat GROUP BY session_id", "chat"
     ),

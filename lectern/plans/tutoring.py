@@ -32,23 +32,28 @@ def ingest(
     tables.append_chunks(corpus.chunk_pages(pages, class_level, language), database)
 
 
-def build_vectors(chunks: DataFrame, encoder_factory: Callable, path: str) -> DataFrame:
-    """Encode every chunk, persist the vectors and return them as read back."""
-    vectors = hooks.embed_texts(chunks, "chunk_id", "text_content", encoder_factory)
+def build_vectors(
+    chunks: DataFrame, encoder_factory: Callable, path: str, tasks: int | None = None
+) -> DataFrame:
+    """Encode every chunk, persist the vectors and return them as read back.
+
+    ``tasks`` here and in ``find_chunks`` as in ``hooks.embed_texts``.
+    """
+    vectors = hooks.embed_texts(chunks, "chunk_id", "text_content", encoder_factory, tasks)
     tables.write_vectors(vectors, path)
     return tables.read_vectors(chunks.sparkSession, path)
 
 
 def find_chunks(
     questions: DataFrame, vectors: DataFrame, chunks: DataFrame, encoder_factory: Callable,
-    k: int = V.TOP_K,
+    k: int = V.TOP_K, tasks: int | None = None,
 ) -> DataFrame:
     """Ranked chunks of ``(question_id, question)``, encoded like the corpus.
 
     At most k rows per question; written once, because contexts and sources both read them.
     """
     encoded = cut_lineage(
-        hooks.embed_texts(questions, "question_id", "question", encoder_factory)
+        hooks.embed_texts(questions, "question_id", "question", encoder_factory, tasks)
     )
     hits = nearest(vectors, encoded, k)
     return cut_lineage(lookup.fetch_chunks(hits, chunks, encoded.count() * k))

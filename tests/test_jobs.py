@@ -12,6 +12,7 @@ from lectern import schemas
 from lectern.cluster import shared_dir
 from lectern.operators import hooks as H
 from lectern.operators import memory as R
+from lectern.operators import metrics
 from lectern.operators import lookup as A
 from lectern.operators import sessions as S
 from lectern.plans import tutoring
@@ -41,6 +42,32 @@ def test_listing_and_loading(spark, tmp_path):
     assert got == {"a.pdf": (bytearray(b"one"), True), "gone.pdf": (None, False)}
 
 
+@pytest.mark.parametrize("at_once,moving", [(10_000, 500_000), (2, 0)])
+def test_only_requested_files_are_opened(spark, tmp_path, monkeypatch, at_once, moving):
+    monkeypatch.setattr(files, "FILES_AT_ONCE", at_once)
+    monkeypatch.setattr(files, "BROADCAST_REQUESTS", moving)
+    lines = spark.createDataFrame(
+        [(f"b[{d}]*.txt", i, None if i == 2 else f"{d} line {i}\nmore") for d in range(5) for i in (3, 1, 2)],
+        "file_name string, n int, line string",
+    )
+    folder = str(tmp_path / "library")
+    files.write_documents(lines, ["n"], folder)
+    listing = files.list_documents(spark, folder, ".txt")
+    assert listing.select("file_name").distinct().count() == listing.count() == 5
+    # What nobody asks for can't be read any more; a listing doesn't mind.
+    for other in tmp_path.glob("library/file_name=b*0*/part*"):
+        other.chmod(0)
+    asked = spark.createDataFrame(
+        [("b[1]*.txt", 1), ("b[1]*.txt", 2), ("b[3]*.txt", 3), ("b1.txt", 4), (None, 5)], "file_name string, who int"
+    )
+    got = {(r.file_name, r.who): (r.content and bytes(r.content), r.loaded) for r in files.load_documents(listing, asked).collect()}
+    text = lambda d: f"{d} line 1\nmore\n\n{d} line 3\nmore\n".encode()
+    assert got == {
+        ("b[1]*.txt", 1): (text(1), True), ("b[1]*.txt", 2): (text(1), True), ("b[3]*.txt", 3): (text(3), True),
+        ("b1.txt", 4): (None, False), (None, 5): (None, False),
+    }
+
+
 def test_extract_pages_streams_long_documents(spark):
     text = "\f".join(f"page {i}" for i in range(12_001))
     documents = spark.createDataFrame(
@@ -94,6 +121,25 @@ def test_encoder_is_built_once_per_task_and_sees_whole_texts(spark):
     }
 
 
+@pytest.mark.parametrize("stored_in", [1, 5])
+def test_encoder_loads_are_even_whatever_the_files(spark, stored_in):
+    """Long texts lie together in few partitions; the tasks get the same number of characters."""
+    rows = spark.range(4000).repartitionByRange(stored_in, "id").select(
+        "id", F.repeat(F.lit("x"), F.when(F.col("id") < 400, 2000 + F.col("id")).otherwise(F.col("id") % 50).cast("int")).alias("t")
+    )
+    from pyspark import TaskContext
+
+    def factory():
+        return lambda texts: [[float(len(t)), float(TaskContext.get().partitionId())] for t in texts]
+
+    out = H.embed_texts(rows, "id", "t", factory, tasks=8).collect()
+    assert {r.id: r.embedding[0] for r in out} == {r.id: float(len(r.t)) for r in rows.collect()}
+    loads = {}
+    for r in out:
+        loads[r.embedding[1]] = loads.get(r.embedding[1], 0) + r.embedding[0]
+    assert len(loads) == 8 and max(loads.values()) <= 1.05 * sum(loads.values()) / 8
+
+
 @pytest.mark.parametrize("tasks", [None, 3])
 def test_failing_call_spoils_no_other_row(spark, tasks):
     def factory():
@@ -273,6 +319,27 @@ def test_replaced_memory_table(spark, database):
         ("c", 10, "Medium", "it's new", "it's new")}
 
 
+def test_memory_in_one_pass_equals_two_states(spark):
+    graded = spark.range(600).select(
+        F.col("id").alias("attempt_id"), F.concat(F.lit("u"), F.col("id") % 40).alias("user_id"),
+        F.concat(F.lit("s"), F.col("id") % 90).alias("session_id"), (F.col("id") % 40 % 3 + 8).cast("int").alias("class_level"),
+        (F.xxhash64("id") % 7).alias("created_at"), F.abs(F.xxhash64("id") % 5).alias("wrong"),
+        F.when(F.col("id") % 2 == 0, "Low").otherwise("High").alias("proficiency"),
+        F.concat(F.lit("analysis "), "id").alias("analysis"),
+    )
+    grades = R.memory_changes(
+        graded.withColumn("changed_at", F.col("created_at")), F.col("proficiency"), F.col("analysis"), 0, F.col("attempt_id"))
+    per_session = graded.where("wrong = 0").groupBy("user_id", "session_id", "class_level").agg(
+        F.count("*").alias("n"), F.max("created_at").alias("changed_at"))
+    text = lambda n: F.concat_ws(" ", "session_id", n)
+    reports = R.memory_changes(per_session, F.lit(V.REPORT_BAND), text("n"), 1, F.col("session_id"))
+    two = R.replace_memory(R.current_memory(grades), reports)
+    one = R.replaced_in_one_pass(graded, F.col("wrong") == 0, text("n_quizzes"))
+    rows = {tuple(r) for r in one.collect()}
+    assert rows == {tuple(r) for r in two.collect()} and one.count() == 40
+    assert {r[2] for r in rows} > {V.REPORT_BAND}
+
+
 # --- streams ------------------------------------------------------------------------------
 
 PAIR = ("session_id string, user_id string, prompt string, raw_response string, "
@@ -306,6 +373,48 @@ def test_chat_log_stream_goes_on_and_survives_replay(spark, tmp_path):
     assert last == {"s0": 9, "s1": 10, "s2": 11}
 
 
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    run = lambda: chat_log.start_chat_log(
+        spark.readStream.schema(PAIR).parquet(source), out, state).awaitTermination()
+    seen = lambda: {t: chat_log.read_log(spark, out, t).count()
+                    for t in ("raw_chat_history", "business_dashboard", "chat_sessions")}
+    pairs(spark, range(4)).write.parquet(source)
+    run()
+    assert seen() == {"raw_chat_history": 4, "business_dashboard": 4, "chat_sessions": 3}
+    pairs(spark, range(4, 9)).write.mode("append").parquet(source)
+    tables_of = chat_log.log_rows
+
+    def broken(batch):
+        rows = tables_of(batch)
+        rows["chat_sessions"] = rows["chat_sessions"].withColumn("x", F.raise_error(F.lit("lost")))
+        return rows
+
+    monkeypatch.setattr(chat_log, "log_rows", broken)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    # Two of the three outputs of the second batch are written, and none of it is seen.
+    assert spark.read.parquet(f"{out}/raw_chat_history").count() == 9
+    assert seen() == {"raw_chat_history": 4, "business_dashboard": 4, "chat_sessions": 3}
+    monkeypatch.setattr(chat_log, "log_rows", tables_of)
+    run()
+    assert seen() == {"raw_chat_history": 9, "business_dashboard": 9, "chat_sessions": 6}
+    prompts = [r.prompt for r in chat_log.read_log(spark, out, "raw_chat_history").collect()]
+    assert sorted(prompts) == [f"p{i}" for i in range(9)]
+
+
+def test_sketches_of_days_merge_to_the_year(spark):
+    seen = spark.range(60_000).select(
+        (F.col("id") % 30).alias("day"), F.concat(F.lit("u"), (F.xxhash64("id") % 20_000)).alias("user_id"))
+    days = metrics.student_sketches(seen, ["day"])
+    everyone = days.withColumn("year", F.lit(2024))
+    estimate = metrics.estimated_students(metrics.merged_sketches(everyone, ["year"])).first().students
+    exact = seen.select("user_id").distinct().count()
+    assert abs(estimate - exact) <= metrics.SKETCH_ERROR * exact
+    for r in metrics.estimated_students(days).collect():
+        assert abs(r.students - seen.where(F.col("day") == r.day).select("user_id").distinct().count()) <= 60
+
+
 def test_dashboard_stream_counts_on(spark, tmp_path):
     """It runs on what the chat log stream writes, which names no user column."""
     source, changes, log, out = (str(tmp_path / n) for n in ("in", "changes", "log", "out"))

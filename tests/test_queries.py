@@ -29,3 +29,12 @@ def test_entry_returns_rows(spark):
 
 def test_every_twin_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize(
+    "name,tables", [("memory_replaced", ["lineitem", "orders"]), ("quiz_history_rows", ["lineitem", "orders"])]
+)
+def test_each_table_is_read_once(spark, name, tables):
+    plan = queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(tables)
+    assert ("l_orderkey" in plan) and ("o_orderkey" in plan)
