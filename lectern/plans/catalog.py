@@ -60,7 +60,7 @@ def _chunk_table(spark):
     """A new stored chunk table in the shared folder."""
     path = new_shared_path(spark, "chunks")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
-    chunk_store.create_chunk_table(spark, name, buckets=16, path=path)
+    chunk_store.create_chunk_table(spark, name, buckets=8, path=path)
     return name
 
 
@@ -73,6 +73,8 @@ def append_new_chunks(spark, sf):
     chunk_store.append_chunks(C.chunk_pages(earlier, language=F.col("lang")), name)
     added = chunk_store.append_chunks(I.chunks(spark, sf), name)
     is_new = added.select("chunk_id", F.lit(True).alias("is_new"))
+    if is_new.count() <= chunk_store.BROADCAST_IDS:
+        is_new = F.broadcast(is_new)
     return (
         spark.table(name).drop("id_block").join(is_new, "chunk_id", "left")
         .withColumn("is_new", F.coalesce("is_new", F.lit(False)))

@@ -14,8 +14,9 @@ from lectern.cluster import cut_lineage
 from lectern.operators.corpus import id_block
 
 BUCKETS = 64
-# An append of at most so many blocks names them in its filter, which prunes the buckets.
-NAMED_BLOCKS = 20_000
+# An append of few blocks names them in its filter, which prunes the buckets. More than twice as many
+# blocks as buckets would leave one bucket in seven unread, so they are not named.
+MOST_NAMED_BLOCKS = 1000
 # Ids are 64 characters; so many of them, as a hash table, stay below 100 MB.
 BROADCAST_IDS = 500_000
 
@@ -46,15 +47,20 @@ def existing_ids(spark: SparkSession, name: str, blocks: list[str] | None) -> Da
     return ids if blocks is None else ids.where(F.col(BLOCK).isin(blocks))
 
 
-def _blocks(ids: DataFrame) -> list[str] | None:
-    found = ids.select(BLOCK).distinct().limit(NAMED_BLOCKS + 1).collect()
-    return None if len(found) > NAMED_BLOCKS else sorted(r[0] for r in found)
+def _blocks(ids: DataFrame, buckets: int) -> list[str] | None:
+    most = min(2 * buckets, MOST_NAMED_BLOCKS)
+    found = ids.select(BLOCK).distinct().limit(most + 1).collect()
+    return None if len(found) > most else sorted(r[0] for r in found)
 
 
-def _narrow_copies(ids: DataFrame, existing: DataFrame) -> DataFrame:
+def _narrow_copies(batch: DataFrame, name: str) -> DataFrame:
     """Each id of the batch with how often it comes and whether it is stored; no text is read."""
-    copies = ids.groupBy(BLOCK, "chunk_id").agg(F.count("*").alias("copies"))
-    stored = existing.distinct().withColumn("stored", F.lit(True))
+    spark = batch.sparkSession
+    copies = batch.groupBy(BLOCK, "chunk_id").agg(F.count("*").alias("copies"))
+    if spark.table(name).isEmpty():
+        return cut_lineage(copies.withColumn("stored", F.lit(False)))
+    blocks = _blocks(batch, buckets_of(spark, name))
+    stored = existing_ids(spark, name, blocks).distinct().withColumn("stored", F.lit(True))
     return cut_lineage(
         copies.join(stored, [BLOCK, "chunk_id"], "left").withColumn(
             "stored", F.coalesce("stored", F.lit(False))
@@ -78,8 +84,7 @@ def new_chunks(batch: DataFrame, existing_name: str) -> DataFrame:
 
     ``batch`` is read several times, mostly without its texts: store it before.
     """
-    ids = batch.select(BLOCK, "chunk_id")
-    found = _narrow_copies(ids, existing_ids(batch.sparkSession, existing_name, _blocks(ids)))
+    found = _narrow_copies(batch, existing_name)
     told = found.agg(
         F.count_if(~F.col("stored")).alias("new"), F.count_if("stored").alias("old"),
         F.max("copies").alias("copies"),

@@ -76,7 +76,7 @@ def test_empty_batch(spark, table):
 def test_an_append_reads_ids_of_its_own_buckets_only(spark, table):
     S.append_chunks(C.chunk_pages(pages(spark, range(60))), table)
     batch = C.chunk_pages(pages(spark, [7])).select("chunk_id", C.id_block(F.col("chunk_id")).alias(S.BLOCK))
-    blocks = S._blocks(batch)
+    blocks = S._blocks(batch, 32)
     # 7 pages are one block of pages; a document's chunks lie together.
     assert len(blocks) == 1
     existing = S.existing_ids(spark, table, blocks)
