@@ -531,6 +531,27 @@ def stream_sessions(spark, sf):
     return stream_log.session_activity(spark, _streamed_log(spark, sf))
 
 
+@query
+def stream_students(spark, sf):
+    """Distinct users of the memory changes, exact and from the sketches of a stream's batches."""
+    source, out = new_shared_path(spark, "changes"), new_shared_path(spark, "sketches")
+    changes = _grade_changes(I.graded(spark, sf)).select("user_id", "changed_at")
+    changes.write.parquet(source)
+    stored = spark.read.parquet(source)
+    stream_metrics.start_student_sketches(
+        spark.readStream.schema(stored.schema).parquet(source), out, new_shared_path(spark, "state")
+    ).awaitTermination()
+    estimated = stream_metrics.read_students(spark, out, [])
+    exact = stored.agg(F.countDistinct("user_id").alias("exact"))
+    both = exact.unionByName(estimated, allowMissingColumns=True)
+    both = both.agg(F.max("exact").alias("exact"), F.max("students").alias("students"))
+    error = F.abs(F.col("students") - F.col("exact"))
+    return both.select(
+        F.col("exact").alias("students"),
+        (error <= F.col("exact") * metrics.SKETCH_ERROR + 1).alias("estimate_is_close"),
+    )
+
+
 @query
 def stream_dashboard(spark, sf):
     """Log rows and memory changes as streams; their counters at the end."""

@@ -549,6 +549,9 @@ ORACLES = {
     "stream_sessions": with_parts(
         "SELECT session_id, max(timestamp) AS updated_at FROM chat GROUP BY session_id", "chat"
     ),
+    "stream_students": with_parts(
+        "SELECT count(DISTINCT user_id) AS students, true AS estimate_is_close FROM graded", "graded"
+    ),
     "stream_dashboard": with_parts(
         """SELECT 'total_queries' AS metric, count(*) AS value FROM events
         UNION ALL SELECT 'unique_students', count(DISTINCT user_id) FROM memory""", "memory",

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators.metrics import estimated_students, merged_sketches, student_sketches
+
 TOTAL, STUDENTS = "total_queries", "unique_students"
 
 
@@ -39,3 +41,34 @@ def read_dashboard(spark: SparkSession, out_dir: str) -> DataFrame:
     """``(metric, value)`` over all batches written so far."""
     written = spark.read.schema("value long, metric string, batch_id long").parquet(out_dir)
     return written.groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+def start_student_sketches(
+    memory_changes: DataFrame, out_dir: str, checkpoint_dir: str, **trigger
+) -> StreamingQuery:
+    """Keep a distinct-count sketch of the users of every batch and day, under ``out_dir``.
+
+    ``memory_changes`` is ``(user_id, changed_at)``. Unlike the exact counter this has no state that
+    grows with the users: a batch adds one small row per day it touches, in its own folder, so a
+    replayed batch replaces it. Sketches merge, so any span of days can be counted later.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        days = batch.select(F.to_date("changed_at").alias("day"), "user_id")
+        student_sketches(days, ["day"]).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    return (
+        memory_changes.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint_dir)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_students(spark: SparkSession, out_dir: str, by: list[str]) -> DataFrame:
+    """``by`` and ``students``: about how many distinct users, from all batches written so far.
+
+    ``by`` may be empty (all), or ``["day"]``.
+    """
+    written = spark.read.schema("day date, sketch binary, batch_id long").parquet(out_dir)
+    return estimated_students(merged_sketches(written, by))

@@ -415,6 +415,20 @@ def test_sketches_of_days_merge_to_the_year(spark):
         assert abs(r.students - seen.where(F.col("day") == r.day).select("user_id").distinct().count()) <= 60
 
 
+def test_sketches_of_batches_merge(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "user_id string, changed_at timestamp"
+    for batch in range(3):
+        rows = spark.range(batch * 1000, batch * 1000 + 2000).select(
+            F.concat(F.lit("u"), "id").alias("user_id"), at((F.col("id") % 3 * 1440).cast("int")).alias("changed_at"))
+        rows.write.mode("append").parquet(source)
+        dashboard.start_student_sketches(
+            spark.readStream.schema(schema).parquet(source), out, state).awaitTermination()
+    assert abs(dashboard.read_students(spark, out, []).first().students - 4000) <= 4000 * metrics.SKETCH_ERROR
+    days = dashboard.read_students(spark, out, ["day"]).collect()
+    assert len(days) == 3 and all(abs(r.students - 4000 / 3) <= 4000 / 3 * metrics.SKETCH_ERROR + 1 for r in days)
+
+
 def test_dashboard_stream_counts_on(spark, tmp_path):
     """It runs on what the chat log stream writes, which names no user column."""
     source, changes, log, out = (str(tmp_path / n) for n in ("in", "changes", "log", "out"))
