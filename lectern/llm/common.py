@@ -1,6 +1,7 @@
 """Small helpers that the operators of this subpackage share."""
 
-from collections.abc import Iterator, Sequence
+import gc
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in slices of about this many characters, whatever the batch size is.
 SLICE_CHARS = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Paths of the tables that the steps now being settled have stored, the inner step last.
+_steps: list[list[str]] = []
 #: A block of a group that is numbered at once has at least so many rows …
 LEAST_BLOCK_ROWS = 500
 #: … and more when there would be more blocks than this, whose counts one window adds up.
@@ -29,7 +32,48 @@ def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, name)
     (df.coalesce(tasks) if tasks else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _steps:
+        _steps[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    _drop(table.sparkSession, [table.stored_at])
+
+
+def settled(make: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """What ``make`` gives, written as ``stored`` writes it; the tables stored on the way are dropped.
+
+    Only the result outlives the step, so a long job's disk holds one step at a time. The shuffle
+    files of the step go when the driver collects its garbage, which is asked for here.
+    """
+    _steps.append([])
+    try:
+        result = make()
+        path = new_shared_path(spark, name)
+        result.write.parquet(path)
+        schema = result.schema
+    finally:
+        passed = _steps.pop()
+    _drop(spark, passed)
+    if _steps:
+        _steps[-1].append(path)
+    del result
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(settings).delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -52,19 +96,23 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in slices of bounded text, each with its texts (null: empty).
+def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text.
 
     One text that is longer than a slice is a slice by itself, so nothing is cut.
     """
-    lengths = batch.column(column)
-    sizes = np.asarray(pa.compute.binary_length(lengths).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     piece = np.cumsum(sizes) // SLICE_CHARS
     edges = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         if high > low:
-            part = batch.slice(low, high - low)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            yield batch.slice(low, high - low)
+
+
+def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in slices of bounded text, each with its texts (null: empty)."""
+    for part in sliced(batch, column):
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

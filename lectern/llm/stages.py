@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language, mixing, near_dups, packing, substrings
-from lectern.llm.common import small_batches, stored, words_in
+from lectern.llm.common import settled, small_batches, stored, words_in
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -52,7 +52,7 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     keys = ["doc_id", "_version", "lang", "source"]
     rows = docs.select("doc_id", version.alias("_version"), "lang", "source", "text")
     decided = language.identified(rows, model, keys, "text", "lang", "source")
-    rejected = stored(decided.where("NOT accepted").select(keys).distinct(), "rejected")
+    rejected = settled(lambda: decided.where("NOT accepted").select(keys).distinct(), "rejected", spark)
     return _joined(docs.withColumn("_version", version), rejected, keys, "left_anti").drop("_version")
 
 
@@ -60,7 +60,7 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates; of the rows that repeat an
     id, the one with the smallest hash of its text. A null id is linked with nothing."""
-    decided = stored(near_dups.near_duplicates(docs, width=5, percent=80), "near-decisions")
+    decided = settled(lambda: near_dups.near_duplicates(docs, width=5, percent=80), "near-decisions", spark)
     others = stored(decided.where("NOT kept").select("doc_id").distinct(), "near-copies")
     kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
     repeated = decided.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
@@ -80,12 +80,17 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str)
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _taken(docs: DataFrame) -> DataFrame:
+    sizes = mixing.document_sizes(docs)
+    copies = mixing.rounded_copies(sizes, mixing.source_targets(sizes, (5, 2, 1), most=3.0))
+    size, times = F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    return copies.where("copies > 0").select(F.col("id").alias("doc_id"), "source", size, times)
+
+
 @with_other_columns
 def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sizes = mixing.document_sizes(docs)
-    copies = mixing.rounded_copies(sizes, mixing.source_targets(sizes, (5, 2, 1), most=3.0))
-    taken = stored(copies.where("copies > 0").select(F.col("id").alias("doc_id"), "source", F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
+    taken = settled(lambda: _taken(docs), "copies", spark)
     sized = docs.withColumn("_size", words_in(F.col("text")))
     repeated = _joined(sized, taken, ["doc_id", "source", "_size"], "inner")
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import stored, text_slices
+from lectern.llm.common import dropped, settled, stored, text_slices
 from lectern.llm.words import Words, factors_of, mixed
 
 #: A line of at least so many words is removed where it is repeated.
@@ -192,11 +192,48 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes of the text. A null text stays null. Columns of ``docs`` that have the names of the two
     new ones are replaced. An empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    content = F.coalesce(F.col(text_col), F.lit(""))
+    # Whatever the columns are called, they can't clash with those added here.
+    names = [c for c in docs.columns if c not in ("removed", "original_chars")]
+    wide = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    key = F.coalesce(F.col(f"c{names.index(id_col)}").cast("long"), F.lit(_NO_ID))
+    text = f"c{names.index(text_col)}"
+    content = F.coalesce(F.col(text), F.lit(""))
     # The seed of the second hash is another one, so that they don't collide together.
     version = F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(1), content).alias("b"))
-    kind = "struct<a: bigint, b: bigint>"
+    texts = wide.select(key.alias("key"), version.alias("version"), F.col(text).alias("text"))
+    per_text = settled(lambda: _repeats_by_text(texts), "repeats-by-text", docs.sparkSession)
+
+    per_text = per_text.withColumnsRenamed({"key": "_key", "version": "_version"})
+    joined = wide.withColumns({"_key": key, "_version": version}).join(per_text, ["_key", "_version"], "left").drop("_key", "_version")
+    held = joined.columns[:-1]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sources in text_slices(batch, text):
+                marks = part.column("_again").to_pylist()
+                hit = [i for i, m in enumerate(marks) if m]
+                units = Units([sources[i] for i in hit])
+                removed: list[list[dict]] = [[] for _ in sources]
+                kept = part.column(text).to_pylist()
+                for n, i in enumerate(hit):
+                    spans = _spans(units, n, sources[i], units.removed(n, marks[i]))
+                    removed[i] = [{"start": a, "length": b - a} for a, b in spans]
+                    ends = [0, *(b for _, b in spans)]
+                    begins = [*(a for a, _ in spans), len(sources[i])]
+                    kept[i] = "".join(sources[i][a:b] for a, b in zip(ends, begins, strict=True))
+                columns = {n: part.column(n) for n in held} | {text: pa.array(kept, part.schema.field(text).type)}
+                columns["removed"] = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+                columns["original_chars"] = pa.array(map(len, sources), pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    span = T.StructType().add("start", "long").add("length", "long")
+    schema = T.StructType(joined.schema.fields[:-1]).add("removed", T.ArrayType(span)).add("original_chars", "long")
+    return joined.mapInArrow(cut, schema).toDF(*names, "removed", "original_chars")
+
+
+def _repeats_by_text(texts: DataFrame) -> DataFrame:
+    """``key``, ``version`` and the places (``_again``) of the units to remove, of the texts that have any."""
+    kind, spark = "struct<a: bigint, b: bigint>", texts.sparkSession
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,15 +249,38 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(digests[held], pa.int64()))
                 yield pa.record_batch([part.column("key"), part.column("version"), lists], names=["key", "version", "digests"])
 
-    texts = docs.select(key.alias("key"), version.alias("version"), F.col(text_col).alias("text"))
     looked = stored(texts.mapInArrow(look, f"key long, version {kind}, digests array<long>"), "least-hashes")
-    # Which least hashes and lines come more than once? Rows that are one document count as one only later.
-    # Should two texts share ``h``, each of them is also looked up by what repeats of the other: no harm.
+    ranks = settled(lambda: _ranked(looked.select("key", "version")), "text-ranks", spark)
+    often = settled(lambda: _repeated_lookups(looked, ranks), "repeated-lookups", spark)
+    dropped(looked)
+    units = settled(lambda: _repeatable_units(texts, often), "units", spark)
+    dropped(often)
+    # One number for the text's rank and the place in it, in this order.
+    at = F.shiftleft("rank", 31).bitwiseOR(F.col("unit.place").cast("long"))
+    units = units.select("rank", F.explode("units").alias("unit")).select("unit.digest", at.alias("at"))
+    ends = units.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    firsts = settled(lambda: ends.where("first < last").select("digest", "first"), "repeated-units", spark)
+    again = units.join(firsts, "digest").where("at > first")
+    number = F.col("at").bitwiseAND((1 << 31) - 1).cast("int")
+    per_text = again.groupBy(F.shiftright("at", 31).alias("rank")).agg(F.collect_set(number).alias("_again"))
+    return per_text.join(ranks, "rank").select("key", "version", "_again")
+
+
+def _repeated_lookups(looked: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``key``, ``version``, ``rank`` and the least hashes and lines (``often``) that come more than once.
+
+    Rows that are one document count as one only later. Should two texts share ``h``, each of them is
+    also looked up by what repeats of the other: no harm.
+    """
     lookups = looked.select(F.xxhash64("key", "version").alias("h"), F.explode("digests").alias("digest"))
-    often = stored(lookups.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated-hashes")
-    often = lookups.join(often, "digest").groupBy("h").agg(F.collect_set("digest").alias("often"))
-    ranks = _ranked(looked.select("key", "version"))
-    often = ranks.withColumn("h", F.xxhash64("key", "version")).join(often, "h").select("key", "version", "rank", "often")
+    counted = lookups.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    repeated = settled(lambda: counted, "repeated-hashes", looked.sparkSession)
+    often = lookups.join(repeated, "digest").groupBy("h").agg(F.collect_set("digest").alias("often"))
+    return ranks.withColumn("h", F.xxhash64("key", "version")).join(often, "h").select("key", "version", "rank", "often")
+
+
+def _repeatable_units(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """The digests of the lines and runs that can be repeated, with their places, of the texts that have any."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,41 +303,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([part.column("rank"), lists], names=["rank", "units"])
 
     again = texts.join(often, ["key", "version"]).select("rank", "text", "often")
-    units = stored(again.mapInArrow(digest, "rank long, units array<struct<place: int, digest: bigint>>"), "units")
-    # One number for the text's rank and the place in it, in this order.
-    at = F.shiftleft("rank", 31).bitwiseOR(F.col("unit.place").cast("long"))
-    units = units.select("rank", F.explode("units").alias("unit")).select("unit.digest", at.alias("at"))
-    firsts = units.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
-    firsts = stored(firsts.select("digest", "first"), "repeated-units")
-    again = units.join(firsts, "digest").where("at > first")
-    number = F.col("at").bitwiseAND((1 << 31) - 1).cast("int")
-    per_text = again.groupBy(F.shiftright("at", 31).alias("rank")).agg(F.collect_set(number).alias("_again"))
-    per_text = stored(per_text.join(ranks, "rank").select("key", "version", "_again"), "repeats-by-text")
-
-    wide = docs.drop("removed", "original_chars").withColumns({"_key": key, "_version": version})
-    per_text = per_text.withColumnsRenamed({"key": "_key", "version": "_version"})
-    joined = wide.join(per_text, ["_key", "_version"], "left").drop("_key", "_version")
-    names = joined.columns[:-1]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, sources in text_slices(batch, text_col):
-                marks = part.column("_again").to_pylist()
-                hit = [i for i, m in enumerate(marks) if m]
-                units = Units([sources[i] for i in hit])
-                removed: list[list[dict]] = [[] for _ in sources]
-                kept = part.column(text_col).to_pylist()
-                for n, i in enumerate(hit):
-                    spans = _spans(units, n, sources[i], units.removed(n, marks[i]))
-                    removed[i] = [{"start": a, "length": b - a} for a, b in spans]
-                    ends = [0, *(b for _, b in spans)]
-                    begins = [*(a for a, _ in spans), len(sources[i])]
-                    kept[i] = "".join(sources[i][a:b] for a, b in zip(ends, begins, strict=True))
-                columns = {n: part.column(n) for n in names} | {text_col: pa.array(kept, part.schema.field(text_col).type)}
-                columns["removed"] = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-                columns["original_chars"] = pa.array(map(len, sources), pa.int64())
-                yield pa.RecordBatch.from_pydict(columns)
-
-    span = T.StructType().add("start", "long").add("length", "long")
-    schema = T.StructType(joined.schema.fields[:-1]).add("removed", T.ArrayType(span)).add("original_chars", "long")
-    return joined.mapInArrow(cut, schema)
+    return again.mapInArrow(digest, "rank long, units array<struct<place: int, digest: bigint>>")

@@ -1,7 +1,9 @@
 """Repeated units against a plain pass over the documents in order."""
 
 import random
+import re
 import zlib
+from pathlib import Path
 
 from lectern.llm import substrings
 from lectern.llm.substrings import Units
@@ -133,3 +135,97 @@ def test_units_cover_each_word_once():
 
 def test_no_rows(spark):
     assert substrings.without_repeats(documents(spark, [])).count() == 0
+
+
+def plain(rows):
+    """The rules on word tuples, without any code of the module: what stays of each (id, text)."""
+    seen, out = set(), {}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for i, text in sorted(set(rows)):
+        found = [(m.start(), m.end(), m.group().translate(lower)) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        runs = [tuple(w for *_, w in found[n : n + 20]) for n in range(len(found) - 19)]
+        again = []
+        for n, run in enumerate(runs):
+            if ("run", run) in seen:
+                again.append(n)
+            seen.add(("run", run))
+        goes = {w for n in again for w in range(n, n + 20)}
+        for n in again:  # alike and overlapping: the first stays whole
+            for m in range(max(0, n - 19), n):
+                if runs[m] == runs[n] and m not in again:
+                    goes -= set(range(m, m + 20))
+        lines, start = [], 0
+        for n in range(len(found)):
+            if n + 1 == len(found) or "\n" in text[found[n][1] : found[n + 1][0]]:
+                lines.append(range(start, n + 1))
+                start = n + 1
+        for line in lines:
+            key = ("line", tuple(found[n][2] for n in line))
+            if len(line) >= 10:
+                if key in seen:
+                    goes |= set(line)
+                seen.add(key)
+        left, at, n = [], 0, 0
+        while n < len(found):
+            if n not in goes:
+                n += 1
+                continue
+            m = n
+            while m in goes:
+                m += 1
+            begin, stop = found[n][0], found[m - 1][1]
+            if (begin == 0 or text[begin - 1] == "\n") and text[stop : stop + 1] == "\n":
+                stop += 1
+            left.append(text[at:begin])
+            at, n = stop, m
+        out[i, text] = "".join(left) + text[at:]
+    return out
+
+
+def test_equals_the_rules_on_word_tuples(spark):
+    chance = random.Random(7)
+    passages = [words(chance, n) for n in (19, 20, 21, 35, 60)]
+    lines = [words(chance, n) for n in (9, 10, 14)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(chance.randrange(1, 6)):
+            pick = chance.randrange(4)
+            if pick == 0:
+                parts.append(chance.choice(passages).upper() if chance.random() < 0.2 else chance.choice(passages))
+            elif pick == 1:
+                parts.append("\n" + chance.choice(lines) + "\n")
+            elif pick == 2:
+                parts.append(words(chance, chance.randrange(1, 30)))
+            else:
+                cut = chance.choice(passages[2:]).split()
+                low = chance.randrange(len(cut))
+                parts.append(" ".join(cut[low : low + chance.randrange(5, 40)]))
+        rows.append((i, " ".join(parts)))
+    rows += [(100, "ha " * 60), (101, "ha " * 25 + "end"), rows[3]]
+    want = plain(rows)
+    got = substrings.without_repeats(documents(spark, rows)).collect()
+    before = dict(rows)
+    assert {(r.doc_id, r.text) for r in got} == {(i, left) for (i, _), left in want.items()}
+    assert sum(r.text != before[r.doc_id] for r in got) > 30
+
+
+def test_columns_of_any_name_stay(spark):
+    line = "one line of more than ten words that comes again and again here"
+    docs = spark.createDataFrame(
+        [(1, line, "k1", 7, [1], 0.5, "x"), (2, line + "\nmore", "k2", 8, None, 1.5, "y")],
+        "doc_id long, text string, _key string, _version int, _again array<int>, `a.b` double, c0 string",
+    )
+    got = substrings.without_repeats(docs)
+    assert got.columns == [*docs.columns, "removed", "original_chars"]
+    rows = {r.doc_id: r.asDict() for r in got.collect()}
+    assert (rows[1]["text"], rows[2]["text"]) == (line, "more")
+    assert [rows[2][c] for c in docs.columns[2:]] == ["k2", 8, None, 1.5, "y"]
+
+
+def test_only_the_last_steps_table_is_left(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.iterdir())
+    rows = [(i, words(random.Random(i % 5), 40)) for i in range(30)]
+    assert substrings.without_repeats(documents(spark, rows)).where("size(removed) > 0").count() == 25
+    assert [p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before] == ["repeats-by-text"]
