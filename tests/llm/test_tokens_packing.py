@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lectern.llm import packing, tokens
+from lectern.llm import common, packing, tokens
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,12 +46,26 @@ def test_counts_of_no_rows(spark):
     assert tokens.token_counts(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
 
 
-def test_the_memory_of_pieces_may_be_small(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    known = tokens.PieceCounts(WORDS)
-    for pieces in ({"alpha", "beta"}, {"gamma", "delta"}, {"alpha", "epsilon", "zeta", "eta"}):
-        known.learn(pieces)
-        assert pieces <= set(known.recent)
+@pytest.mark.parametrize("frequent,held,slice_chars", [(3, 2, 10), (0, 10**6, 10**6), (10**6, 5, 50)])
+def test_rare_pre_tokens_are_joined(spark, monkeypatch, frequent, held, slice_chars):
+    """Whatever part of the pre-tokens goes to the texts, the others come from their table."""
+    monkeypatch.setattr(tokens, "FREQUENT", frequent)
+    monkeypatch.setattr(tokens, "HELD", held)
+    monkeypatch.setattr(common, "SLICE_CHARS", slice_chars)
+    library = Tokenizer.from_file(WORDS)
+    chance = random.Random(3)
+    words = [f"w{n}" * chance.randrange(1, 4) for n in range(50)]
+    rows = [(i % 70, " ".join(chance.choices(words, k=chance.randrange(40)))) for i in range(150)] + list(enumerate(TEXTS)) + [(None, "w1 w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_tokens) for r in tokens.token_counts(df, WORDS).collect())
+    assert got == Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
+def test_each_distinct_pre_token_is_counted_once(spark):
+    df = spark.createDataFrame([(i, f"same words again {i % 7}") for i in range(100)], "id long, text string").repartition(5)
+    table = tokens.piece_table(df.select("id", "text"), WORDS).collect()
+    assert {r.piece: r.uses for r in table} == {"same": 100, "words": 100, "again": 100} | {str(n): len(range(n, 100, 7)) for n in range(7)}
+    assert len(table) == 10 and all(r.n >= 1 for r in table)
 
 
 def test_every_token_of_the_ranks_encodes_to_itself():
