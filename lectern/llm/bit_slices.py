@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import stored
+from lectern.operators.ordering import first_rows
+from lectern.operators.shares import growing_shares, share_of
+
 #: Rows of an index block.
 BLOCK_ROWS = 65_536
 #: Bits kept of a component.
@@ -135,48 +139,75 @@ def top_inner_products(vectors: DataFrame, questions: Column, k: int = 10, scale
 
     Gives ``query_id``, ``rank`` (from 1), the id and ``score``; ties go to the smaller id.
     Questions go to the tasks in batches of at most ``QUESTION_BYTES``, each against all rows in
-    blocks; a block gives at most ``k`` rows for a question. A vector that is null or holds a null
+    blocks, which are read in growing shares: of a share only rows go on that can still be among a
+    question's ``k`` best of all shares so far. A vector that is null or holds a null
     or non-finite component takes no part, nor does a null id; a shorter vector counts as
     padded with zeros. Rows with the question's id are its own; other repeated rows count each.
     Extra columns are ignored; an empty table gives no rows. Scores must fit 63 bits.
     """
     integers = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), questions.alias("asks"))
-    integers = integers.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    integers = stored(integers.where(F.col("id").isNotNull() & F.col("v").isNotNull()), "whole-vectors")
     asking = integers.where("asks").select("id", "v").distinct()
     size = asking.agg(F.sum(8 * (F.size("v") + 1)).alias("bytes")).first()["bytes"] or 0
-    batches = -(-size // QUESTION_BYTES) or 1
-    schema = "query_id long, id long, score long"
+    batches, rows = -(-size // QUESTION_BYTES) or 1, integers.count()
     found = None
     for i in range(batches):
         batch = asking.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).toArrow()
         asked = np.asarray(batch.column("id")), [np.asarray(x.values, np.int64) for x in batch.column("v")]
-
-        def search(rows: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            held, count = [], 0
-            for batch in rows:
-                held.append(batch)
-                count += batch.num_rows
-                if count >= BLOCK_ROWS:
-                    yield _best(held, *asked, k)
-                    held, count = [], 0
-            if count and len(asked[0]):
-                yield _best(held, *asked, k)
-
-        part = integers.select("id", "v").mapInArrow(search, schema)
+        part = _candidates(integers.select("id", "v"), rows, asked, k)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        first_rows(found, ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank")
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
     )
 
 
-def _best(batches: list[pa.RecordBatch], ids: np.ndarray, vectors: list[np.ndarray], k: int) -> pa.RecordBatch:
+def _candidates(integers: DataFrame, rows: int, asked: tuple[np.ndarray, list[np.ndarray]], k: int) -> DataFrame:
+    """Rows that can be among the ``k`` best of the batch's questions; those before the last share are down to ``k``.
+
+    A question is known by its id: were an id asked for with several vectors, its bound is that of all.
+    """
+    ids = asked[0]
+    least, last = np.full(len(ids), np.iinfo(np.int64).min), np.full(len(ids), np.iinfo(np.int64).max)
+    best = None
+    for low, high in growing_shares(rows):
+        found = _search(share_of(integers, "id", low, high), asked, k, least, last)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        if high < 1.0:
+            best = stored(first_rows(found, ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank"), "best-so-far")
+            known = best.where(F.col("rank") == k).toPandas().set_index("query_id").reindex(ids)
+            has = known["score"].notna().to_numpy()
+            least[has], last[has] = known["score"][has].astype(np.int64), known["id"][has].astype(np.int64)
+    return found
+
+
+def _search(integers: DataFrame, asked: tuple[np.ndarray, list[np.ndarray]], k: int, least: np.ndarray, last: np.ndarray) -> DataFrame:
+    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in rows:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= BLOCK_ROWS:
+                yield _best(held, *asked, k, least, last)
+                held, count = [], 0
+        if count and len(asked[0]):
+            yield _best(held, *asked, k, least, last)
+
+    return integers.mapInArrow(search, "query_id long, id long, score long")
+
+
+def _best(batches: list[pa.RecordBatch], ids: np.ndarray, vectors: list[np.ndarray], k: int, least: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """The block's best rows of each question that do not come after its place (``least`` score, ``last`` id)."""
     rows = pa.Table.from_batches(batches).combine_chunks()
     lists = [np.asarray(x.values, np.int64) for x in rows.column("v")]
     width = max(map(len, [*lists, *vectors]))
     block = BitSlicedBlock(np.asarray(rows.column("id"), np.int64), padded(lists, width))
-    best = [block.top(q, int(i), k) for i, q in zip(ids, padded(vectors, width), strict=True)]
+    best = []
+    for i, question, score, ident in zip(ids, padded(vectors, width), least, last, strict=True):
+        found, scores = block.top(question, int(i), k)
+        kept = (scores > score) | ((scores == score) & (found <= ident))
+        best.append((found[kept], scores[kept]))
     return pa.record_batch(
         [
             pa.array(np.repeat(ids, [len(b[0]) for b in best]), pa.int64()),

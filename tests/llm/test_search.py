@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,6 +55,23 @@ def test_small_question_batches_give_the_same(spark, monkeypatch):
     assert search(spark, rows) == brute(rows, 5)
 
 
+def test_growing_shares_give_the_same(spark, monkeypatch):
+    chance = random.Random(3)
+    monkeypatch.setattr(bit_slices, "growing_shares", lambda rows: [(0.0, 0.1), (0.1, 0.5), (0.5, 1.0)])
+    rows = [(i, [chance.gauss(0, 1) for _ in range(6)] if i % 3 else [0.5] * 6) for i in range(500)] + [(20, [0.1] * 6), (20, [0.9] * 6)]
+    got, want = search(spark, rows), brute([r for r in rows if r[0] != 20], 5)
+    assert {r for r in got if r[0] != 20} == {r for r in brute(rows, 5) if r[0] != 20} and want
+
+
+@pytest.mark.parametrize("tasks", [4, 32])
+def test_rows_that_go_on_follow_the_questions_and_not_the_tasks(spark, tasks):
+    values = np.floor(np.random.default_rng(4).normal(size=(40_000, 6)) * 64).astype(int)
+    values[::3] = 20
+    df = spark.createDataFrame(pa.table({"id": np.arange(len(values)), "v": values.tolist()})).repartition(tasks)
+    asked = np.arange(20) * 100, [values[i * 100].astype(np.int64) for i in range(20)]
+    assert bit_slices._candidates(df, len(values), asked, 10).count() <= 3 * 20 * 10
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.data())
 def test_a_block(data):
