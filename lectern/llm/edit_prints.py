@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import settled, stored
 from lectern.llm.graph import components
 from lectern.llm.words import mixed
 
@@ -35,8 +35,12 @@ MEAN_MOVE = 1.5
 WALK_CHARS, LOOK = 16_000_000, 32
 #: Documents of a range of ids, and the most ranges.
 RANGE_DOCUMENTS, MOST_RANGES = 1000, 20_000
-#: Bands and steps in each for near texts.
-BANDS = 32
+#: Bands for near texts, and steps in each. Two texts of likeness 0.8 share no band with a chance of 0.2 %.
+BANDS, BAND_STEPS = 12, 4
+#: A text has keys at its own level and so many more, so that it meets texts up to 1.4 times as long.
+MORE_LEVELS = 2
+#: Prints that a task compares with each other at a time.
+BLOCK_PRINTS = 1024
 
 _samples: list[np.ndarray] = [np.zeros(1, np.int64)]
 _reach: list[int] = [1]
@@ -159,37 +163,10 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents go to ranges of ids, each range with the first document of the one below, so that
     every text is shuffled once. A null text is empty; a null id comes last; rows with the same
-    id go by a hash of their text; extra columns are ignored; an empty table gives no rows.
+    id go by a hash of their text, and where they are many (null ids, say) by ranges of that hash.
+    Extra columns are ignored; an empty table gives no rows.
     """
-    least = -(1 << 63)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"key": F.coalesce("id", F.lit(least)), "tie": F.xxhash64("text")})
-    count = rows.select("key").count()
-    ranges = min(MOST_RANGES, -(-count // RANGE_DOCUMENTS)) or 1
-    edges = sorted(set(rows.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(np.float64), side="right").astype(np.int32))
-
-    tops = rows.select("key").withColumn("range", range_of("key")).groupBy("range").agg(F.max("key").alias("top"))
-    # At most MOST_RANGES rows: which range each range's first document goes to besides its own.
-    tops = sorted(tops.collect())
-    firsts = {low["top"]: high["range"] for low, high in zip(tops, [*tops[1:], *tops[:1]], strict=True)}
-    keys = np.array(sorted(firsts), np.int64)
-    values = np.array([firsts[k] for k in keys.tolist()], np.int32)
-
-    @F.pandas_udf("array<struct<range: int, after: boolean>>")
-    def places(key: pd.Series) -> pd.Series:
-        own = np.searchsorted(edges, key.to_numpy(np.float64), side="right")
-        where = np.minimum(np.searchsorted(keys, key.to_numpy(np.int64)), len(keys) - 1)
-        first = keys[where] == key.to_numpy(np.int64)
-        return pd.Series(
-            [[{"range": int(r), "after": False}, *([{"range": int(values[w]), "after": True}] if f else [])] for r, w, f in zip(own, where, first, strict=True)]
-        )
-
-    dealt = rows.withColumn("place", F.explode(places("key"))).select("id", "text", "key", "tie", "place.range", "place.after")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "after", F.col("key").desc(), "tie").select("id", "text", "range", "after")
+    dealt = dealt_ranges(docs, id_col, text_col)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -209,6 +186,54 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return dealt.mapInArrow(compare, schema).withColumnRenamed("id", id_col)
 
 
+def dealt_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``text``, ``range`` and ``after`` (the first document of the range below), in the order in
+    which the documents of a range follow each other."""
+    least = -(1 << 63)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumns({"key": F.coalesce("id", F.lit(least)), "tie": F.xxhash64("text")})
+    count = rows.select("key").count()
+    ranges = min(MOST_RANGES, -(-count // RANGE_DOCUMENTS)) or 1
+    found = rows.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    # An id that is many edges at once has that many ranges.
+    edges = np.array([max(least, min(int(e), -(least + 1))) for e in sorted(found)], np.int64)
+
+    def range_at(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(edges, key, side="left"), np.searchsorted(edges, key, side="right")
+        part = (tie.astype(np.float64) + 2.0**63) / 2.0**64 * (high - low + 1)
+        # Ids descend through the ranges, and for one id the hashes ascend.
+        return (high - np.clip(part.astype(np.int64), 0, high - low)).astype(np.int32)
+
+    @F.pandas_udf("int")
+    def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(range_at(key.to_numpy(np.int64), tie.to_numpy(np.int64)))
+
+    placed = rows.select("key", F.struct("key", F.bitwise_not("tie").alias("untie")).alias("place"), range_of("key", "tie").alias("range"))
+    tops = placed.groupBy("range").agg(F.max("place").alias("top"))
+    # At most MOST_RANGES rows: which range each range's first document goes to besides its own.
+    tops = sorted(tops.collect())
+    firsts = {(low["top"]["key"], ~low["top"]["untie"]): high["range"] for low, high in zip(tops, [*tops[1:], *tops[:1]], strict=True)}
+    keys, ties = (np.array([k[i] for k in firsts], np.int64) for i in (0, 1))
+    codes = _code(keys, ties)
+    order = np.argsort(codes)
+    keys, ties, codes = keys[order], ties[order], codes[order]
+    values = np.array(list(firsts.values()), np.int32)[order]
+
+    @F.pandas_udf("array<struct<range: int, after: boolean>>")
+    def places(key: pd.Series, tie: pd.Series) -> pd.Series:
+        key, tie = key.to_numpy(np.int64), tie.to_numpy(np.int64)
+        own = range_at(key, tie)
+        where = np.minimum(np.searchsorted(codes, _code(key, tie)), len(codes) - 1)
+        first = (keys[where] == key) & (ties[where] == tie)
+        return pd.Series(
+            [[{"range": int(r), "after": False}, *([{"range": int(values[w]), "after": True}] if f else [])] for r, w, f in zip(own, where, first, strict=True)]
+        )
+
+    dealt = rows.withColumn("place", F.explode(places("key", "tie"))).select("id", "text", "key", "tie", "place.range", "place.after")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "after", F.col("key").desc(), "tie")
+    return dealt.select("id", "text", "range", "after")
+
+
 def _compared(rows: list[tuple]) -> pa.RecordBatch:
     """Results for each row that is followed by another one of its range."""
     firsts = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i + 1][2] == rows[i][2]]
@@ -228,43 +253,142 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """(id, ``class_id``): the smallest id that links of likeness ``least`` or more lead to.
+def _code(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    return mixed(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tie.astype(np.uint64))
+
+
+_picked: dict[int, np.ndarray] = {}
 
-    Equal fingerprints are one class. A fingerprint has ``BANDS`` keys at its own level and at the next,
-    each over the sampled steps that a hash gives to the band; in each bucket all are compared with the
-    smallest, so that large groups make no pairs of all with all.
-    """
-    rows = prints.select(F.col(id_col).alias("id"), "fingerprint")
-    kinds = stored(rows.groupBy("fingerprint").agg(F.min("id").alias("id")), "prints")
 
+def band_steps(level: int) -> np.ndarray:
+    """For each band, which of the sampled steps of ``level`` it looks at."""
+    if level not in _picked:
+        steps = sample(level).astype(np.uint64)
+        of_band = [np.argsort(mixed(steps + np.uint64((band + 1) << 50)))[:BAND_STEPS] for band in range(BANDS)]
+        _picked[level] = np.sort(np.array(of_band), axis=1)
+    return _picked[level]
+
+
+def band_keys(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Level, key) of a print's bands at its own level and the next ones; a band of ended steps has none."""
+    levels, keys = [], []
+    for level in range(int(steps[0]), int(steps[0]) + MORE_LEVELS + 1):
+        picked = band_steps(level)
+        seen = at_level(steps, level)[picked]
+        terms = mixed(sample(level)[picked].astype(np.uint64) * np.uint64(257) + seen)
+        names = (np.uint64(level * BANDS) + np.arange(BANDS, dtype=np.uint64)) << np.uint64(32)
+        # Sums of terms would forget their order; each is mixed with its place.
+        sums = mixed(terms + np.arange(terms.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        some = (seen > 0).any(axis=1)
+        keys.append(mixed(sums + names)[some])
+        levels.append(np.full(int(some.sum()), level))
+    return np.concatenate(levels), np.concatenate(keys)
+
+
+def _bands(kinds: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"id": [], "key": []}
-            for i, fingerprint in zip(batch.column("id").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                steps = steps_of(fingerprint)
-                for level in (int(steps[0]), int(steps[0]) + 1):
-                    seen = at_level(steps, level)
-                    band = mixed(sample(level).astype(np.uint64) + np.uint64(1 << 50)) % np.uint64(BANDS)
-                    terms = mixed(sample(level).astype(np.uint64) * np.uint64(257) + seen)
-                    sums = np.zeros(BANDS, np.uint64)
-                    np.add.at(sums, band.astype(np.int64), terms)
-                    for b in np.unique(band[seen > 0]).astype(np.int64):
-                        out["id"].append(i)
-                        out["key"].append(int(mixed(sums[b : b + 1] + np.uint64(level * BANDS + b)).view(np.int64)[0]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("key", pa.int64())]))
-
-    bands = stored(kinds.where("id IS NOT NULL").mapInArrow(keys, "id long, key long"), "print-bands")
-    leads = stored(bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "print-leads")
+            found = [band_keys(steps_of(f)) for f in batch.column("fingerprint").to_pylist()]
+            if not found:
+                continue
+            ids = np.repeat(np.asarray(batch.column("id"), np.int64), [len(k) for _, k in found])
+            levels, codes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            columns = [pa.array(ids), pa.array(levels.astype(np.int32)), pa.array(codes.view(np.int64))]
+            yield pa.record_batch(columns, names=["id", "level", "key"])
+
+    return kinds.select("id", "fingerprint").mapInArrow(keys, "id long, level int, key long")
+
+
+def _alike_leads(bands: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
+    """Links of each bucket's prints with its smallest id, so that large groups make no pairs of all with all."""
+    leads = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    leads = settled(lambda: leads, "print-leads", bands.sparkSession)
     pairs = bands.join(leads, "key").where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(pairs, "print-pairs")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(steps_of(x), steps_of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
     sides = [kinds.select(F.col("id").alias(x), F.col("fingerprint").alias(f"{x}_print")) for x in "ab"]
-    links = pairs.join(sides[0], "a").join(sides[1], "b").where(alike("a_print", "b_print") >= least).select("a", "b")
-    labels = components(links).withColumnRenamed("node", "first")
-    named = rows.join(kinds.withColumnRenamed("id", "first"), "fingerprint").join(labels, "first", "left")
-    return named.select(F.col("id").alias(id_col), F.coalesce("component", "first").alias("class_id"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(alike("a_print", "b_print") >= least).select("a", "b")
+
+
+def likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``likeness`` of each row of ``x`` to each of ``y``, steps of one level."""
+    agree = np.zeros((len(x), len(y)), np.int32)
+    some = np.zeros((len(x), len(y)), np.int32)
+    for step in range(x.shape[1]):
+        a, b = x[:, step, None], y[None, :, step]
+        goes_on = (a > 0) | (b > 0)
+        some += goes_on
+        agree += goes_on & (a == b)
+    return np.where(some > 0, agree / np.maximum(some, 1), 1.0)
+
+
+def _alike_in_blocks(bands: DataFrame, kinds: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The links that leads miss: in buckets whose prints are still in several components, prints of different
+    ones are compared in blocks inside tasks, and only links become rows.
+
+    A pair is compared where the bucket is of the higher of its two levels, at which it is judged.
+    """
+    named = bands.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    torn = settled(
+        lambda: sizes.where("low < high").select("key", F.ceil(F.col("n") / BLOCK_PRINTS).alias("blocks")), "torn-buckets", bands.sparkSession
+    )
+    members = named.join(torn, "key").join(kinds.select("id", "fingerprint"), "id")
+    member = F.struct("id", "component", "fingerprint")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    lists = stored(dealt.groupBy("key", "level", "block").agg(F.collect_list(member).alias("members")), "print-blocks")
+    others = lists.select("key", "level", F.col("block").alias("other"), F.col("members").alias("others"))
+
+    def side(values: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, of, prints = values.flatten()
+        steps = [steps_of(p) for p in prints.to_pylist()]
+        own = np.array([int(x[0]) for x in steps])
+        return np.asarray(ids), np.asarray(of), own, np.array([at_level(x, level) for x in steps])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                level = batch.column("level")[i].as_py()
+                a, b = (side(batch.column(c)[i].values, level) for c in ("members", "others"))
+                apart = (a[1][:, None] != b[1][None, :]) & (np.maximum(a[2][:, None], b[2][None, :]) == level)
+                x, y = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+                linked = (likenesses(a[3][x], b[3][y]) >= least) & apart[np.ix_(x, y)]
+                at = np.nonzero(linked)
+                yield pa.record_batch([pa.array(a[0][x][at[0]]), pa.array(b[0][y][at[1]])], names=["a", "b"])
+
+    both = lists.join(others, ["key", "level"]).where("block <= other").select("level", "members", "others")
+    found = both.mapInArrow(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(``fingerprint``, ``class_id``): the smallest id that links of likeness ``least`` or more lead to.
+
+    Equal fingerprints are one class. A fingerprint has ``BANDS`` keys, each over a few of the sampled
+    steps, at its own level and the next ``MORE_LEVELS``; two texts are judged at the higher of their
+    levels, where both have keys. In each bucket all are compared with the smallest; what is then
+    still apart in a bucket is compared in blocks. A fingerprint without any id has no class.
+    """
+    spark = prints.sparkSession
+    rows = prints.select(F.col(id_col).cast("long").alias("id"), "fingerprint")
+    kinds = stored(rows.groupBy("fingerprint").agg(F.min("id").alias("id")), "prints")
+    known = kinds.where("id IS NOT NULL")
+    bands = stored(_bands(known), "print-bands")
+    links = settled(lambda: _alike_leads(bands, known, least), "print-links", spark)
+    labels = settled(lambda: components(links), "print-components", spark)
+    more = settled(lambda: _alike_in_blocks(bands, known, labels, least), "more-print-links", spark)
+    if not more.isEmpty():
+        labels = settled(lambda: components(links.unionByName(more)), "print-components", spark)
+    named = kinds.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    return named.select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+
+
+def with_edits_and_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``with_edits`` and the ``class_id`` of each text: the smallest id among the texts it is near to, in steps."""
+    spark = docs.sparkSession
+    prints = settled(lambda: with_edits(docs, id_col, text_col), "edit-prints", spark)
+    classes = settled(lambda: near_classes(prints, least, id_col), "print-classes", spark)
+    return prints.join(classes, "fingerprint").select(*prints.columns, "class_id")

@@ -50,7 +50,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return edit_prints.with_edits(table(spark, folder, "documents"))
+    return edit_prints.with_edits_and_classes(table(spark, folder, "documents"))
 
 
 def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 from statistics import mean
 
+from pyspark.sql import functions as F
+
 from lectern.llm import edit_prints as E
 
 
@@ -24,9 +26,9 @@ def near(a, b):
     return E.likeness(x, y)
 
 
-def brute(rows):
+def brute(rows, ties=None):
     """(id, n_chars, sha256, fingerprint) of each row; next comes the following smaller id, then the first."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]] if ties else 0))
     out = []
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -39,7 +41,8 @@ def brute(rows):
 def check(spark, rows):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string").repartition(3)
     got = [tuple(r) for r in E.with_edits(df).collect()]
-    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+    ties = {r.text: r.tie for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()}
+    assert sorted(got, key=str) == sorted(brute(rows, ties), key=str)
 
 
 def test_rows(spark, monkeypatch):
@@ -88,18 +91,88 @@ def test_a_longer_sample_holds_what_it_shares():
         assert low <= set(E.sample(level).tolist())
 
 
-def test_near_classes(spark):
+def all_pairs(rows, least=0.8):
+    """Classes by comparing everything: id to the smallest id reachable."""
+    steps = [(i, E.seen_steps([t])[0]) for i, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = [(i, j) for n, (i, a) in enumerate(steps) for j, b in steps[:n] if E.likeness(a, b) >= least]
+    for i, j in links:
+        x, y = sorted((top(i), top(j)))
+        up[y] = x
+    return {i: top(i) for i in up}, links
+
+
+def classes(spark, rows):
+    prints = spark.createDataFrame([(i, E.print_of(E.seen_steps([t])[0])) for i, t in rows], "doc_id long, fingerprint string")
+    by_print = {r.fingerprint: r.class_id for r in E.near_classes(prints).collect()}
+    return {r.doc_id: by_print[r.fingerprint] for r in prints.collect()}
+
+
+def test_near_classes_are_those_of_all_pairs(spark):
+    """Copies, edits and prefixes of many sizes, at the default likeness."""
     chance = random.Random(4)
-    rows, want = [], {}
-    for group in range(12):
-        base = text(chance, 1500)
+    rows = []
+    for group in range(40):
+        base = text(chance, chance.choice([30, 200, 1500, 4000]))
         for n in range(4):
-            i = group * 10 + n
-            rows.append((i, base if n < 2 else edited(chance, base, 1)))
-            want[i] = group * 10
-    rows.append((500, text(chance, 1500)))
-    want[500] = 500
-    prints = spark.createDataFrame([(i, E.print_of(E.seen_steps([t])[0])) for i, t in rows], "doc_id long, fingerprint string")
-    got = {r.doc_id: r.class_id for r in E.near_classes(prints, least=0.6).collect()}
-    assert sum(got[i] == want[i] for i in want) >= len(want) - 2
-    assert len(set(got.values())) >= 13
+            kind = chance.randrange(4)
+            more = [base, edited(chance, base, 1 + len(base) // 800), base[: int(len(base) * 0.9)], base + text(chance, len(base) // 8)][kind]
+            rows.append((group * 10 + n, more))
+    rows += [(1000 + i, text(chance, 1500)) for i in range(20)] + [(2000, ""), (2001, "")]
+    want, links = all_pairs(rows)
+    got = classes(spark, rows)
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 60 and found >= 0.99 * len(links)
+    assert all(want[got[i]] == want[i] for i in want)  # nothing is linked that all pairs wouldn't link
+
+
+def test_a_link_beside_the_smallest_of_a_bucket_is_found(spark):
+    """A text that shares a part with two that are alike is the smallest id of their common buckets."""
+    chance = random.Random(5)
+    rows = []
+    for group in range(30):
+        shared, own = text(chance, 1000), text(chance, 1000)
+        alike = shared + own
+        rows += [(group * 10, shared + text(chance, 1000)), (group * 10 + 1, alike), (group * 10 + 2, edited(chance, alike, 2))]
+    want, links = all_pairs(rows)
+    got = classes(spark, rows)
+    assert len(links) >= 25 and sum(got[i] == got[j] for i, j in links) >= 0.95 * len(links)
+    assert all(want[got[i]] == want[i] for i in want)
+
+
+def test_prefixes_two_levels_apart_meet(spark):
+    chance = random.Random(6)
+    rows = []
+    for group in range(40):
+        base = text(chance, 900 + 40 * group)
+        rows += [(group * 10, base), (group * 10 + 1, base[: int(len(base) * 0.82)])]
+    want, links = all_pairs(rows)
+    got = classes(spark, rows)
+    levels = [abs(int(E.seen_steps([a])[0][0]) - int(E.seen_steps([b])[0][0])) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert 2 in levels and len(links) >= 15 and sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+
+
+def test_classes_of_the_query_with_null_ids(spark):
+    chance = random.Random(7)
+    base = text(chance, 800)
+    rows = [(3, base), (None, base), (8, edited(chance, base, 1)), (9, text(chance, 800)), (None, text(chance, 700)), (4, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
+    got = E.with_edits_and_classes(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.class_id) for r in got if r.doc_id) == [(False, 3, 3), (False, 4, 4), (False, 8, 3), (False, 9, 9)]
+    assert sorted(map(repr, (r.class_id for r in got if r.doc_id is None))) == ["3", "None"]
+
+
+def test_many_rows_of_one_id_are_dealt_to_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(E, "RANGE_DOCUMENTS", 20)
+    chance = random.Random(8)
+    rows = [(None if i % 3 else i, text(chance, 20)) for i in range(600)] + [(300, text(chance, 20)) for _ in range(200)]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = E.dealt_ranges(docs).groupBy("range").count().collect()
+    assert len(ranges) >= 20 and max(r["count"] for r in ranges) <= 120
