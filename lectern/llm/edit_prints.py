@@ -288,15 +288,18 @@ def band_keys(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bands(kinds: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(steps_of(f)) for f in batch.column("fingerprint").to_pylist()]
+            prints = [np.frombuffer(p, np.uint8) for p in batch.column("print").to_pylist()]
+            found = [band_keys(p) for p in prints]
             if not found:
                 continue
-            ids = np.repeat(np.asarray(batch.column("id"), np.int64), [len(k) for _, k in found])
+            sizes = [len(k) for _, k in found]
+            ids = np.repeat(np.asarray(batch.column("id"), np.int64), sizes)
+            own = np.repeat(np.array([int(p[0]) for p in prints]), sizes)
             levels, codes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            columns = [pa.array(ids), pa.array(levels.astype(np.int32)), pa.array(codes.view(np.int64))]
-            yield pa.record_batch(columns, names=["id", "level", "key"])
+            columns = [pa.array(ids), pa.array(levels.astype(np.int32)), pa.array(levels == own), pa.array(codes.view(np.int64))]
+            yield pa.record_batch(columns, names=["id", "level", "own", "key"])
 
-    return kinds.select("id", "fingerprint").mapInArrow(keys, "id long, level int, key long")
+    return kinds.select("id", "print").mapInArrow(keys, "id long, level int, own boolean, key long")
 
 
 def _alike_leads(bands: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
@@ -307,9 +310,10 @@ def _alike_leads(bands: DataFrame, kinds: DataFrame, least: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(steps_of(x), steps_of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+        steps = ((np.frombuffer(p, np.uint8) for p in side) for side in (a, b))
+        return pd.Series([likeness(x, y) for x, y in zip(*steps, strict=True)], dtype=float)
 
-    sides = [kinds.select(F.col("id").alias(x), F.col("fingerprint").alias(f"{x}_print")) for x in "ab"]
+    sides = [kinds.select(F.col("id").alias(x), F.col("print").alias(f"{x}_print")) for x in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").where(alike("a_print", "b_print") >= least).select("a", "b")
 
 
@@ -329,22 +333,28 @@ def _alike_in_blocks(bands: DataFrame, kinds: DataFrame, labels: DataFrame, leas
     """The links that leads miss: in buckets whose prints are still in several components, prints of different
     ones are compared in blocks inside tasks, and only links become rows.
 
-    A pair is compared where the bucket is of the higher of its two levels, at which it is judged.
+    A pair is compared where the bucket is of the higher of its two levels, at which it is judged, so a
+    bucket without a print of its own level is left out; of buckets of the same prints one is enough.
     """
     named = bands.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    torn = settled(
-        lambda: sizes.where("low < high").select("key", F.ceil(F.col("n") / BLOCK_PRINTS).alias("blocks")), "torn-buckets", bands.sparkSession
+    buckets = named.groupBy("key", "level").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("own").alias("own"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("also"),
     )
-    members = named.join(torn, "key").join(kinds.select("id", "fingerprint"), "id")
-    member = F.struct("id", "component", "fingerprint")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    lists = stored(dealt.groupBy("key", "level", "block").agg(F.collect_list(member).alias("members")), "print-blocks")
-    others = lists.select("key", "level", F.col("block").alias("other"), F.col("members").alias("others"))
+    torn = buckets.where("low < high AND own").groupBy("level", "n", "who", "also").agg(F.min("key").alias("key"))
+    torn = settled(lambda: torn.select("key", F.ceil(F.col("n") / BLOCK_PRINTS).alias("blocks")), "torn-buckets", bands.sparkSession)
+    dealt = named.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    members = dealt.select("id", "component", "key", "level", "blocks", "block").join(kinds.select("id", "print"), "id")
+    lists = members.groupBy("key", "level", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "print")).alias("members"))
+    lists = stored(lists, "print-blocks")
+    others = lists.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("members").alias("others"))
+    nothing = F.lit(None).cast(lists.schema["members"].dataType).alias("others")
+    inside = lists.where(F.size("members") > 1).select("level", "members", nothing)
+    across = lists.where("blocks > 1").join(others, "key").where("block < other").select("level", "members", "others")
 
     def side(values: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, of, prints = values.flatten()
-        steps = [steps_of(p) for p in prints.to_pylist()]
+        steps = [np.frombuffer(p, np.uint8) for p in prints.to_pylist()]
         own = np.array([int(x[0]) for x in steps])
         return np.asarray(ids), np.asarray(of), own, np.array([at_level(x, level) for x in steps])
 
@@ -352,15 +362,16 @@ def _alike_in_blocks(bands: DataFrame, kinds: DataFrame, labels: DataFrame, leas
         for batch in batches:
             for i in range(batch.num_rows):
                 level = batch.column("level")[i].as_py()
-                a, b = (side(batch.column(c)[i].values, level) for c in ("members", "others"))
+                a = side(batch.column("members")[i].values, level)
+                other = batch.column("others")[i].values
+                b = a if other is None else side(other, level)
                 apart = (a[1][:, None] != b[1][None, :]) & (np.maximum(a[2][:, None], b[2][None, :]) == level)
                 x, y = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
                 linked = (likenesses(a[3][x], b[3][y]) >= least) & apart[np.ix_(x, y)]
                 at = np.nonzero(linked)
                 yield pa.record_batch([pa.array(a[0][x][at[0]]), pa.array(b[0][y][at[1]])], names=["a", "b"])
 
-    both = lists.join(others, ["key", "level"]).where("block <= other").select("level", "members", "others")
-    found = both.mapInArrow(compare, "a long, b long")
+    found = inside.unionByName(across).mapInArrow(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -373,8 +384,8 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
     still apart in a bucket is compared in blocks. A fingerprint without any id has no class.
     """
     spark = prints.sparkSession
-    rows = prints.select(F.col(id_col).cast("long").alias("id"), "fingerprint")
-    kinds = stored(rows.groupBy("fingerprint").agg(F.min("id").alias("id")), "prints")
+    rows = prints.select(F.col(id_col).cast("long").alias("id"), F.unhex("fingerprint").alias("print"))
+    kinds = stored(rows.groupBy("print").agg(F.min("id").alias("id")), "prints")
     known = kinds.where("id IS NOT NULL")
     bands = stored(_bands(known), "print-bands")
     links = settled(lambda: _alike_leads(bands, known, least), "print-links", spark)
@@ -383,12 +394,16 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id")
     if not more.isEmpty():
         labels = settled(lambda: components(links.unionByName(more)), "print-components", spark)
     named = kinds.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    return named.select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+    return named.select(F.lower(F.hex("print")).alias("fingerprint"), F.coalesce("component", "id").alias("class_id"))
 
 
 def with_edits_and_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``with_edits`` and the ``class_id`` of each text: the smallest id among the texts it is near to, in steps."""
     spark = docs.sparkSession
-    prints = settled(lambda: with_edits(docs, id_col, text_col), "edit-prints", spark)
-    classes = settled(lambda: near_classes(prints, least, id_col), "print-classes", spark)
-    return prints.join(classes, "fingerprint").select(*prints.columns, "class_id")
+    told = with_edits(docs, id_col, text_col)
+    packed = {c: F.unhex(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    prints = settled(lambda: told.withColumns(packed), "edit-prints", spark)
+    hexed = prints.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+    classes = settled(lambda: near_classes(hexed, least, id_col).withColumn("fingerprint", F.unhex("fingerprint")), "print-classes", spark)
+    joined = prints.join(classes, "fingerprint").select(*prints.columns, "class_id")
+    return joined.withColumns({c: F.lower(F.hex(c)) for c in packed})
