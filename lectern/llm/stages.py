@@ -74,7 +74,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 @with_other_columns
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts without repeated passages, ``n_chars`` being counted anew; a text of which nothing is left goes."""
+    """Texts without repeated passages, ``n_chars`` being counted anew; a text of which nothing is left goes.
+
+    A null or empty text, of which nothing was cut, stays. Rows that repeat an id with the same text stay
+    alike; a null id ranks last."""
     cut = substrings.without_repeats(docs)
     emptied = (F.size("removed") > 0) & (words_in(F.col("text")) == 0)
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -89,7 +92,11 @@ def _taken(docs: DataFrame) -> DataFrame:
 
 @with_other_columns
 def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A text without words, null ones included, adds nothing to a mix and is taken like the others of its
+    source by whole times only. A null source is a source of its own, the last one; rows that repeat
+    id, source and size share one decision."""
     taken = settled(lambda: _taken(docs), "copies", spark)
     sized = docs.withColumn("_size", words_in(F.col("text")))
     repeated = _joined(sized, taken, ["doc_id", "source", "_size"], "inner")
@@ -97,7 +104,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 1024 tokens."""
+    """Where each piece of each document lies in sequences of 1024 tokens.
+
+    A null text counts as empty and takes the place of its end id; repeated rows are packed each."""
     small_batches(spark)
     vocabulary, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     return packing.packed_documents(docs, vocabulary, ranks, capacity=1024, end_id=2)
