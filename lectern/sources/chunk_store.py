@@ -68,30 +68,57 @@ def _narrow_copies(batch: DataFrame, name: str) -> DataFrame:
     )
 
 
+def join_by_block(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined to ``ids`` (distinct, with their block) on the chunk id, where ``rows`` lie.
+
+    For rows that are laid out by block, as the stored table is: only the block is a join key, and
+    inside a block, which is a few chunks, ids are compared. So just the ids travel, and as the
+    hashed side, so that no text is sorted.
+    """
+    ids = ids.withColumnsRenamed({BLOCK: "_block", "chunk_id": "_id"}).hint("shuffle_hash")
+    # Not written as equality, which would be a second key that the layout doesn't have.
+    same = (rows["chunk_id"] <= ids["_id"]) & (rows["chunk_id"] >= ids["_id"])
+    joined = rows.join(ids, (rows[BLOCK] == ids["_block"]) & same, how)
+    return joined.drop("_block", "_id")
+
+
 def _with_ids(batch: DataFrame, wanted: DataFrame, others: DataFrame, counts: tuple[int, int]) -> DataFrame:
-    """The rows whose id is in ``wanted``; ``others`` are all other ids. The shorter list travels."""
+    """The rows whose id is in ``wanted``; ``others`` are all other ids. The shorter list travels; if
+    both are long, ``batch`` has to be laid out by block."""
     if not counts[1]:
         return batch
     if counts[0] <= BROADCAST_IDS:
-        return batch.join(F.broadcast(wanted), "chunk_id", "left_semi")
+        return batch.join(F.broadcast(wanted.select("chunk_id")), "chunk_id", "left_semi")
     if counts[1] <= BROADCAST_IDS:
-        return batch.join(F.broadcast(others), "chunk_id", "left_anti")
-    return batch.join(wanted, "chunk_id", "left_semi")
+        return batch.join(F.broadcast(others.select("chunk_id")), "chunk_id", "left_anti")
+    return join_by_block(batch, wanted, "left_semi")
+
+
+def _laid_out(rows: DataFrame, buckets: int) -> DataFrame:
+    """One task, and so one file, for each bucket that gets something. Rows that lie so already stay."""
+    return rows.repartition(buckets, BLOCK)
 
 
 def new_chunks(batch: DataFrame, existing_name: str) -> DataFrame:
     """Rows of ``batch`` (with ``id_block``) whose id is not stored yet, one of each id.
 
-    ``batch`` is read several times, mostly without its texts: store it before.
+    ``batch`` is read several times, mostly without its texts: store it before. Where texts have to be
+    moved, they are laid out in the buckets of the stored table, so that a write moves them no more.
     """
     found = _narrow_copies(batch, existing_name)
     told = found.agg(
         F.count_if(~F.col("stored")).alias("new"), F.count_if("stored").alias("old"),
         F.max("copies").alias("copies"),
     ).first()
-    missing, present = (found.where(c).select("chunk_id") for c in ("NOT stored", "stored"))
-    rows = _with_ids(batch, missing, present, (told["new"], told["old"]))
-    return rows.dropDuplicates(["chunk_id"]) if (told["copies"] or 0) > 1 else rows
+    missing, present = (found.where(c).select(BLOCK, "chunk_id") for c in ("NOT stored", "stored"))
+    counts, buckets = (told["new"], told["old"]), buckets_of(batch.sparkSession, existing_name)
+    if min(counts) > BROADCAST_IDS:
+        batch, missing = _laid_out(batch, buckets), _laid_out(missing, buckets)
+    rows = _with_ids(batch, missing, present, counts)
+    if (told["copies"] or 0) <= 1:
+        return rows
+    # The block is part of the id; with it, copies are found where they are laid out.
+    return _laid_out(rows, buckets).dropDuplicates([BLOCK, "chunk_id"])
 
 
 def append_chunks(chunks: DataFrame, name: str) -> DataFrame:
@@ -103,7 +130,6 @@ def append_chunks(chunks: DataFrame, name: str) -> DataFrame:
     kept: list[Column] = [F.col(f.name).cast(f.dataType) for f in schemas.CHUNKS]
     batch = cut_lineage(chunks.select(*kept, id_block(F.col("chunk_id")).alias(BLOCK)))
     added = new_chunks(batch, name)  # from written tables only, so it stays what it is
-    # One task, and so one file, for each bucket that gets something.
-    laid_out = added.repartition(buckets_of(chunks.sparkSession, name), BLOCK)
+    laid_out = _laid_out(added, buckets_of(chunks.sparkSession, name))
     laid_out.select(*STORED.fieldNames()).write.mode("append").insertInto(name)
     return added.drop(BLOCK)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.operators import corpus as C
 from lectern.operators import lookup as A
+from lectern.plans import catalog
 from lectern.sources import chunk_store as S
 
 
@@ -140,3 +141,41 @@ def test_ids_of_neighbouring_chunks_start_alike(spark):
     block = {k: i[:16] for k, i in got.items()}
     assert block["d", 1, 0] == block["d", 15, 63] != block["d", 16, 0]
     assert len({block["d", 1, 0], block["d", 1, 64], block["d", 16, 64], block["e", 1, 0]}) == 4
+
+
+def exchanged(df):
+    """The keys of every exchange that moves texts."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    keys = [re.search(r"Exchange \w+\((\w+)#", line) for line in lines]
+    # The first scan below an exchange is what it moves.
+    scans = [next((x for x in lines[i:] if "FileScan" in x or "Scan parquet" in x), "") for i in range(len(lines))]
+    return [k[1] for k, scan in zip(keys, scans) if k and "text_content" in scan]
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_texts_are_shuffled_once_when_new_and_stored_ids_are_many(spark, table, monkeypatch, times):
+    S.append_chunks(C.chunk_pages(pages(spark, range(6))), table)
+    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    batch = C.chunk_pages(pages(spark, range(10)))
+    both = batch.unionByName(batch) if times == 2 else batch
+    batch = S.cut_lineage(both.withColumn(S.BLOCK, C.id_block(F.col("chunk_id"))))
+    rows = S.new_chunks(batch, table)
+    assert ids(rows) == ids(C.chunk_pages(pages(spark, range(6, 10))))
+    assert exchanged(S._laid_out(S.new_chunks(batch, table), 32)) == [S.BLOCK]
+    S.append_chunks(both.drop(S.BLOCK), table)
+    assert ids(spark.table(table)) == ids(C.chunk_pages(pages(spark, range(10))))
+
+
+def test_the_appended_table_is_marked_without_moving_its_texts(spark, tmp_path, monkeypatch):
+    texts = [f"{d} " + "word " * 500 for d in range(40)]
+    documents = [(d, text, "en", "s", len(text)) for d, text in enumerate(texts)]
+    columns = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(documents, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(d,) for d in range(0, 40, 3)], "doc_id long")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    few = catalog.append_new_chunks(spark, str(tmp_path))
+    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    many = catalog.append_new_chunks(spark, str(tmp_path))
+    assert Counter(map(tuple, many.collect())) == Counter(map(tuple, few.collect()))
+    assert 0 < many.where("is_new").count() < many.count() and many.columns == few.columns
+    assert exchanged(catalog.append_new_chunks(spark, str(tmp_path))) == []
