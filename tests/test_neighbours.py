@@ -1,10 +1,13 @@
 """The search equals brute force, however many batches the questions make."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
+from lectern.operators import neighbours as N
 from lectern.operators.neighbours import _partial_hits, nearest
 from lectern.operators.shares import SEED_ROWS, growing_shares
 
@@ -141,3 +144,25 @@ def test_shares_are_the_whole_table_in_growing_steps(rows):
     assert all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
     assert steps[0][1] * rows <= 4 * SEED_ROWS
     assert all(high <= 4 * low for low, high in steps[1:]) and (len(steps) == 1 or steps[-1][0] == 0.5)
+
+
+def test_a_task_holds_the_questions_once_and_one_block_of_distances():
+    random = np.random.default_rng(8)
+    asked = pa.array(list(random.normal(size=(20_000, 64)).astype(np.float32)), pa.list_(pa.float32()))
+    corpus = pa.array(list(random.normal(size=(5_000, 64)).astype(np.float32)), pa.list_(pa.float32()))
+    questions, ids = N._matrix(asked), np.array([f"c{i:05d}" for i in range(5_000)], object)
+    assert questions.dtype == np.float32
+    tracemalloc.start()
+    try:
+        # Bounds that little comes below, as those from the sample are.
+        N._Best(questions, 5, np.full(20_000, 40.0), np.full(20_000, "")).add(ids, N._matrix(corpus))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * 8 * N.BLOCK_CELLS
+
+
+def test_batches_are_counted_by_all_that_a_task_holds(spark):
+    wide = asked(spark, np.zeros((50, 64)))
+    held = 2 * 4 * 64 + 64 * 3  # as sent, as a matrix, and id and bounds
+    assert N._question_bytes(wide, "embedding") >= 50 * held
