@@ -1,11 +1,14 @@
 """Edit fingerprints: edited texts by brute force, and likeness that follows edit distance."""
 
+import glob
 import hashlib
 import random
+import time
 from statistics import mean
 
 from pyspark.sql import functions as F
 
+from lectern.llm import common
 from lectern.llm import edit_prints as E
 
 
@@ -176,3 +179,18 @@ def test_many_rows_of_one_id_are_dealt_to_many_ranges(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ranges = E.dealt_ranges(docs).groupBy("range").count().collect()
     assert len(ranges) >= 20 and max(r["count"] for r in ranges) <= 120
+
+
+def test_a_settled_step_leaves_no_shuffle_files(spark):
+    """Before any other query runs: the next step may be the one that needs the disk."""
+    spark.range(10).count()
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {f for d in manager.localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, rows = kept(), spark.range(5000).withColumn("x", F.col("id") * 3)
+    table = common.settled(lambda: rows.repartition(3, "x"), "settled-test", spark)
+    for _ in range(50):
+        if kept() <= before:
+            break
+        time.sleep(0.2)
+    assert kept() <= before
+    assert table.count() == 5000
