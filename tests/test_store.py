@@ -143,6 +143,15 @@ def test_ids_of_neighbouring_chunks_start_alike(spark):
     assert len({block["d", 1, 0], block["d", 1, 64], block["d", 16, 64], block["e", 1, 0]}) == 4
 
 
+@pytest.fixture
+def large_sides(spark, monkeypatch):
+    """As if ids were too many to broadcast, for the library and for Spark."""
+    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def exchanged(df):
     """The keys of every exchange that moves texts."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
@@ -153,9 +162,8 @@ def exchanged(df):
 
 
 @pytest.mark.parametrize("times", [1, 2])
-def test_texts_are_shuffled_once_when_new_and_stored_ids_are_many(spark, table, monkeypatch, times):
+def test_texts_are_shuffled_once_when_new_and_stored_ids_are_many(spark, table, large_sides, times):
     S.append_chunks(C.chunk_pages(pages(spark, range(6))), table)
-    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
     batch = C.chunk_pages(pages(spark, range(10)))
     both = batch.unionByName(batch) if times == 2 else batch
     batch = S.cut_lineage(both.withColumn(S.BLOCK, C.id_block(F.col("chunk_id"))))
@@ -166,7 +174,7 @@ def test_texts_are_shuffled_once_when_new_and_stored_ids_are_many(spark, table,
     assert ids(spark.table(table)) == ids(C.chunk_pages(pages(spark, range(10))))
 
 
-def test_the_appended_table_is_marked_without_moving_its_texts(spark, tmp_path, monkeypatch):
+def test_the_appended_table_is_marked_without_moving_its_texts(spark, tmp_path, request):
     texts = [f"{d} " + "word " * 500 for d in range(40)]
     documents = [(d, text, "en", "s", len(text)) for d, text in enumerate(texts)]
     columns = "doc_id long, text string, lang string, source string, n_chars int"
@@ -174,7 +182,7 @@ def test_the_appended_table_is_marked_without_moving_its_texts(spark, tmp_path,
     labels = spark.createDataFrame([(d,) for d in range(0, 40, 3)], "doc_id long")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     few = catalog.append_new_chunks(spark, str(tmp_path))
-    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    request.getfixturevalue("large_sides")
     many = catalog.append_new_chunks(spark, str(tmp_path))
     assert Counter(map(tuple, many.collect())) == Counter(map(tuple, few.collect()))
     assert 0 < many.where("is_new").count() < many.count() and many.columns == few.columns
